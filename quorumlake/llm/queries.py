@@ -16,6 +16,21 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorumlake.llm.common import fresh_path
+    from quorumlake.llm.tokenfile import digests, write_tokens
+
+    at = fresh_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), at, vocabulary("word_bpe_49k.json"), end_id=2)
+    return digests(spark, at)
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorumlake.llm.mixture import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quorumlake.llm.tokcount import token_counts
 
