@@ -50,8 +50,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorumlake.llm.suffixdedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200, keep_first=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quorumlake.llm.decontam import decontam, neardupinate
+    from quorumlake.llm.decontam import decontaminate
 
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
