@@ -50,6 +50,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op7_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorumlake.llm.ctw import language_scores
+
+    return language_scores(table(spark, sf_dir, "documents"), folds=7, held=2)
+
+
 def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quorumlake.llm.suffixdedup import remove_repeats
 
