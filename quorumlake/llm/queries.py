@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quorumlake.llm import decontam, neardup
 
@@ -44,6 +45,15 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorumlake.llm.htmltext import main_text
+
+    pages = table(spark, sf_dir, "pages")
+    # Row by row, so the url comes along as part of the key.
+    keyed = pages.select(F.struct("page_id", "url").alias("page"), "html")
+    return main_text(keyed, id_col="page").select("page.page_id", "page.url", "text", "n_chars")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quorumlake.llm.tokcount import token_counts
 
