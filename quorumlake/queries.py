@@ -418,3 +418,249 @@ def loso_stability(t):
     stances = F.create_map(*[x for s in SEEDS for x in (F.lit(s), name(s))])
     got = ablation.seed_stability(evidence.join(keyed, ["question_id", "doc_id"]).withColumn("stances", stances).drop("pk", "sk", "ln"), F.col("stances"))
     return got.filter("method = 'C'").select("method", "claims", "unstable", "decision_changes", "largest_delta")
+
+
+# Canonical join and coverage: hard labels are missing for some pairs, uncertainties for others, by fixed rules.
+JOIN_SQL = """, q_top AS (SELECT e.*, quality, evidence_type FROM q_evidence e JOIN q_weight w ON e.tier = w.tier WHERE doc_rank <= 3), q_joined AS (
+  SELECT t.question_id, o.idx, t.doc_id, t.doc_rank, t.quality, CASE WHEN (t.pk + o.idx) % 5 <> 0 THEN d.label END AS hard_label, CASE WHEN t.sk % 3 <> 0 THEN round(d.h, 6) + 0.0 END AS u_3
+  FROM q_top t CROSS JOIN (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS idx) o JOIN q_dist d ON d.question_id = t.question_id AND d.idx = o.idx AND d.doc_id = t.doc_id
+)
+"""
+
+
+def joined(t) -> DataFrame:
+    full = uncertainty.pair_uncertainty(t.pairs())
+    keys = t.top_evidence().select("question_id", "doc_id", "pk", "sk")
+    source = full.join(keys, ["question_id", "doc_id"])
+    hard = source.filter((F.col("pk") + F.col("idx")) % 5 != 0).select("question_id", "idx", "doc_id", "hard_label")
+    soft = source.filter(F.col("sk") % 3 != 0).select("question_id", "idx", "doc_id", r9("u_3"))
+    return retrieval.canonical_join(t.top_evidence().select("question_id", "doc_id", "doc_rank", "quality"), 5, hard, soft)
+
+
+@query(
+    JOIN_SQL
+    + """SELECT question_id || '|' || chr(65 + idx) || '|' || doc_id AS pair_identity, doc_rank, hard_label, u_3, CASE WHEN hard_label IS NULL THEN 'MISSING' ELSE 'AVAILABLE' END AS hard_status,
+  CASE WHEN u_3 IS NULL THEN 'MISSING' ELSE 'AVAILABLE' END AS soft_status FROM q_joined"""
+)
+def topk_canonical_join(t):
+    return joined(t).select("pair_identity", "doc_rank", "hard_label", "u_3", "hard_status", "soft_status")
+
+
+@query(
+    JOIN_SQL
+    + """, q_per AS (SELECT question_id, count(DISTINCT doc_id) AS docs, count(*) AS pairs, count(*) FILTER (u_3 IS NULL) AS missing, count(*) FILTER (hard_label IS NULL) AS hard_missing, count(*) FILTER (quality = 0) AS zero_rows FROM q_joined GROUP BY ALL),
+q_every AS (SELECT q.question_id, coalesce(docs, 0) AS docs, coalesce(pairs, 0) AS pairs, coalesce(missing, 0) AS missing, coalesce(hard_missing, 0) AS hard_missing, coalesce(zero_rows, 0) AS zero_rows FROM q_question q LEFT JOIN q_per p ON q.question_id = p.question_id)
+SELECT count(*) AS questions, count(*) FILTER (docs > 0) AS nonempty, count(*) FILTER (docs = 0) AS empty, count(*) FILTER (docs > 0 AND docs < 3) AS fewer_than_k, CAST(sum(docs) AS BIGINT) AS evidence, CAST(sum(pairs) AS BIGINT) AS pairs,
+  CAST(sum(missing) AS BIGINT) AS missing_soft, CAST(sum(hard_missing) AS BIGINT) AS missing_hard, CAST(sum(missing) * 10 AS BIGINT) AS missing_calls, count(*) FILTER (docs > 0 AND missing = 0) AS ready_questions,
+  CAST(sum(zero_rows) // 5 AS BIGINT) AS zero_quality_rows, count(*) FILTER (docs > 0 AND zero_rows = pairs) AS all_zero_questions FROM q_every"""
+)
+def topk_coverage(t):
+    return retrieval.coverage(t.questions(), joined(t), 3, 5)
+
+
+GRID_SQL = """WITH r(n_s, n_c) AS (VALUES (9, 1), (7, 3), (5, 5), (3, 7), (1, 9)), q(quality_condition, q_s, q_c) AS (VALUES ('equal', 0.5::DOUBLE, 0.5::DOUBLE), ('support_small_gap', 0.55, 0.45), ('contradict_small_gap', 0.45, 0.55),
+  ('support_large_gap', 0.9, 0.1), ('contradict_large_gap', 0.1, 0.9), ('support_extreme_gap', 0.95, 0.05), ('contradict_extreme_gap', 0.05, 0.95)), g AS (
+  SELECT n_s || ':' || n_c || '/' || quality_condition AS scenario, n_s || ':' || n_c AS ratio, quality_condition, CASE WHEN q_s > q_c THEN 'support_higher' WHEN q_c > q_s THEN 'contradict_higher' ELSE 'equal' END AS quality_direction, n_s, n_c, q_s, q_c,
+    CASE WHEN n_s > n_c THEN 'SUPPORT' WHEN n_c > n_s THEN 'CONTRADICT' ELSE 'ABSTAIN' END AS decision_a, CASE WHEN n_s * q_s - n_c * q_c > 1e-9 THEN 'SUPPORT' WHEN n_c * q_c - n_s * q_s > 1e-9 THEN 'CONTRADICT' ELSE 'ABSTAIN' END AS decision_b FROM r, q
+), conflict AS (
+  SELECT scenario, ratio, quality_condition, quality_direction, decision_a, decision_b, decision_a <> decision_b AS disagree, decision_a <> 'ABSTAIN' AND decision_b <> 'ABSTAIN' AND decision_a <> decision_b AS reversal,
+    (decision_a = 'ABSTAIN') <> (decision_b = 'ABSTAIN') AS abstention_differs FROM g
+)
+"""
+
+
+@query(GRID_SQL + "SELECT * FROM conflict", views=False)
+def grid_conflict(t):
+    return grids.conflict_grid(t.spark)
+
+
+@query(
+    GRID_SQL
+    + "SELECT ratio, quality_direction, count(*) AS scenarios, count(*) FILTER (disagree) AS disagreements, round(100.0 * count(*) FILTER (disagree) / count(*), 6) AS disagree_percent, count(*) FILTER (reversal) AS reversals, count(*) FILTER (abstention_differs) AS abstention_differences, "
+    + ", ".join(f"count(*) FILTER (decision_{m} = '{d}') AS {m}_{d.lower()}" for m in "ab" for d in ("SUPPORT", "CONTRADICT", "ABSTAIN"))
+    + " FROM conflict GROUP BY GROUPING SETS ((), (ratio), (quality_direction))",
+    views=False,
+)
+def grid_conflict_summary(t):
+    return grids.conflict_summary(grids.conflict_grid(t.spark))
+
+
+TEMPLATE_SQL = GRID_SQL + """, c(name, level, top, second, rest) AS (VALUES ('CONFIDENT', 2, 0.90::DOUBLE, 0.05::DOUBLE, 0.05::DOUBLE), ('MODERATE', 1, 0.70, 0.20, 0.10), ('UNCERTAIN', 0, 0.45, 0.40, 0.15)), u AS (
+  SELECT g.*, a.name AS conf_support, b.name AS conf_contradict, a.level - b.level AS gap, sign(n_s - n_c) AS more, CASE quality_direction WHEN 'support_higher' THEN 1 WHEN 'contradict_higher' THEN -1 ELSE 0 END AS hq,
+    q_s * (1 + (a.top * ln(a.top) + a.second * ln(a.second) + a.rest * ln(a.rest)) / ln(3.0::DOUBLE)) AS w_s, q_c * (1 + (b.top * ln(b.top) + b.second * ln(b.second) + b.rest * ln(b.rest)) / ln(3.0::DOUBLE)) AS w_c, a.top - a.second AS d_s, b.second - b.top AS d_c FROM g, c a, c b
+), s AS (
+  SELECT *, round((n_s * w_s * d_s + n_c * w_c * d_c) / (n_s * w_s + n_c * w_c), 9) + 0.0 AS score_d, CASE WHEN gap > 0 THEN 'support_more_confident' WHEN gap < 0 THEN 'contradict_more_confident' ELSE 'equal_confidence' END AS asymmetry,
+    CASE WHEN more = 0 THEN 'no_majority' WHEN gap = 0 THEN 'equal_confidence' WHEN (gap > 0) = (more > 0) THEN 'majority_more_confident' ELSE 'minority_more_confident' END AS majority_relation,
+    CASE WHEN hq = 0 THEN 'no_quality_gap' WHEN gap = 0 THEN 'equal_confidence' WHEN (gap > 0) = (hq > 0) THEN 'higher_quality_more_confident' ELSE 'lower_quality_more_confident' END AS quality_relation FROM u
+), t AS (
+  SELECT *, CASE WHEN score_d > 0 THEN 'SUPPORT' WHEN score_d < 0 THEN 'CONTRADICT' ELSE 'ABSTAIN' END AS decision_d, list_filter([CASE WHEN gap = 0 THEN 'equal_confidence' END,
+    CASE WHEN abs(gap) = 2 AND majority_relation = 'minority_more_confident' THEN 'majority_uncertain_minority_confident' END, CASE WHEN abs(gap) = 2 AND majority_relation = 'majority_more_confident' THEN 'majority_confident_minority_uncertain' END,
+    CASE WHEN abs(gap) = 2 AND quality_relation = 'lower_quality_more_confident' THEN 'higher_quality_uncertain_lower_quality_confident' END, CASE WHEN abs(gap) = 2 AND quality_relation = 'higher_quality_more_confident' THEN 'higher_quality_confident_lower_quality_uncertain' END],
+    lambda x: x IS NOT NULL) AS families FROM s
+)
+"""
+
+
+def near_zero(grid: DataFrame) -> DataFrame:
+    """Decisions of D by the score to nine digits: its exact sign follows the last bit of logarithms where a grid is balanced."""
+    d = C.decide(F.col("score_d"))
+    return grid.withColumns({"score_d": C.plus_zero(F.col("score_d")), "decision_d": d, "disagree": F.col("decision_b") != d})
+
+
+@query(TEMPLATE_SQL + "SELECT scenario, ratio, quality_condition, quality_direction, conf_support, conf_contradict, decision_a, decision_b, decision_d, score_d, asymmetry, majority_relation, quality_relation, array_to_string(families, ',') AS families, decision_b <> decision_d AS disagree FROM t", views=False)
+def grid_uncertainty(t):
+    return near_zero(grids.uncertainty_grid(t.spark)).withColumn("families", F.array_join("families", ","))
+
+
+@query(
+    TEMPLATE_SQL
+    + """, e AS (SELECT 'all' AS dimension, 'all' AS value, decision_b <> decision_d AS disagree, decision_d FROM t UNION ALL SELECT 'ratio', ratio, decision_b <> decision_d, decision_d FROM t UNION ALL SELECT 'quality_direction', quality_direction, decision_b <> decision_d, decision_d FROM t
+  UNION ALL SELECT 'asymmetry', asymmetry, decision_b <> decision_d, decision_d FROM t UNION ALL SELECT 'conf_support', conf_support, decision_b <> decision_d, decision_d FROM t UNION ALL SELECT 'conf_contradict', conf_contradict, decision_b <> decision_d, decision_d FROM t
+  UNION ALL SELECT 'family', unnest(families), decision_b <> decision_d, decision_d FROM t)
+SELECT dimension, value, count(*) AS scenarios, count(*) FILTER (disagree) AS disagreements, round(100.0 * count(*) FILTER (disagree) / count(*), 6) AS disagree_percent, count(*) FILTER (decision_d = 'ABSTAIN') AS d_abstains FROM e GROUP BY ALL""",
+    views=False,
+)
+def grid_uncertainty_summary(t):
+    return grids.uncertainty_summary(near_zero(grids.uncertainty_grid(t.spark)))
+
+
+@query(
+    """SELECT * FROM (VALUES ('scenario_1', 'SUPPORT', 'CONTRADICT', 0.3::DOUBLE, 0.9::DOUBLE, CAST(0 AS BIGINT), true), ('scenario_2', 'CONTRADICT', 'SUPPORT', 0.9, 0.3, 0, true), ('scenario_3', 'ABSTAIN', 'ABSTAIN', 1.0, 1.0, 0, true), ('scenario_4', 'ABSTAIN', 'ABSTAIN', 0.0, 0.0, 3, true),
+  ('scenario_5a', 'SUPPORT', 'CONTRADICT', 0.2, 0.9, 0, true), ('scenario_5b', 'SUPPORT', 'SUPPORT', 0.9, 0.1, 0, true)) v(scenario, decision_a, decision_b, support, contradict, irrelevant, as_expected)""",
+    views=False,
+)
+def grid_fixed_cases(t):
+    return grids.fixed_cases(t.spark)
+
+
+@query(
+    """WITH l AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings), e AS (SELECT vec_id, exp(a - greatest(a, b, c)) AS a, exp(b - greatest(a, b, c)) AS b, exp(c - greatest(a, b, c)) AS c FROM l),
+p AS (SELECT vec_id, a / (a + b + c) AS a, b / (a + b + c) AS b, c / (a + b + c) AS c FROM e)
+SELECT vec_id, round(a, 6) AS p_s, round(b, 6) AS p_c, round(c, 6) AS p_i, round(-(a * ln(a) + b * ln(b) + c * ln(c)) / ln(3.0::DOUBLE), 6) AS entropy, CASE WHEN a > b AND a > c THEN 'SUPPORT' WHEN b > a AND b > c THEN 'CONTRADICT' WHEN c > a AND c > b THEN 'IRRELEVANT' END AS label FROM p""",
+    views=False,
+)
+def softmax_logits(t):
+    x = [F.col("embedding")[i].cast("double") for i in range(3)]
+    p = dict(zip(("p_s", "p_c", "p_i"), C.softmax3(*x)))
+    rows = t.embeddings.select("vec_id", *[v.alias(k) for k, v in p.items()])
+    s, c, i = F.col("p_s"), F.col("p_c"), F.col("p_i")
+    return rows.select("vec_id", r9("p_s"), r9("p_c"), r9("p_i"), F.round(C.entropy_metric(s, c, i), 6).alias("entropy"), C.argmax3(s, c, i, 0.0).alias("label"))
+
+
+@query(
+    """WITH s AS (SELECT label AS pair, vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings), o AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY greatest(a, b) DESC, vec_id) AS n FROM s)
+SELECT pair, vec_id, round(greatest(a, b), 6) AS strength FROM o WHERE n = 1""",
+    views=False,
+)
+def sentence_select(t):
+    a, b = F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")
+    rows = t.embeddings.select(F.col("label").alias("pair"), "vec_id", F.greatest(a, b).alias("strength"))
+    return retrieval.first_per_group(rows, ["pair"], [-F.col("strength"), F.col("vec_id")]).select("pair", "vec_id", r9("strength"))
+
+
+STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+TOKEN_SQL = f"""WITH raw AS (
+  SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), lambda w: len(w) >= 3 AND NOT list_contains([{STOP}], w)) AS ws FROM benchmark
+), stem AS (
+  SELECT item_id, list_filter(list_distinct([CASE WHEN len(w) > 4 AND w LIKE '%ies' THEN w[:-4] || 'y' WHEN len(w) > 4 AND w LIKE '%s' AND w NOT LIKE '%ss' AND w NOT LIKE '%is' AND w NOT LIKE '%us' THEN w[:-2] ELSE w END FOR w IN ws]), lambda w: NOT list_contains([{STOP}], w)) AS tokens FROM raw
+)
+"""
+
+
+@query(TOKEN_SQL + "SELECT item_id, array_to_string(list_sort(tokens), ' ') AS tokens, len(tokens) AS n FROM stem", views=False)
+def informative_tokens(t):
+    return t.benchmark.select("item_id", X.tokens(F.col("text")).alias("t")).select("item_id", F.array_join("t", " ").alias("tokens"), F.size("t").cast("long").alias("n"))
+
+
+@query(
+    TOKEN_SQL
+    + """, every AS (SELECT item_id, unnest(tokens) AS token FROM stem), df AS (SELECT token, count(*) AS df FROM every GROUP BY token), n AS (SELECT count(*) AS n FROM benchmark)
+SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) AS shared, round(sum(ln((n + 1) / (df + 1)) + 1), 6) AS weight FROM every a JOIN every b ON a.token = b.token AND a.item_id % 100 = 0 AND a.item_id <> b.item_id JOIN df ON df.token = a.token, n GROUP BY ALL""",
+    views=False,
+)
+def idf_overlap(t):
+    # Every hundredth item is a claim, all items are evidence.
+    items = t.benchmark.select("item_id", X.tokens(F.col("text")).alias("t"))
+    each = items.select("item_id", F.explode("t").alias("token"))
+    n = items.agg(F.count(F.lit(1)).alias("n"))
+    idf = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).withColumn("idf", F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1)
+    claims = each.filter(F.col("item_id") % 100 == 0).select(F.col("item_id").alias("item_a"), "token").join(idf, "token")
+    both = claims.join(each.select(F.col("item_id").alias("item_b"), "token"), "token").filter("item_a <> item_b")
+    return both.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("shared"), F.round(F.sum("idf"), 6).alias("weight"))
+
+
+@query(
+    "SELECT conv_id, turn, array_to_string(list_sort(list_filter(["
+    + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{n}' END" for n, p in X.RELATIONS.items())
+    + "], lambda x: x IS NOT NULL)), ',') AS relations FROM conversations",
+    views=False,
+)
+def relation_terms(t):
+    return t.conversations.select("conv_id", "turn", F.array_join(X.relations(F.col("text")), ",").alias("relations"))
+
+
+DESIGN_SQL = "CASE " + " ".join(f"WHEN list_has_any(ls, [{', '.join(repr(a) for a in al)}]) THEN '{n}'" for n, al in X.DESIGNS) + " ELSE 'other' END"
+PICKS = ["Meta-Analysis", " Systematic  Review ", "guideline", "Case Reports", "editorial", "COHORT STUDIES", "letter", "Randomized Controlled Trial", "case series"]
+
+
+@query(
+    f"WITH p AS (SELECT p_partkey, [{', '.join(repr(x) for x in PICKS)}] AS names FROM part), l AS (SELECT p_partkey, [lower(trim(regexp_replace(names[CAST(p_partkey % 9 + 1 AS INTEGER)], '\\s+', ' ', 'g'))), lower(trim(regexp_replace(names[CAST(p_partkey // 9 % 9 + 1 AS INTEGER)], '\\s+', ' ', 'g')))] AS ls FROM p) SELECT p_partkey, {DESIGN_SQL} AS evidence_type FROM l",
+    views=False,
+)
+def evidence_type_map(t):
+    names = F.array(*map(F.lit, PICKS))
+    two = F.array(F.element_at(names, (F.col("p_partkey") % 9 + 1).cast("int")), F.element_at(names, (F.floor(F.col("p_partkey") / 9) % 9 + 1).cast("int")))
+    return t.part.select("p_partkey", X.evidence_type(two).alias("evidence_type"))
+
+
+@query(
+    """SELECT o_orderkey AS question_id, o_orderkey % 8 AS c1, o_custkey % 9 AS c2, CASE WHEN o_orderkey % 8 >= 5 THEN 'primary' WHEN o_custkey % 9 >= 5 THEN 'fallback' ELSE 'minimal_fallback' END AS stage FROM orders""",
+    views=False,
+)
+def relaxation_cascade(t):
+    c1, c2 = F.col("o_orderkey") % 8, F.col("o_custkey") % 9
+    stage = retrieval.cascade_stage([c1, c2, F.lit(0)], ["primary", "fallback", "minimal_fallback"])
+    return t.orders.select(F.col("o_orderkey").alias("question_id"), c1.alias("c1"), c2.alias("c2"), stage.alias("stage"))
+
+
+@query("SELECT question_id FROM q_question q WHERE NOT EXISTS (SELECT 1 FROM q_evidence e WHERE e.question_id = q.question_id)")
+def anti_join_missing(t):
+    return t.questions().join(t.lineitem.select(F.col("l_orderkey").alias("question_id")), "question_id", "left_anti").select("question_id")
+
+
+@query("SELECT l_suppkey AS orphan, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_nationkey % 5 <> 0) GROUP BY ALL", views=False)
+def referential_orphans(t):
+    known = t.supplier.filter(F.col("s_nationkey") % 5 != 0).select("s_suppkey")
+    return t.lineitem.join(known, F.col("l_suppkey") == F.col("s_suppkey"), "left_anti").groupBy(F.col("l_suppkey").alias("orphan")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    ANSWER_SQL
+    + """, q_cells AS (SELECT count(*) FILTER (l.correct AND r.correct) AS a, count(*) FILTER (l.correct AND r.correct IS NOT TRUE) AS b, count(*) FILTER (l.correct IS NOT TRUE AND r.correct) AS c, count(*) FILTER (l.correct IS NOT TRUE AND r.correct IS NOT TRUE) AS d
+  FROM q_answer l JOIN q_answer r ON l.question_id = r.question_id AND l.method = 'C' AND r.method = 'B'), q_n AS (SELECT *, CAST(a + b + c + d AS DOUBLE) AS n, 1.959963984540054::DOUBLE AS z FROM q_cells), q_p AS (
+  SELECT *, (a + b) / n AS p1, (a + c) / n AS p2, (2 * (a + b) + z * z - z * sqrt(z * z + 4 * (a + b) * (1 - (a + b) / n))) / (2 * (n + z * z)) AS l1, (2 * (a + b) + z * z + z * sqrt(z * z + 4 * (a + b) * (1 - (a + b) / n))) / (2 * (n + z * z)) AS u1,
+    (2 * (a + c) + z * z - z * sqrt(z * z + 4 * (a + c) * (1 - (a + c) / n))) / (2 * (n + z * z)) AS l2, (2 * (a + c) + z * z + z * sqrt(z * z + 4 * (a + c) * (1 - (a + c) / n))) / (2 * (n + z * z)) AS u2,
+    CAST(a + b AS DOUBLE) * (c + d) * (a + c) * (b + d) AS prod, CAST(a AS DOUBLE) * d - CAST(b AS DOUBLE) * c AS raw FROM q_n), q_phi AS (
+  SELECT *, CASE WHEN prod > 0 THEN CASE WHEN raw > n / 2 THEN raw - n / 2 WHEN raw >= 0 THEN 0.0 ELSE raw END / sqrt(prod) ELSE 0.0 END AS phi FROM q_p)
+SELECT a AS both_right, b AS first_only, c AS second_only, d AS neither, round(p1 - p2, 6) AS difference, round(p1 - p2 - sqrt((p1 - l1) ** 2 - 2 * phi * (p1 - l1) * (u2 - p2) + (u2 - p2) ** 2), 6) AS low, round(p1 - p2 + sqrt((u1 - p1) ** 2 - 2 * phi * (u1 - p1) * (p2 - l2) + (p2 - l2) ** 2), 6) AS high FROM q_phi"""
+)
+def paired_accuracy_interval(t):
+    judged = answer.with_gold(answers(t), t.questions())
+    moved = answer.transitions(judged, "C", "B")
+    left, right = F.coalesce("correct_l", F.lit(False)), F.coalesce("correct_r", F.lit(False))
+    n = lambda x, y: F.count_if((left == x) & (right == y))
+    cells = moved.agg(n(True, True).alias("both_right"), n(True, False).alias("first_only"), n(False, True).alias("second_only"), n(False, False).alias("neither"))
+    got = intervals.newcombe_paired(*[F.col(c).cast("double") for c in cells.columns])
+    return cells.withColumn("i", got).select(*cells.columns, F.round("i.difference", 6).alias("difference"), F.round("i.low", 6).alias("low"), F.round("i.high", 6).alias("high"))
+
+
+@query(
+    """WITH a AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), s AS (SELECT user_id, n, event_type <> 'error' AS good, min(CASE WHEN event_type <> 'error' THEN n END) OVER (PARTITION BY user_id) AS first_good, count(*) OVER (PARTITION BY user_id) AS total FROM a)
+SELECT user_id AS cache_key, CASE WHEN min(first_good) <= 3 THEN 'VALID' WHEN max(total) >= 3 THEN 'FAILED' ELSE 'INCOMPLETE' END AS status, CAST(CASE WHEN min(first_good) <= 3 THEN min(first_good) ELSE least(max(total), 3) END AS BIGINT) AS attempts FROM s GROUP BY user_id""",
+    views=False,
+)
+def attempt_state(t):
+    from quorumlake.operators.state import attempt_states
+
+    rows = t.events.select(F.col("user_id").alias("cache_key"), (F.col("event_type") != "error").alias("ok"), "ts", "event_id")
+    return attempt_states(rows, ["ts", "event_id"], 3)
