@@ -13,6 +13,8 @@ from array import array
 import regex
 
 CACHE_ENTRIES = 1_500_000
+#: Words and parts of words whose ids are kept: about 200 bytes each in every worker.
+WORD_ENTRIES = 700_000
 LONGEST_CACHED = 200
 
 
@@ -169,9 +171,9 @@ class WhiteSpaceWords:
         words, known = text.split(), self.words
         got = list(map(known.get, words))
         if None in got:
-            if len(known) > CACHE_ENTRIES:
+            if len(known) > WORD_ENTRIES:
                 known.clear()
-            if len(self.parts) > CACHE_ENTRIES // 2:
+            if len(self.parts) > WORD_ENTRIES // 2:
                 self.parts.clear()
             for i, g in enumerate(got):
                 if g is None:
