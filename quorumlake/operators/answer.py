@@ -16,12 +16,14 @@ def eligibility(score, decision):
     )
 
 
-def select_answers(questions: DataFrame, options: DataFrame, keys: list[str] = ["method"], incomplete: DataFrame | None = None) -> DataFrame:  # noqa: B006
+def select_answers(questions: DataFrame, options: DataFrame, keys: list[str] = ["method"], incomplete: DataFrame | None = None, cases: DataFrame | None = None) -> DataFrame:  # noqa: B006
     """One row for each question and key: ANSWERED only with a unique highest eligible option.
 
     options: question_id, idx, score, decision and keys.  Questions without
     options keep a row for each key: EMPTY_EVIDENCE_POOL.  incomplete lists
     question_ids whose samples are not complete: INCOMPLETE, whatever the scores.
+    cases lists the keys' values; without it they are read from options, which
+    computes options twice.
     """
     status = options.withColumn("eligibility", eligibility(F.col("score"), F.col("decision")))
     ok = F.col("eligibility") == "POSITIVE_SUPPORT"
@@ -30,7 +32,7 @@ def select_answers(questions: DataFrame, options: DataFrame, keys: list[str] = [
         F.max(F.when(ok, F.col("score"))).alias("best"), F.array_sort(F.collect_list(F.when(ok, F.struct((-F.col("score")).alias("s"), "idx")))).alias("good"), F.transform(ranked, lambda x: x["option"]).alias("ranking")
     )
     near = F.size(F.filter("good", lambda x: -x["s"] >= F.col("best") - TIE))
-    grid = questions.select("question_id").crossJoin(F.broadcast(options.select(*keys).distinct()))
+    grid = questions.select("question_id").crossJoin(F.broadcast(cases if cases is not None else options.select(*keys).distinct()))
     every = grid.join(per, ["question_id", *keys], "left")
     if incomplete is not None:
         every = every.join(incomplete.select("question_id", F.lit(True).alias("_open")).distinct(), "question_id", "left")

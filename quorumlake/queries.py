@@ -330,7 +330,8 @@ def answer_select(t):
 def answers(t) -> DataFrame:
     # Scores that agree to 12 digits rank alike in both engines: the rest is rounding of logarithms.
     options = aggregate.by_method(wide(t)).withColumn("score", F.round("score", 12))
-    return answer.select_answers(t.questions(), options)
+    cases = t.spark.createDataFrame([(m,) for m in aggregate.METHODS], "method string")
+    return answer.select_answers(t.questions(), options, cases=cases)
 
 
 SQL["answer_select"] = SQL["answer_select"].replace("SELECT *, decision = 'SUPPORT' AND score > 0 AS ok FROM q_long", "SELECT * REPLACE (round(score, 12) AS score), decision = 'SUPPORT' AND round(score, 12) > 0 AS ok FROM q_long")
