@@ -96,7 +96,10 @@ def units(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+|[\r\n]+")
 
 
+#: A fixed value: marks, with closing quotes or brackets, before white space or the end.
 BOUNDARY = re.compile(r"[.!?]+[\"'”’)\]]*(?=\s|$)")
+#: What a single full stop may belong to: an abbreviation, dotted letters or a capital initial, after opening marks.
+GUARDED = re.compile(r"(?:^|\s)[(\[\"'“‘]*(?:(?i:" + "|".join(map(re.escape, ABBREVIATIONS)) + r")|(?:[A-Za-z]\.){2,}|[A-Z]\.)$")
 
 
 def split_sentences(text: str | None) -> list[str]:
@@ -106,19 +109,10 @@ def split_sentences(text: str | None) -> list[str]:
     abbreviation, a capital initial or dotted letters.  A tail without a mark is
     a sentence; null and blank texts have none.
     """
-    text, out, start = text or "", [], 0
-    for m in BOUNDARY.finditer(text):
-        if m.group().rstrip("\"'”’) ]") == ".":
-            word = text[: m.start() + 1].split()[-1] if text[: m.start() + 1].split() else ""
-            word = word.lstrip("([\"'“‘")
-            if word.lower() in ABBREVIATIONS or re.fullmatch(r"(?:[A-Za-z]\.){2,}|[A-Z]\.", word):
-                continue
-        if piece := text[start : m.end()].strip():
-            out.append(piece)
-        start = m.end()
-    if tail := text[start:].strip():
-        out.append(tail)
-    return out
+    text = text or ""
+    single = lambda m: m[0].strip("\"'”’)]") == "."
+    ends = [m.end() for m in BOUNDARY.finditer(text) if not (single(m) and GUARDED.search(text, max(0, m.start() - 80), m.start() + 1))]
+    return [s for a, b in zip([0, *ends], [*ends, len(text)]) if (s := text[a:b].strip())]
 
 
 def sentences(text: Column) -> Column:

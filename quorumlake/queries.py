@@ -665,3 +665,27 @@ def attempt_state(t):
 
     rows = t.events.select(F.col("user_id").alias("cache_key"), (F.col("event_type") != "error").alias("ok"), "ts", "event_id")
     return attempt_states(rows, ["ts", "event_id"], 3)
+
+
+# Phrases with the search that each must give.
+STEMS = [
+    ("A man reports chest pain and shortness of breath", "(chest pain) AND (dyspnea)"),
+    ("She denies chest pain but has migraine", "(migraine)"),
+    ("Gram-negative rods; no oxidase", "(gram negative) AND (oxidase)"),
+    ("Type 2 diabetes mellitus with elevated creatinine", "(diabetes mellitus) AND (elevated creatinine)"),
+    ("There is no fever", None),
+    ("Lost 5 kg, night sweats, and coughing up blood, and fatigue", "(hemoptysis) AND (night sweats) AND (weight loss)"),
+]
+
+
+@query(
+    "SELECT p_partkey, list_extract(["
+    + ", ".join("NULL" if q is None else f"'(({q}) NOT \"pubmed books\"[sb]) AND hasabstract'" for _, q in STEMS)
+    + "], CAST(p_partkey % 6 + 1 AS BIGINT)) AS query FROM part",
+    views=False,
+)
+def concept_queries(t):
+    from quorumlake.functions.concepts import concepts
+
+    stem = F.element_at(F.array(*[F.lit(s) for s, _ in STEMS]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return t.part.select("p_partkey", X.query_terms(concepts(stem)).alias("query"))
