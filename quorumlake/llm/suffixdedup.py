@@ -233,10 +233,14 @@ def suffix_array(flat: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
         word = np.ascontiguousarray(padded[starts[order[active]] + 8 * d]).view(">u8").ravel().astype(np.uint64)
         if d == words - 1:
             word &= tail
-        by = np.lexsort((word, cls[active]))
-        order[active], word = order[active][by], word[by]
-        # Classes stay where they are: sorting moves suffixes inside their own class only.
         own = cls[active]
+        # Classes stay where they are, and one whose members all go on alike keeps its order: only the others are sorted.
+        uneven = np.zeros(n, bool)
+        uneven[own[1:][(own[1:] == own[:-1]) & (word[1:] != word[:-1])]] = True
+        move = np.flatnonzero(uneven[own])
+        if len(move):
+            by = move[np.lexsort((word[move], own[move])) if d else np.argsort(word[move])]
+            order[active[move]], word[move] = order[active[by]], word[by]
         split = np.flatnonzero((own[1:] == own[:-1]) & (word[1:] != word[:-1])) + 1
         differ = word[split] ^ word[split - 1]
         same = np.zeros(len(split), np.int64)
@@ -255,8 +259,8 @@ def suffix_array(flat: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     return order, lcp
 
 
-def longest_previous(order: np.ndarray, lcp: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """LPF by start: the longest match, up to the arrays' length, with a start of smaller rank.
+def longest_previous(order: np.ndarray, lcp: np.ndarray, rank: np.ndarray, least: int = 1) -> np.ndarray:
+    """LPF by start: the longest match, up to the arrays' length, with a start of smaller rank; 0 where it is under `least`.
 
     The nearest smaller ranks before and after in suffix order give it; they are
     found for all suffixes at once by following pointers, with the least lcp on the way.
@@ -267,15 +271,15 @@ def longest_previous(order: np.ndarray, lcp: np.ndarray, rank: np.ndarray) -> np
     for step in (-1, 1):
         at = np.arange(n) + step
         low = lcp.copy() if step < 0 else np.r_[lcp[1:], 0] if n else lcp
-        while True:
-            inside = (at >= 0) & (at < n) & (low > 0)
-            worse = np.flatnonzero(inside)
-            worse = worse[own[at[worse]] >= own[worse]]
-            if not len(worse):
-                break
-            low[worse], at[worse] = np.minimum(low[worse], low[at[worse]]), at[at[worse]]
-        good = np.flatnonzero((at >= 0) & (at < n))
-        best[order[good]] = np.maximum(best[order[good]], low[good])
+        go = np.flatnonzero((at >= 0) & (at < n) & (low >= least))
+        while len(go):
+            # Those that have reached a smaller rank are done; the others follow the pointer where they stand.
+            there = at[go]
+            met = own[there] < own[go]
+            best[order[go[met]]] = np.maximum(best[order[go[met]]], low[go[met]])
+            go, there = go[~met], there[~met]
+            low[go], at[go] = np.minimum(low[go], low[there]), at[there]
+            go = go[(at[go] >= 0) & (at[go] < n) & (low[go] >= least)]
     return best
 
 
@@ -293,9 +297,9 @@ def repeats(sorted_rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
         order, lcp = suffix_array(flat, starts, length)
         # Rows come by key, id, h and lo, so the order of starts is the order in the documents.
         rank = np.arange(len(starts))
-        again = longest_previous(order, lcp, rank) >= length
+        again = longest_previous(order, lcp, rank, length) >= length
         if not keep_first:
-            again |= longest_previous(order, lcp, -rank) >= length
+            again |= longest_previous(order, lcp, -rank, length) >= length
         again &= np.array([x["ask"] for x in held])[of]
         hit = np.flatnonzero(again)
         if len(hit):
