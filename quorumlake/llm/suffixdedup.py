@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,6 +182,23 @@ def by_document(runs: DataFrame, length: int, keep_first: bool) -> DataFrame:
 WANT = pa.list_(pa.struct([("gram", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("at", pa.int64()), ("ask", pa.bool_()), ("hot", pa.bool_())]))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """id, h and the text compressed: texts cross the network twice, to be cut and to lose their spans."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for whole in batches:
+            for batch in pieces(whole):
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array([press.compress(t) for t in texts_of(batch)], pa.binary())], ["id", "h", "text"])
+
+    return rows.mapInArrow(run, f"id {kind}, h long, text binary")
+
+
+def unpacked(batch: pa.RecordBatch) -> list[bytes]:
+    return [zstandard.ZstdDecompressor().decompress(t) if t else b"" for t in batch.column("text").to_pylist()]
+
+
 def contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of wanted runs by key: the gram; for a hot gram also what the windows of a few offsets have in common."""
     kind = docs.schema["id"].dataType.simpleString()
@@ -189,7 +207,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         for whole in batches:
             for batch in pieces(whole, SEGMENT):
                 keys, asks, who, lows, cuts = [], [], [], [], []
-                for i, (t, want) in enumerate(zip(texts_of(batch), batch.column("want").to_pylist())):
+                for i, (t, want) in enumerate(zip(unpacked(batch), batch.column("want").to_pylist())):
                     for w in want:
                         lo = w["lo"]
                         while lo <= w["hi"]:
@@ -334,7 +352,7 @@ def repeated_spans(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """id, h and cover, start and end of all repeated places in turn, for documents that have any; rows: id, h, text."""
     runs = found_runs(rows, length, keep_first)
     mine = cut(by_document(runs.repartition("gram"), length, keep_first))
-    parts = contexts(rows, mine.filter("size(want) > 0").select("id", "h", "want"), length)
+    parts = contexts(packed(rows), mine.filter("size(want) > 0").select("id", "h", "want"), length)
     found = repeats(parts.repartition("key").sortWithinPartitions("key", "id", "h", "lo"), length, keep_first)
     sure = mine.filter("size(cover) > 0").select("id", "h", "cover")
     return sure.union(found.select("id", "h", F.array("lo", "hi"))).groupBy("id", "h").agg(F.flatten(F.collect_list("cover")).alias("cover"))
@@ -364,7 +382,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, keep_first: bool = Tru
         for whole in batches:
             for batch in pieces(whole):
                 out = []
-                for t, cover in zip(texts_of(batch), batch.column("cover").to_pylist()):
+                for t, cover in zip(unpacked(batch), batch.column("cover").to_pylist()):
                     gone = merge(np.array(cover or [], np.int64).reshape(-1, 2)).tolist()
                     at, parts = 0, []
                     for a, b in gone:
@@ -375,5 +393,6 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, keep_first: bool = Tru
                 cols = [pa.array(c, k) for c, k in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), *cols], ["id", "h", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
+    rows = packed(rows)
     met = rows.join(spans, rows["id"].eqNullSafe(spans["sid"]) & (rows["h"] == spans["sh"]), "left").select("id", "h", "text", "cover")
     return met.mapInArrow(run, f"id {kind}, h long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
