@@ -97,19 +97,23 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """cls and its set, for the classes in wanted (cls, rep): each read from the text of its document rep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows that share an id meet in one partition of the join: a class is read once.
+        seen: set[bytes] = set()
         for whole in batches:
             for batch in pieces(whole):
                 cls, sets = [], []
                 for raw, want in zip(texts_of(batch), batch.column("cls").to_pylist()):
+                    if want in seen:
+                        continue
                     s = shingle_set(raw, k)
                     if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == want:
+                        seen.add(want)
                         cls.append(want)
                         sets.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], ["cls", "set"])
 
     met = docs.join(wanted, docs["id"].eqNullSafe(wanted["rep"])).select("text", "cls")
-    # Documents that share an id may give a class twice.
-    return met.mapInArrow(run, "cls binary, set binary").dropDuplicates(["cls"])
+    return met.mapInArrow(run, "cls binary, set binary")
 
 
 def linked_in_block(hub: int | None, names: list[bytes], sets: list[np.ndarray], percent: int, ask: list[int] | None = None) -> tuple[list[tuple[bytes, bytes]], list[int]]:
