@@ -43,13 +43,19 @@ def lower_ascii(c: Column) -> Column:
 
 
 def kept_in_worker(key: tuple, make: Callable):
-    """One object per Python worker and key, kept from task to task."""
+    """An object that a Python worker keeps from task to task; it keeps one at a time, as workers outlive stages."""
     store = sys.__dict__.setdefault("_quorumlake_worker", {})
     if key not in store:
+        store.clear()
         store[key] = make()
     return store[key]
 
 
+def forget_in_worker() -> None:
+    """Drop what earlier stages left in this worker: the stage that begins needs the memory."""
+    sys.__dict__.setdefault("_quorumlake_worker", {}).clear()
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

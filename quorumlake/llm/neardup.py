@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import cut, pieces, runs_of, texts_of
+from quorumlake.llm.common import cut, forget_in_worker, pieces, runs_of, texts_of
 from quorumlake.llm.components import components
 
 #: Bands of ROWS bins: a pair of similarity 0.85 misses all 32 bands with a chance of 3e-7, one of 0.5 meets in 4 of 10 cases.
@@ -69,6 +69,7 @@ def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     bins = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_in_worker()
         order = probes(bins)
         salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
         for whole in batches:
@@ -97,6 +98,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """cls and its set, for the classes in wanted (cls, rep): each read from the text of its document rep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_in_worker()
         # Rows that share an id meet in one partition of the join: a class is read once.
         seen: set[bytes] = set()
         for whole in batches:
@@ -164,6 +166,7 @@ def verified(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) in each block, and stray rows (a null): classes that the hub of a split group is not linked with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_in_worker()
         for (hub, _), t in runs_of(batches, ["hub", "block"]):
             names = t.column("cls").to_pylist()
             sets = [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]
