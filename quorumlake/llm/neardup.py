@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,13 +14,28 @@ from pyspark.sql import functions as F
 from quorumlake.llm.common import cut, forget_in_worker, pieces, runs_of, texts_of
 from quorumlake.llm.components import components
 
-#: Bands of ROWS bins: a pair of similarity 0.85 misses all 32 bands with a chance of 3e-7, one of 0.5 meets in 4 of 10 cases.
-BANDS, ROWS = 32, 6
-BINS = BANDS * ROWS
+#: Bins of a signature at most, except where the threshold asks for more single ones, and the rows of a band at most.
+BINS, ROWS = 192, 6
+#: The chance at most that a pair at the threshold shares no band.
+MISS = 3e-7
 #: Members of a hub's block that one task compares; larger groups are split.
 BLOCK = 4000
 
 
+def bands_of(percent: int) -> tuple[int, int]:
+    """Bands, and rows in each: as many rows as leave a pair at the threshold a chance of MISS at most within BINS bins.
+
+    32 bands of six for 85 (a pair of similarity 0.5 meets in 4 of 10 cases), 38 of five for 80.
+    """
+    alike = min(max(percent, 1), 99) / 100
+    bands = 0
+    for rows in range(ROWS, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-(alike**rows)))
+        if bands * rows <= BINS:
+            return bands, rows
+    return bands, 1
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit integers."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -216,7 +232,7 @@ def links_of(classes: DataFrame, docs: DataFrame, percent: int, k: int, block: i
     return links.union(verified(first.unionByName(second), percent).filter("a IS NOT NULL").select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int | None = None, rows: int | None = None, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id and kept for every row.
 
     Rows with 100 * intersection >= percent * union of their shingle sets are
@@ -232,9 +248,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     Equal sets are one class.  Classes that share a band bucket meet in a star
     around its smallest class; sets are compared whole.  Classes that the hub is
     not linked with are compared with the rest of its group as well, in blocks,
-    so links between them are not lost.
+    so links between them are not lost.  Bands and rows follow from percent
+    unless both are given.
     """
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if bands is None or rows is None:
+        bands, rows = bands_of(percent)
     rows_ = cut(signed(given, shingle, bands, rows))
     classes = cut(rows_.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")))
     labels = components(links_of(classes, given, percent, shingle, block))
