@@ -1,4 +1,11 @@
-"""Language-model scores: context-tree weighting over bytes, beside a smoothed word model."""
+"""Language-model scores: context-tree weighting over bytes, beside a smoothed word model.
+
+A code is a place of a text: its byte and the DEPTH bytes before it, the nearest
+first, so that codes in order are the leaves of the context tree in order.  Codes
+are counted by blocks of documents; the tree is cut below its first TOP bytes, a
+subtree for each, and the few levels above come from sums over the subtrees.  A
+subtree answers each block with the log probabilities of the block's own codes.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +14,26 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import cut, forget_in_worker, pieces, texts_of
+from quorumlake.llm.common import cut, forget_in_worker, pieces, runs_of, texts_of
 
-#: Bytes of context.  All contexts of two bytes with their successors are at most 256**3 counts, which bounds what the driver holds and sends.
-DEPTH = 2
+#: Bytes of context, and those that name a subtree.  A subtree has at most 256**(DEPTH - TOP + 1) codes, the levels above it 256**TOP.
+DEPTH, TOP = 5, 3
 #: Starts and ends texts; no byte of UTF-8.
-EDGE = 0xFF
+EDGE = b"\xff"
 #: Words at least so frequent in training are at most 1 / HEAVY many, so their counts may be sent to all tasks.
 HEAVY = 1e-5
-PIECE = 4 << 20
+#: Bytes of text in a block (one longer text makes a block of its own), places looked at in one go, and codes of a forest of subtrees.
+BLOCK, PIECE, FOREST = 16 << 20, 4 << 20, 1 << 19
+#: Log probabilities are added up over subtrees as whole numbers of this unit, so that their order does not matter.
+UNIT = 4096.0
+HALF = np.log(0.5)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -31,93 +45,143 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
-def bit_tree(counts: np.ndarray) -> np.ndarray:
-    """Counts of 256 symbols by row to counts of bit prefixes: node j has children 2j (bit 0) and 2j+1 (bit 1), symbols are the nodes from 256 on."""
-    t = np.zeros((len(counts), 512))
-    t[:, 256:] = counts
-    for j in range(255, 0, -1):
-        t[:, j] = t[:, 2 * j] + t[:, 2 * j + 1]
-    return t
-
+SMALL = 1 << 12
+WHOLE_LOGS, HALF_LOGS = log_gamma(np.arange(SMALL) + 1.0), log_gamma(np.arange(SMALL) + 0.5)
 
-def kt(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For nodes 1-255: ln of the Krichevsky-Trofimov block probability, and the estimate that the next bit is 1."""
-    zero, one = t[:, 2::2], t[:, 3::2]
-    block = log_gamma(zero + 0.5) + log_gamma(one + 0.5) - np.log(np.pi) - log_gamma(zero + one + 1)
-    return block, (one + 0.5) / (zero + one + 1)
 
+def factorials(n: np.ndarray, half: bool) -> np.ndarray:
+    """ln gamma(n + 1), or of n + 1/2: most counts are small and looked up."""
+    out = (HALF_LOGS if half else WHOLE_LOGS)[np.minimum(n, SMALL - 1)]
+    big = np.flatnonzero(n >= SMALL)
+    if len(big):
+        out[big] = log_gamma(n[big] + (0.5 if half else 1.0))
+    return out
 
-def symbol_logs(p_one: np.ndarray) -> np.ndarray:
-    """log10 probabilities of the 256 symbols from the bit probabilities of nodes 1-255."""
-    out = np.zeros((len(p_one), 512))
-    for j in range(1, 256):
-        out[:, 2 * j] = out[:, j] + np.log10(1 - p_one[:, j - 1])
-        out[:, 2 * j + 1] = out[:, j] + np.log10(p_one[:, j - 1])
-    return out[:, 256:]
 
+class Level:
+    """All bit nodes of the contexts of one depth.
 
-class ContextTree:
-    """Weighted mixture over context depths 0 to 2 for every binary decision of a byte, with counts frozen after training.
+    code: context << 8 | symbol, distinct and sorted; n: counts.  At bit k a node
+    is a context with the first k bits of the symbol, keyed context << k | bits.
+    key, seen, p, own and weight are lists by k; node[k] tells each code's.
+    """
 
-    A node's weighted probability is half its own KT block probability and half
-    the product of its children's; the posterior share of the first half is
-    the weight of the node's estimate against the deeper ones.
+    def __init__(self, code: np.ndarray, n: np.ndarray, deeper: Level | None = None, given: list[tuple[np.ndarray, np.ndarray]] | None = None):
+        """deeper: the level below; given: the keys of this level's nodes with the summed logs of their children, by bit."""
+        self.code, self.n = code, n
+        self.key, self.node, self.seen, self.p, self.log, self.weight = [], [], [], [], [], []
+        for k in range(8):
+            key = code >> (8 - k)
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(code) else np.zeros(0, np.int64)
+            total = np.add.reduceat(n, first) if len(first) else np.zeros(0, np.int64)
+            one = np.add.reduceat(n * (code >> (7 - k) & 1), first) if len(first) else total
+            own = factorials(total - one, True) + factorials(one, True) - np.log(np.pi) - factorials(total, False)
+            self.key.append(key[first])
+            self.node.append(np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(code)])))
+            self.seen.append(total > 0)
+            self.p.append((one + 0.5) / (total + 1))
+            if deeper is None and given is None:
+                self.log.append(own)
+                self.weight.append(np.ones(len(first)))
+                continue
+            keys, logs = given[k] if given is not None else (parents(deeper.key[k], k), deeper.log[k])
+            below = np.bincount(np.searchsorted(self.key[k], keys), logs, len(first))
+            self.log.append(HALF + np.logaddexp(own, below))
+            self.weight.append(np.exp(HALF + own - self.log[k]))
+
+    def mixed(self, k: int, at: np.ndarray, deeper: np.ndarray | None, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The estimates at nodes `at` mixed with the deeper ones where those are known, and which of the nodes were seen themselves."""
+        node = self.node[k][at]
+        p, w = self.p[k][node], self.weight[k][node]
+        return (p if deeper is None else np.where(known, w * p + (1 - w) * deeper, p)), self.seen[k][node]
+
+
+def parents(key: np.ndarray, k: int) -> np.ndarray:
+    """Keys of nodes at bit k, one context byte shorter."""
+    return key >> (8 + k) << k | key & ((1 << k) - 1)
+
+
+def shorter(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes with one context byte less, their counts, and which of them each code becomes."""
+    up, at = np.unique(code >> 16 << 8 | code & 255, return_inverse=True)
+    return up, np.bincount(at, n, len(up)).astype(np.int64), at
+
+
+def levels_of(code: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[list[Level], list[np.ndarray]]:
+    """Levels of depths `depth` to `top`, deepest first, and which code of each every given code becomes."""
+    levels, places = [Level(code, n)], [np.arange(len(code))]
+    for _ in range(depth - top):
+        code, n, at = shorter(code, n)
+        levels.append(Level(code, n, levels[-1]))
+        places.append(at[places[-1]])
+    return levels, places
+
+
+def mixed_down(levels: list[Level], places: list[np.ndarray], k: int) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """For each code at bit k, the estimate of the last level mixed with all deeper ones, and where that level was seen."""
+    deeper = known = None
+    for level, at in zip(levels, places):
+        deeper, known = level.mixed(k, at, deeper, known)
+    return deeper, known
+
+
+class Crown:
+    """The levels above the subtrees, by (context of TOP - 1 bytes, bit node): the whole mixture is a + b * deeper, or c where nothing deeper was seen.
+
+    Plain arrays, so that a worker needs no code of ours to read them.
     """
 
-    def __init__(self, codes: np.ndarray, n: np.ndarray):
-        """codes: the two bytes before, then the byte, as one number, distinct and sorted; n: their counts."""
-        pair, at = np.unique(codes >> 8, return_inverse=True)
-        last = pair & 255
-        half = np.log(0.5)
-        own1, own0 = np.zeros((256, 256)), np.zeros((1, 256))
-        np.add.at(own1, (last[at], codes & 255), n)
-        own0[0] = own1.sum(0)
-        below1 = np.zeros((256, 255))
-        blocks = [slice(k, min(k + 4096, len(pair))) for k in range(0, len(pair), 4096)]
-
-        def deepest(s: slice) -> tuple[np.ndarray, np.ndarray]:
-            counts = np.zeros((len(pair[s]), 256))
-            mine = (at >= s.start) & (at < s.stop)
-            counts[at[mine] - s.start, codes[mine] & 255] = n[mine]
-            return kt(bit_tree(counts))
-
-        for s in blocks:
-            np.add.at(below1, last[s], deepest(s)[0])
-        block1, p1 = kt(bit_tree(own1))
-        whole1 = half + np.logaddexp(block1, below1)
-        block0, p0 = kt(bit_tree(own0))
-        whole0 = half + np.logaddexp(block0, whole1.sum(0, keepdims=True))
-        w1, w0 = np.exp(half + block1 - whole1), np.exp(half + block0 - whole0)
-        mix = lambda deep, b: w0 * p0 + (1 - w0) * (w1[b] * p1[b] + (1 - w1[b]) * deep)
-        #: A row of log10 probabilities for each seen pair, then for each last byte after an unseen pair.
-        self.table = np.empty((len(pair) + 256, 256), np.float32)
-        for s in blocks:
-            self.table[s] = symbol_logs(mix(deepest(s)[1], last[s]))
-        self.table[len(pair) :] = symbol_logs(mix(0.5, np.arange(256)))
-        self.row = (len(pair) + (np.arange(1 << 16) & 255)).astype(np.int32)
-        self.row[pair] = np.arange(len(pair))
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text: its bytes and the end after them."""
-        pair, symbol, valid, starts = contexts_of(texts)
-        logs = self.table[self.row[pair], symbol].astype(np.float64)
-        logs[~valid] = 0
-        return np.add.reduceat(logs, starts) if len(starts) else np.zeros(0)
-
-
-def contexts_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Context pair and symbol at all places of the joined texts, which of them are a text's own, and where each text's begin."""
-    edge = bytes([EDGE])
-    b = np.frombuffer(b"".join(edge * DEPTH + t + edge for t in texts), np.uint8).astype(np.int64)
-    ends = np.cumsum([len(t) + DEPTH + 1 for t in texts])
-    starts = np.r_[0, ends[:-1]].astype(np.int64) if len(texts) else np.zeros(0, np.int64)
-    pair, symbol = b[:-2] << 8 | b[1:-1], b[2:]
-    valid = np.ones(len(symbol), bool)
-    # The places whose symbol is one of the two bytes before the next text.
-    for k in (-2, -1):
-        at = starts[1:] + k
-        valid[at] = False
-    return pair, symbol, valid, starts
+    @staticmethod
+    def of(code: np.ndarray, n: np.ndarray, given: list[tuple[np.ndarray, np.ndarray]], depth: int = TOP - 1) -> list[tuple[np.ndarray, ...]]:
+        levels, at = [Level(code, n, given=given)], [np.arange(len(code))]
+        for _ in range(depth):
+            code, n, up = shorter(code, n)
+            levels.append(Level(code, n, levels[-1]))
+            at.append(up[at[-1]])
+        out = []
+        for k in range(8):
+            low = levels[0]
+            first = np.flatnonzero(np.r_[True, low.node[k][1:] != low.node[k][:-1]]) if len(low.code) else np.zeros(0, np.int64)
+            a, b, c, known = np.zeros(len(first)), np.ones(len(first)), None, None
+            for level, place in zip(levels, at):
+                node = level.node[k][place[first]]
+                p, w = level.p[k][node], level.weight[k][node]
+                c = p if c is None else np.where(known, w * p + (1 - w) * c, p)
+                a, b, known = w * p + (1 - w) * a, (1 - w) * b, level.seen[k][node]
+            out.append((low.key[k], a, b, c))
+        return out
+
+
+def code_logs(code: np.ndarray, n: np.ndarray, crown: list[tuple[np.ndarray, ...]], depth: int = DEPTH, top: int = TOP) -> np.ndarray:
+    """log10 probability of each code's byte after its context, for whole subtrees."""
+    levels, places = levels_of(code, n, depth, top)
+    out = np.zeros(len(code))
+    symbol = code & 255
+    for k in range(8):
+        deeper, known = mixed_down(levels, places, k)
+        keys, a, b, c = crown[k]
+        # The node of the code's context of top - 1 bytes.
+        at = np.searchsorted(keys, code >> 8 * (depth - top + 2) << k | symbol >> (8 - k))
+        one = np.where(known, a[at] + b[at] * deeper, c[at])
+        out += np.log10(np.where(symbol >> (7 - k) & 1, one, 1 - one))
+    return out
+
+
+def places_of(texts: list[bytes], depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes of the joined texts and the text of each, PIECE places at a time."""
+    raw = b"".join(EDGE * depth + t + EDGE for t in texts)
+    ends = np.cumsum([len(t) + depth + 1 for t in texts]).astype(np.int64)
+    for start in range(depth, len(raw), PIECE):
+        b = np.frombuffer(raw, np.uint8, min(len(raw), start + PIECE) - start + depth, start - depth)
+        code = np.zeros(len(b) - depth, np.int64)
+        for back in range(1, depth + 1):
+            code = code << 8 | b[depth - back : len(b) - back]
+        code = code << 8 | b[depth:]
+        place = np.arange(start, start + len(code))
+        of = np.searchsorted(ends, place, side="right")
+        # The first places of a text are the edge before it.
+        own = place - np.r_[0, ends[:-1]][of] >= depth
+        yield code[own], of[own]
 
 
 def word_codes(texts: list[bytes]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
@@ -131,27 +195,119 @@ def word_codes(texts: list[bytes]) -> tuple[dict[bytes, int], np.ndarray, np.nda
     return number, np.concatenate(codes) if codes else np.zeros(0, np.int64), np.array(n, np.int64)
 
 
-def training_counts(rows: DataFrame) -> DataFrame:
-    """(word, code, n): counts of words (the empty word is the end), and of byte triples where word is null, in training rows."""
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """Documents (id, text, held_out) by blocks: their ids, sizes, folds and lower-cased texts, compressed."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_in_worker()
-        triples = np.zeros(1 << 24, np.uint32)
+        press, serial = zstandard.ZstdCompressor(level=1), count(TaskContext.get().partitionId() << 32)
+        ids, texts, held, total = [], [], [], 0
+
+        def full() -> pa.RecordBatch:
+            sizes = pa.array([list(map(len, texts))], pa.list_(pa.int64()))
+            id_list = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pa.concat_arrays(ids))
+            return pa.RecordBatch.from_arrays([pa.array([next(serial)], pa.int64()), id_list, sizes, pa.array([held], pa.list_(pa.bool_())), pa.array([press.compress(b"".join(texts))], pa.binary())], ["block", "ids", "sizes", "held", "blob"])
+
         for whole in batches:
             for batch in pieces(whole, PIECE):
-                train = [t.lower() for t, out in zip(texts_of(batch), batch.column("held_out").to_pylist()) if not out]
-                if not train:
-                    continue
-                pair, symbol, valid, _ = contexts_of(train)
-                np.add(triples, np.bincount((pair << 8 | symbol)[valid], minlength=1 << 24), out=triples, casting="unsafe")
-                del pair, symbol, valid
-                number, codes, _ = word_codes(train)
-                n = np.r_[np.bincount(codes, minlength=len(number)), len(train)].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([*number, b""], pa.binary()), pa.array(np.full(len(n), -1)), pa.array(n)], ["word", "code", "n"])
-        seen = np.flatnonzero(triples)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.binary()), pa.array(seen.astype(np.int64)), pa.array(triples[seen].astype(np.int64))], ["word", "code", "n"])
+                found = [t.lower() for t in texts_of(batch)]
+                size = sum(map(len, found))
+                if texts and total + size > BLOCK:
+                    yield full()
+                    ids, texts, held, total = [], [], [], 0
+                ids.append(batch.column("id"))
+                texts += found
+                held += batch.column("held_out").to_pylist()
+                total += size
+        if texts:
+            yield full()
+
+    return rows.mapInArrow(run, f"block long, ids array<{kind}>, sizes array<long>, held array<boolean>, blob binary")
+
+
+def texts_in(blob: bytes, sizes: list[int]) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    ends = np.cumsum(sizes).tolist()
+    return [raw[b - n : b] for b, n in zip(ends, sizes)]
+
+
+def counted(blocks: DataFrame) -> DataFrame:
+    """For each block and subtree the block's codes, without the subtree's bytes, and their training counts; and (words, n) with a null subtree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_in_worker()
+        for batch in batches:
+            for block, sizes, held, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "held", "blob"))):
+                texts, out = texts_in(blob, sizes), np.array(held)
+                code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for places, of in places_of(texts):
+                    number, found = pd.factorize(places)
+                    code, at = np.unique(np.r_[code, found], return_inverse=True)
+                    more = np.bincount(number, ~out[of], len(found))
+                    n = np.bincount(at, np.r_[n, more], len(code)).astype(np.int64)
+                tree = code >> 8 * (DEPTH - TOP + 1)
+                first = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
+                offsets = pa.array(np.r_[first, len(code)], pa.int32())
+                low = (code & ((1 << 8 * (DEPTH - TOP + 1)) - 1)).astype(np.int32)
+                nothing = pa.nulls(len(first), pa.list_(pa.binary()))
+                names = ["block", "tree", "low", "n", "words"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), block)), pa.array(tree[first].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(low)), pa.ListArray.from_arrays(offsets, pa.array(n)), nothing], names)
+                number, codes, sized = word_codes(texts)
+                times = np.bincount(codes, ~np.repeat(out, sized), len(number)).astype(np.int64)
+                # The empty word is the end.
+                words = pa.array([[*number, b""]], pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.int32())), pa.array([[*times.tolist(), int((~out).sum())]], pa.list_(pa.int64())), words], names)
+
+    return blocks.mapInArrow(run, "block long, tree int, low array<int>, n array<long>, words array<binary>")
+
+
+def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+    """Whole subtrees of rows sorted by subtree, about FOREST codes together: the rows, distinct codes and their counts, and each row's codes."""
+    held, total = [], 0
+
+    def together() -> tuple:
+        t = pa.concat_tables(held).combine_chunks()
+        low = t.column("low").combine_chunks()
+        sizes = np.diff(low.offsets.to_numpy())
+        code = np.repeat(t.column("tree").to_numpy().astype(np.int64), sizes) << 8 * (DEPTH - TOP + 1) | low.flatten().to_numpy()
+        code, at = np.unique(code, return_inverse=True)
+        return t, code, np.bincount(at, t.column("n").combine_chunks().flatten().to_numpy(), len(code)).astype(np.int64), at
+
+    for _, t in runs_of(batches, ["tree"]):
+        held.append(t)
+        total += len(t.column("low").combine_chunks().flatten()) if t.num_rows else 0
+        if total >= FOREST:
+            yield together()
+            held, total = [], 0
+    if held:
+        yield together()
+
+
+def crown_sums(placed: DataFrame) -> DataFrame:
+    """(bit, key, n, log): for bit 8 the counts of codes of TOP - 1 context bytes, for bits 0-7 the summed logs of the subtrees below a node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_in_worker()
+        for _, code, n, _ in forests(batches):
+            level = levels_of(code, n, DEPTH, TOP)[0][-1]
+            up, total, _ = shorter(level.code, level.n)
+            parts = [(8, up, total, np.zeros(len(up), np.int64))]
+            for k in range(8):
+                key, at = np.unique(parents(level.key[k], k), return_inverse=True)
+                logs = np.bincount(at, np.rint(level.log[k] * UNIT), len(key)).astype(np.int64)
+                parts.append((k, key, np.zeros(len(key), np.int64), logs))
+            for k, key, m, logs in parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key), pa.array(m), pa.array(logs)], ["bit", "key", "n", "log"])
+
+    return placed.mapInArrow(run, "bit int, key long, n long, log long").groupBy("bit", "key").agg(F.sum("n").alias("n"), F.sum("log").alias("log"))
 
-    return rows.mapInArrow(run, "word binary, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
+
+def crown_of(sums: pd.DataFrame) -> list[tuple[np.ndarray, ...]]:
+    by = {k: g.sort_values("key") for k, g in sums.groupby("bit")}
+    empty = np.zeros(0, np.int64)
+    column = lambda k, c: by[k][c].to_numpy(np.int64) if k in by else empty
+    return Crown.of(column(8, "key"), column(8, "n"), [(column(k, "key"), column(k, "log") / UNIT) for k in range(8)])
 
 
 def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
@@ -164,68 +320,80 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     probability that context-tree weighting gives the bytes and their end, and
     bits_per_byte its code length by byte of text and end.
 
+    Every context of up to DEPTH bytes that occurs is counted, so the model grows
+    with the corpus.  A node's estimate is weighted against the deeper ones by
+    its share in the weighted probability of its training bits; counts are frozen
+    after training, and where a context was never seen the mixture ends above it.
+
     Null and empty texts have the end alone; a null id counts as empty text.
     Repeated rows count, and get a row, each.  With no training rows all counts
     are 0.  An empty table gives no rows; other columns are not read.
 
     Words that make up at least HEAVY of the training tokens are looked up in
-    each task; postings of the others meet their counts in a join and return to
-    their rows as partial sums.
+    each task; the others of a block meet their counts in a join.
     """
     text_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.crc32(text_id) % folds == held).alias("held_out"))
-    counts = cut(training_counts(rows))
-    words = counts.filter("word IS NOT NULL").select("word", "n")
-    n_all, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    triples = counts.filter("word IS NULL").select("code", "n").orderBy("code").toPandas()
-    tree = ContextTree(triples.code.to_numpy(np.int64), triples.n.to_numpy(np.int64))
-    heavy = {bytes(r.word): r.n for r in words.filter((F.col("n") >= HEAVY * n_all) | (F.col("word") == F.lit(b""))).collect()}
-    ends = heavy.pop(b"", 0)
-    sent = docs.sparkSession.sparkContext.broadcast((tree, heavy))
     kind = rows.schema["id"].dataType.simpleString()
+    # Written out, so that all later steps see the same blocks.
+    blocks = cut(blocks_of(rows))
+    counts = counted(blocks)
+    # One pass over the blocks gives both; the words stay out of the trees' partitions by their own key.
+    at = F.coalesce(F.xxhash64("tree"), F.xxhash64("block"))
+    placed = cut(counts.repartition(at).sortWithinPartitions("tree", "block"))
+    trees, listed = placed.filter("tree IS NOT NULL"), placed.filter("tree IS NULL")
+    crown = crown_of(crown_sums(trees).toPandas())
+    met = cut(listed.select("block", F.explode(F.arrays_zip("words", "n")).alias("x")).select("block", "x.words", "x.n").withColumnRenamed("words", "word"))
+    words = cut(met.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"))
+    n_all, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    often = (F.col("n") >= HEAVY * n_all) | (F.col("word") == F.lit(b""))
+    frequent = {bytes(r.word): r.n for r in words.filter(often).collect()}
+    ends = frequent.pop(b"", 0)
+    sent = docs.sparkSession.sparkContext.broadcast((crown, frequent))
 
-    def whole_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, frequent = sent.value
-        for whole in batches:
-            for batch in pieces(whole, PIECE):
-                texts = [t.lower() for t in texts_of(batch)]
-                number, codes, n = word_codes(texts)
-                c = np.array([frequent.get(w, 0) for w in number], np.float64)[codes] if len(codes) else np.zeros(0)
-                own = np.repeat(np.arange(len(texts)), n)
-                sums = np.bincount(own, np.log10(c + 1), len(texts)) + np.log10(ends + 1)
-                seen = np.bincount(own, c > 0, len(texts)).astype(np.int64) + (ends > 0)
-                sizes = pa.array([len(t) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id"), batch.column("held_out"), pa.array(n + 1), sizes, pa.array(seen), pa.array(sums), pa.array(model.score(texts))], ["rid", "id", "held_out", "n_tokens", "n_bytes", "n_known", "sums", "score"])
-
-    def rare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = sent.value[1]
-        for whole in batches:
-            for batch in pieces(whole, PIECE):
-                texts = [t.lower() for t in texts_of(batch)]
-                number, codes, n = word_codes(texts)
-                if not len(codes):
-                    continue
-                m = len(texts)
-                rare = np.array([w not in frequent for w in number])[codes]
-                pairs, times = np.unique(codes[rare] * m + np.repeat(np.arange(m), n)[rare], return_counts=True)
-                word, rid = pairs // m, batch.column("rid").to_numpy()[pairs % m]
-                first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
-                offsets, listed = pa.array(np.r_[first, len(word)], pa.int32()), list(number)
-                yield pa.RecordBatch.from_arrays([pa.array([listed[w] for w in word[first].tolist()], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(rid)), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))], ["word", "rids", "times"])
-
-    # A scan numbers its rows alike each time, so both passes agree on rid.
-    numbered = rows.withColumn("rid", F.monotonically_increasing_id())
-    rare = numbered.select("rid", "text").mapInArrow(rare_rows, "word binary, rids array<long>, times array<int>").join(words, "word").select("rids", "times", "n")
-    each = rare.select("n", "times", F.posexplode("rids").alias("at", "rid"))
-    times = F.get("times", F.col("at")).cast("long")
-    partial = each.groupBy("rid").agg(F.sum(times).alias("more_known"), F.sum(times * F.log10(F.col("n") + F.lit(1.0))).alias("more_sums"))
-    told = numbered.mapInArrow(whole_rows, f"rid long, id {kind}, held_out boolean, n_tokens long, n_bytes long, n_known long, sums double, score double")
-    whole = told.join(partial, "rid", "left")
-    zero = lambda c, v: F.coalesce(F.col(c), F.lit(v))
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_in_worker()
+        top = sent.value[0]
+        for t, code, n, at in forests(batches):
+            logs = code_logs(code, n, top).astype(np.float32)[at]
+            offsets = np.r_[0, np.cumsum(np.diff(t.column("low").combine_chunks().offsets.to_numpy()))]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(logs))
+            yield from pa.table([t.column("block"), t.column("tree"), lists], ["block", "tree", "logs"]).to_batches()
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_in_worker()
+        common = sent.value[1]
+        for (block,), t in runs_of(batches, ["block"]):
+            kinds = t.column("kind").to_numpy()
+            logs = np.concatenate([c.flatten().to_numpy() for c in t.column("logs").chunks])
+            rare = {w: n for ws, ns in zip(*(t.filter(pa.array(kinds == 1)).column(c).to_pylist() for c in ("words", "times"))) for w, n in zip(ws, ns)}
+            row = t.filter(pa.array(kinds == 2))
+            sizes, out = row.column("sizes")[0].as_py(), row.column("held")[0].as_py()
+            texts = texts_in(row.column("blob")[0].as_py(), sizes)
+            # The block's codes, in order, are what its logs belong to.
+            m = len(texts)
+            score, code = np.zeros(m), np.zeros(0, np.int64)
+            for places, _ in places_of(texts):
+                code = np.union1d(code, pd.unique(places))
+            for places, of in places_of(texts):
+                number, found = pd.factorize(places)
+                score += np.bincount(of, logs[np.searchsorted(code, found)].astype(np.float64)[number], m)
+            number, codes, n = word_codes(texts)
+            c = np.array([common.get(w) or rare.get(w, 0) for w in number], np.float64)[codes] if len(codes) else np.zeros(0)
+            own = np.repeat(np.arange(m), n)
+            sums = np.bincount(own, np.log10(c + 1), m) + np.log10(ends + 1)
+            known = np.bincount(own, c > 0, m).astype(np.int64) + (ends > 0)
+            ids = row.column("ids").combine_chunks().flatten()
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out), pa.array(n + 1), pa.array(sizes, pa.int64()), pa.array(known), pa.array(sums), pa.array(score)], ["id", "held_out", "n_tokens", "n_bytes", "n_known", "sums", "score"])
+
+    rare = met.select("block", "word").join(words.filter(~often), "word").withColumn("part", F.pmod(F.xxhash64("word"), F.lit(16)))
+    lists = rare.groupBy("block", "part").agg(F.collect_list(F.struct("word", "n")).alias("x")).select("block", F.col("x.word").alias("words"), F.col("x.n").alias("times"))
+    logs = trees.mapInArrow(answer, "block long, tree int, logs array<float>")
+    every = logs.withColumn("kind", F.lit(0)).unionByName(lists.withColumn("kind", F.lit(1)), allowMissingColumns=True).unionByName(blocks.withColumn("kind", F.lit(2)), allowMissingColumns=True)
+    told = every.repartition("block").sortWithinPartitions("block", "kind", "tree").mapInArrow(tell, f"id {kind}, held_out boolean, n_tokens long, n_bytes long, n_known long, sums double, score double")
     level = float(np.log10(n_all + n_distinct + 1))
-    return whole.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + zero("more_known", 0)).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("sums") + zero("more_sums", 0.0) - F.col("n_tokens") * level).alias("base_score"), "score",
+    return told.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"),
+        (F.col("sums") - F.col("n_tokens") * level).alias("base_score"), "score",
         (-F.col("score") / float(np.log10(2)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
-
