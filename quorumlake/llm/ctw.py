@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.llm.common import cut, forget_in_worker, pieces, runs_of, texts_of
@@ -30,7 +30,7 @@ EDGE = b"\xff"
 #: Words at least so frequent in training are at most 1 / HEAVY many, so their counts may be sent to all tasks.
 HEAVY = 1e-5
 #: Bytes of text in a block (one longer text makes a block of its own), places looked at in one go, and codes of a forest of subtrees.
-BLOCK, PIECE, FOREST = 16 << 20, 4 << 20, 1 << 19
+BLOCK, PIECE, FOREST = 16 << 20, 1 << 20, 1 << 18
 #: Log probabilities are added up over subtrees as whole numbers of this unit, so that their order does not matter.
 UNIT = 4096.0
 HALF = np.log(0.5)
@@ -232,51 +232,71 @@ def texts_in(blob: bytes, sizes: list[int]) -> list[bytes]:
     return [raw[b - n : b] for b, n in zip(ends, sizes)]
 
 
+def lists_of(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Bytes of values in one binary cell for each run of rows: ends has len + 1 row numbers."""
+    width = values.dtype.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * width).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def block_codes(texts: list[bytes]) -> np.ndarray:
+    """The distinct codes of a block, in order."""
+    code = np.zeros(0, np.int64)
+    for places, _ in places_of(texts):
+        code = np.union1d(code, pd.unique(places))
+    return code
+
+
 def counted(blocks: DataFrame) -> DataFrame:
-    """For each block and subtree the block's codes, without the subtree's bytes, and their training counts; and (words, n) with a null subtree."""
+    """For each block and subtree the block's codes, without the subtree's bytes, and their training counts.
+
+    low has three bytes a code, few one byte of its count; counts from 255 on stand in many, in order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_in_worker()
         for batch in batches:
-            for block, sizes, held, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "held", "blob"))):
+            for k in range(batch.num_rows):
+                block, sizes, held, blob = (batch.column(c)[k].as_py() for c in ("block", "sizes", "held", "blob"))
                 texts, out = texts_in(blob, sizes), np.array(held)
                 code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 for places, of in places_of(texts):
                     number, found = pd.factorize(places)
-                    code, at = np.unique(np.r_[code, found], return_inverse=True)
                     more = np.bincount(number, ~out[of], len(found))
+                    code, at = np.unique(np.r_[code, found], return_inverse=True)
                     n = np.bincount(at, np.r_[n, more], len(code)).astype(np.int64)
                 tree = code >> 8 * (DEPTH - TOP + 1)
                 first = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
-                offsets = pa.array(np.r_[first, len(code)], pa.int32())
-                low = (code & ((1 << 8 * (DEPTH - TOP + 1)) - 1)).astype(np.int32)
-                nothing = pa.nulls(len(first), pa.list_(pa.binary()))
-                names = ["block", "tree", "low", "n", "words"]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), block)), pa.array(tree[first].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(low)), pa.ListArray.from_arrays(offsets, pa.array(n)), nothing], names)
-                number, codes, sized = word_codes(texts)
-                times = np.bincount(codes, ~np.repeat(out, sized), len(number)).astype(np.int64)
-                # The empty word is the end.
-                words = pa.array([[*number, b""]], pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.int32())), pa.array([[*times.tolist(), int((~out).sum())]], pa.list_(pa.int64())), words], names)
-
-    return blocks.mapInArrow(run, "block long, tree int, low array<int>, n array<long>, words array<binary>")
-
-
-def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
-    """Whole subtrees of rows sorted by subtree, about FOREST codes together: the rows, distinct codes and their counts, and each row's codes."""
+                ends = np.r_[first, len(code)]
+                low = np.column_stack([code >> 8 * k & 255 for k in range(DEPTH - TOP + 1)]).astype(np.uint8)
+                big = n >= 255
+                many = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(big)][ends], pa.int32()), pa.array(n[big]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), block)), pa.array(tree[first].astype(np.int32)), lists_of(low, ends), lists_of(np.minimum(n, 255).astype(np.uint8), ends), many], ["block", "tree", "low", "few", "many"]
+                )
+
+    return blocks.mapInArrow(run, "block long, tree int, low binary, few binary, many array<long>")
+
+
+def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Whole subtrees of rows sorted by subtree, about FOREST codes together: the rows, distinct codes and their counts, which of them each row's codes are, and the rows' numbers of codes."""
     held, total = [], 0
 
     def together() -> tuple:
-        t = pa.concat_tables(held).combine_chunks()
-        low = t.column("low").combine_chunks()
-        sizes = np.diff(low.offsets.to_numpy())
-        code = np.repeat(t.column("tree").to_numpy().astype(np.int64), sizes) << 8 * (DEPTH - TOP + 1) | low.flatten().to_numpy()
+        t = pa.concat_tables(held)
+        few = t.column("few").to_pylist()
+        sizes = np.fromiter(map(len, few), np.int64, len(few))
+        n = np.frombuffer(b"".join(few), np.uint8).astype(np.int64)
+        n[n == 255] = t.column("many").combine_chunks().flatten().to_numpy()
+        low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(-1, DEPTH - TOP + 1).astype(np.int64)
+        code = np.repeat(t.column("tree").to_numpy().astype(np.int64), sizes) << 8 * (DEPTH - TOP + 1)
+        for k in range(DEPTH - TOP + 1):
+            code |= low[:, k] << 8 * k
         code, at = np.unique(code, return_inverse=True)
-        return t, code, np.bincount(at, t.column("n").combine_chunks().flatten().to_numpy(), len(code)).astype(np.int64), at
+        return t, code, np.bincount(at, n, len(code)).astype(np.int64), at, sizes
 
     for _, t in runs_of(batches, ["tree"]):
         held.append(t)
-        total += len(t.column("low").combine_chunks().flatten()) if t.num_rows else 0
+        total += t.column("few").nbytes
         if total >= FOREST:
             yield together()
             held, total = [], 0
@@ -284,12 +304,28 @@ def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
         yield together()
 
 
+def words_of(blocks: DataFrame) -> DataFrame:
+    """(word, n): each block's words with their training counts; the empty word is the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                sizes, held, blob = (batch.column(c)[k].as_py() for c in ("sizes", "held", "blob"))
+                train = [t for t, out in zip(texts_in(blob, sizes), held) if not out]
+                if train:
+                    number, codes, _ = word_codes(train)
+                    n = np.r_[np.bincount(codes, minlength=len(number)), len(train)].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([*number, b""], pa.binary()), pa.array(n)], ["word", "n"])
+
+    return blocks.mapInArrow(run, "word binary, n long")
+
+
 def crown_sums(placed: DataFrame) -> DataFrame:
     """(bit, key, n, log): for bit 8 the counts of codes of TOP - 1 context bytes, for bits 0-7 the summed logs of the subtrees below a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_in_worker()
-        for _, code, n, _ in forests(batches):
+        for _, code, n, *_ in forests(batches):
             level = levels_of(code, n, DEPTH, TOP)[0][-1]
             up, total, _ = shorter(level.code, level.n)
             parts = [(8, up, total, np.zeros(len(up), np.int64))]
@@ -330,67 +366,69 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     are 0.  An empty table gives no rows; other columns are not read.
 
     Words that make up at least HEAVY of the training tokens are looked up in
-    each task; the others of a block meet their counts in a join.
+    each task; the others of a block get their counts from a window over the word.
     """
     text_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.crc32(text_id) % folds == held).alias("held_out"))
     kind = rows.schema["id"].dataType.simpleString()
     # Written out, so that all later steps see the same blocks.
     blocks = cut(blocks_of(rows))
-    counts = counted(blocks)
-    # One pass over the blocks gives both; the words stay out of the trees' partitions by their own key.
-    at = F.coalesce(F.xxhash64("tree"), F.xxhash64("block"))
-    placed = cut(counts.repartition(at).sortWithinPartitions("tree", "block"))
-    trees, listed = placed.filter("tree IS NOT NULL"), placed.filter("tree IS NULL")
+    trees = cut(counted(blocks).repartition("tree").sortWithinPartitions("tree", "block"))
     crown = crown_of(crown_sums(trees).toPandas())
-    met = cut(listed.select("block", F.explode(F.arrays_zip("words", "n")).alias("x")).select("block", "x.words", "x.n").withColumnRenamed("words", "word"))
-    words = cut(met.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"))
-    n_all, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    often = (F.col("n") >= HEAVY * n_all) | (F.col("word") == F.lit(b""))
-    frequent = {bytes(r.word): r.n for r in words.filter(often).collect()}
+    totals = words_of(blocks).groupBy("word").agg(F.sum("n").alias("n"))
+    n_all, n_distinct = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    frequent = {bytes(r.word): r.n for r in totals.filter((F.col("n") >= HEAVY * n_all) | (F.col("word") == F.lit(b""))).collect()}
     ends = frequent.pop(b"", 0)
     sent = docs.sparkSession.sparkContext.broadcast((crown, frequent))
 
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = sent.value[1]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, sizes, held, blob = (batch.column(c)[k].as_py() for c in ("block", "sizes", "held", "blob"))
+                number, codes, n = word_codes(texts_in(blob, sizes))
+                times = np.bincount(codes, np.repeat(~np.array(held), n), len(number)).astype(np.int64)
+                words = list(number)
+                rare = np.flatnonzero(np.fromiter((w not in common for w in words), bool, len(words)))
+                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in rare.tolist()], pa.binary()), pa.array(np.full(len(rare), block)), pa.array(rare.astype(np.int32)), pa.array(times[rare])], ["word", "block", "at", "n"])
+
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_in_worker()
         top = sent.value[0]
-        for t, code, n, at in forests(batches):
+        for t, code, n, at, sizes in forests(batches):
             logs = code_logs(code, n, top).astype(np.float32)[at]
-            offsets = np.r_[0, np.cumsum(np.diff(t.column("low").combine_chunks().offsets.to_numpy()))]
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(logs))
-            yield from pa.table([t.column("block"), t.column("tree"), lists], ["block", "tree", "logs"]).to_batches()
+            yield from pa.table([t.column("block"), t.column("tree"), lists_of(logs, np.r_[0, np.cumsum(sizes)])], ["block", "tree", "logs"]).to_batches()
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_in_worker()
         common = sent.value[1]
         for (block,), t in runs_of(batches, ["block"]):
-            kinds = t.column("kind").to_numpy()
-            logs = np.concatenate([c.flatten().to_numpy() for c in t.column("logs").chunks])
-            rare = {w: n for ws, ns in zip(*(t.filter(pa.array(kinds == 1)).column(c).to_pylist() for c in ("words", "times"))) for w, n in zip(ws, ns)}
-            row = t.filter(pa.array(kinds == 2))
-            sizes, out = row.column("sizes")[0].as_py(), row.column("held")[0].as_py()
-            texts = texts_in(row.column("blob")[0].as_py(), sizes)
             # The block's codes, in order, are what its logs belong to.
+            logs = np.frombuffer(b"".join(x for x in t.column("logs").to_pylist() if x), np.float32)
+            row = t.filter(pa.compute.is_valid(t.column("blob")))
+            sizes, out, ids = row.column("sizes")[0].as_py(), row.column("held")[0].as_py(), row.column("ids").combine_chunks().flatten()
+            texts = texts_in(row.column("blob")[0].as_py(), sizes)
             m = len(texts)
-            score, code = np.zeros(m), np.zeros(0, np.int64)
-            for places, _ in places_of(texts):
-                code = np.union1d(code, pd.unique(places))
+            score, code = np.zeros(m), block_codes(texts)
             for places, of in places_of(texts):
                 number, found = pd.factorize(places)
                 score += np.bincount(of, logs[np.searchsorted(code, found)].astype(np.float64)[number], m)
             number, codes, n = word_codes(texts)
-            c = np.array([common.get(w) or rare.get(w, 0) for w in number], np.float64)[codes] if len(codes) else np.zeros(0)
+            c = np.fromiter((common.get(w, 0) for w in number), np.int64, len(number))
+            at, times = (t.column(x).combine_chunks().flatten().to_numpy() for x in ("at", "times"))
+            c[at] = times
+            c = c[codes]
             own = np.repeat(np.arange(m), n)
-            sums = np.bincount(own, np.log10(c + 1), m) + np.log10(ends + 1)
+            sums = np.bincount(own, np.log10(c + 1.0), m) + np.log10(ends + 1)
             known = np.bincount(own, c > 0, m).astype(np.int64) + (ends > 0)
-            ids = row.column("ids").combine_chunks().flatten()
             yield pa.RecordBatch.from_arrays([ids, pa.array(out), pa.array(n + 1), pa.array(sizes, pa.int64()), pa.array(known), pa.array(sums), pa.array(score)], ["id", "held_out", "n_tokens", "n_bytes", "n_known", "sums", "score"])
 
-    rare = met.select("block", "word").join(words.filter(~often), "word").withColumn("part", F.pmod(F.xxhash64("word"), F.lit(16)))
-    lists = rare.groupBy("block", "part").agg(F.collect_list(F.struct("word", "n")).alias("x")).select("block", F.col("x.word").alias("words"), F.col("x.n").alias("times"))
-    logs = trees.mapInArrow(answer, "block long, tree int, logs array<float>")
-    every = logs.withColumn("kind", F.lit(0)).unionByName(lists.withColumn("kind", F.lit(1)), allowMissingColumns=True).unionByName(blocks.withColumn("kind", F.lit(2)), allowMissingColumns=True)
-    told = every.repartition("block").sortWithinPartitions("block", "kind", "tree").mapInArrow(tell, f"id {kind}, held_out boolean, n_tokens long, n_bytes long, n_known long, sums double, score double")
+    # A rare word has a row for each block that holds it: a share of HEAVY at most, so no window is large.
+    rare = blocks.mapInArrow(asked, "word binary, block long, at int, n long").select("block", "at", F.sum("n").over(Window.partitionBy("word")).alias("n")).filter("n > 0")
+    lists = rare.withColumn("part", F.pmod("at", F.lit(16))).groupBy("block", "part").agg(F.collect_list(F.struct("at", "n")).alias("x")).select("block", F.col("x.at").alias("at"), F.col("x.n").alias("times"))
+    logs = trees.mapInArrow(answer, "block long, tree int, logs binary")
+    every = logs.unionByName(lists, allowMissingColumns=True).unionByName(blocks, allowMissingColumns=True)
+    told = every.repartition("block").sortWithinPartitions("block", "tree").mapInArrow(tell, f"id {kind}, held_out boolean, n_tokens long, n_bytes long, n_known long, sums double, score double")
     level = float(np.log10(n_all + n_distinct + 1))
     return told.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"),

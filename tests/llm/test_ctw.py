@@ -88,6 +88,8 @@ def test_equals_definition(spark, docs_of, monkeypatch, forest, block):
     monkeypatch.setattr(ctw, "PIECE", 64)
     r = random.Random(8)
     docs = [(i, "".join(r.choice(["abra", "cad", "banana ", "é", " x", "Zz"]) for _ in range(r.randint(0, 12)))) for i in range(60)]
+    # Counts of over a byte, in several blocks.
+    docs += [(i, "ab " * 150) for i in range(60, 64)]
     lower = lambda t: t.encode().lower()
     slow = Slow([lower(t) for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2])
     got = {x.doc_id: (x.score, x.bits_per_byte) for x in language_scores(docs_of(docs)).collect()}
@@ -103,8 +105,9 @@ def test_probabilities_sum_to_one(spark):
     code = np.array(sorted(found))
     n = np.array([found[int(c)] for c in code])
     tree = code >> 24
-    rows = [(0, int(t), [int(c) & 0xFFFFFF for c in code[tree == t]], [int(x) for x in n[tree == t]]) for t in np.unique(tree)]
-    table = spark.createDataFrame(rows, "block long, tree int, low array<int>, n array<long>").coalesce(1).sortWithinPartitions("tree")
+    low = lambda c: bytearray((int(c) & 0xFFFFFF).to_bytes(3, "little"))
+    rows = [(0, int(t), bytearray().join(map(low, code[tree == t])), bytearray(int(x) for x in n[tree == t]), []) for t in np.unique(tree)]
+    table = spark.createDataFrame(rows, "block long, tree int, low binary, few binary, many array<long>").coalesce(1).sortWithinPartitions("tree")
     logs = dict(zip(code.tolist(), code_logs(code, n, crown_of(crown_sums(table).toPandas()))))
     for c in contexts:
         assert sum(10 ** logs[int.from_bytes(c[::-1] + bytes([x]), "big")] for x in range(256)) == pytest.approx(1)
