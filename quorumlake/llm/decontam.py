@@ -9,8 +9,10 @@ from quorumlake.llm.common import cut, lower_ascii
 
 #: What separates words once A-Z are lower case: ASCII other than digits and a-z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Up to so many rows a table of test terms or windows is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Test terms are looked for in documents by the bits of a filter: 2**SLOT_BITS integers of 64 bits at most, whatever the number of terms.
+SLOT_BITS = 18
+#: A term with at least 1 / HOT of all postings is dealt over several tasks; there are HOT such terms at most.
+HOT = 1000
 
 
 def words_of(text: Column) -> Column:
@@ -18,12 +20,6 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(lower_ascii(text), SEPARATORS), ""), F.array().cast("array<string>"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, written out and marked for broadcast if it is proven small."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def windows_of(items: DataFrame, item_col: str, text_col: str, n: int) -> DataFrame:
     """Distinct windows of n item words, or the whole item if it has fewer but some, with the ids of their items."""
     words = items.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("words")).filter(F.size("words") > 0)
@@ -32,9 +28,29 @@ def windows_of(items: DataFrame, item_col: str, text_col: str, n: int) -> DataFr
     return cutouts.groupBy("win").agg(F.collect_set("item").alias("items"))
 
 
+def bit_of(term: Column) -> tuple[Column, Column]:
+    """The filter's integer and the bit in it that a term has."""
+    h = F.xxhash64(term)
+    return F.shiftrightunsigned(h, 64 - SLOT_BITS), F.pmod(h, F.lit(64)).cast("int")
+
+
+def term_filter(terms: DataFrame) -> DataFrame:
+    """(slot, bits) of all terms; small by construction, so it may be sent to every task."""
+    slot, bit = bit_of(F.col("term"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    return F.broadcast(terms.select(slot.alias("slot"), one.alias("one")).groupBy("slot").agg(F.bit_or("one").alias("bits")))
+
+
+def likely(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """rows whose term passes the filter of terms: all that are among them, and some others."""
+    slot, bit = bit_of(F.col("term"))
+    found = rows.withColumn("_slot", slot).withColumn("_bit", bit).join(term_filter(terms).withColumnRenamed("slot", "_slot"), "_slot")
+    return found.filter(F.getbit("bits", F.col("_bit")) == 1).drop("_slot", "_bit", "bits")
+
+
 def term_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
     """Postings of each test term over all documents."""
-    found = docs.select(F.explode(words_of(F.col(text_col))).alias("term")).join(terms, "term")
+    found = likely(docs.select(F.explode(words_of(F.col(text_col))).alias("term")), terms)
     counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return terms.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -48,19 +64,34 @@ def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
         F.first("items").alias("items"),
         F.max(F.when(F.col("r") == 1, F.col("term"))).alias("term"),
         F.max(F.when(F.col("r") == 1, F.col("off"))).alias("off"),
+        F.max(F.when(F.col("r") == 1, F.col("n"))).alias("n"),
         F.max(F.when(F.col("r") == 2, F.col("term"))).alias("term2"),
         F.max(F.when(F.col("r") == 2, F.col("off"))).alias("off2"),
     )
 
 
 def postings(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
-    """Positional postings of terms: id, h (hash of the text), term, pos and frame, the words from `low` on to radius words either side."""
+    """Positional postings of terms (and of some that share their bits): id, h (hash of the text), term, pos and frame, the words from `low` on to radius words either side.
+
+    The frame is cut where the document is read: no document is moved or stored.
+    """
     words = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), words_of(F.col(text_col)).alias("words"))
-    each = words.select("id", "h", "words", F.posexplode("words").alias("pos", "term")).join(terms, "term")
+    each = likely(words.select("id", "h", "words", F.posexplode("words").alias("pos", "term")), terms)
     low = F.greatest(F.col("pos") - radius, F.lit(0))
     return each.select("id", "h", "term", "pos", low.alias("low"), F.slice("words", low + 1, F.col("pos") - low + radius + 1).alias("frame"))
 
 
+def dealt(index: DataFrame, wins: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with a salt: postings of a hot term are dealt over several, and its windows are in each."""
+    terms = wins.select("term", "n").distinct()
+    whole = terms.agg(F.sum("n").alias("total"))
+    salts = F.broadcast(terms.crossJoin(F.broadcast(whole)).filter(F.col("n") * HOT >= F.col("total")).filter("n > 0").select("term", F.ceil(F.col("n") * HOT / F.col("total")).cast("int").alias("salts")))
+    number = F.coalesce("salts", F.lit(1))
+    left = index.join(salts, "term", "left").withColumn("salt", F.pmod(F.xxhash64("id", "h", "pos"), number).cast("int")).drop("salts")
+    right = wins.join(salts, "term", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), number - 1))).drop("salts", "n")
+    return left, right
+
+
 def phrase_matches(docs: DataFrame, items: DataFrame, *, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slack: int | None = None) -> DataFrame:
     """Every occurrence of a window of n item words: id, h, start, length, items; with slack also near ones, exact says which.
 
@@ -70,14 +101,14 @@ def phrase_matches(docs: DataFrame, items: DataFrame, *, n: int = 10, id_col: st
     then all terms are compared.  A proximity match (slack given) has every word
     of the window within len(window) - 1 + slack words of the rarest one.
     """
-    windows = windows_of(items, item_col, item_text_col, n)
-    terms = small(windows.select(F.explode("win").alias("term")).distinct())
-    counts = term_counts(docs, text_col, terms)
-    wins = small(anchored(windows, counts))
+    windows = cut(windows_of(items, item_col, item_text_col, n))
+    terms = windows.select(F.explode("win").alias("term")).distinct()
+    wins = cut(anchored(windows, term_counts(docs, text_col, terms)))
     radius = n - 1 + (slack or 0)
-    index = cut(postings(docs, small(wins.select("term").distinct()), id_col, text_col, radius))
+    index = cut(postings(docs, wins.select("term").distinct(), id_col, text_col, radius))
     start = F.col("pos") - F.col("off")
-    met = index.join(wins, "term").withColumn("start", start).withColumn("at", F.col("start") - F.col("low"))
+    index, wins = dealt(index, wins)
+    met = index.join(wins, ["term", "salt"]).withColumn("start", start).withColumn("at", F.col("start") - F.col("low"))
     second = F.col("off2").isNull() | (F.get("frame", F.col("at") + F.col("off2")) == F.col("term2"))
     exact = (F.col("at") >= 0) & second & (F.slice("frame", F.greatest(F.col("at") + 1, F.lit(1)), F.size("win")) == F.col("win"))
     if slack is None:

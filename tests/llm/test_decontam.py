@@ -4,6 +4,9 @@ import hashlib
 import random
 import re
 
+import pytest
+
+from quorumlake.llm import decontam
 from quorumlake.llm.decontam import decontaminate, phrase_matches
 
 SEP = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -31,7 +34,11 @@ def brute(docs, items, n):
     return out
 
 
-def test_equals_brute_force(spark, docs_of):
+@pytest.mark.parametrize("bits, hot", [(18, 1000), (1, 1000), (18, 10**7)])
+def test_equals_brute_force(spark, docs_of, monkeypatch, bits, hot):
+    # A filter whose bits are all set, and every term dealt over many tasks, change nothing.
+    monkeypatch.setattr(decontam, "SLOT_BITS", bits)
+    monkeypatch.setattr(decontam, "HOT", hot if hot < 10**7 else 20)
     r = random.Random(5)
     vocab = ["a", "b", "É", "é", "c3", "D", "日本"]
     text = lambda k: r.choice([" ", ", ", "\n"]).join(r.choice(vocab) for _ in range(k))
@@ -55,3 +62,10 @@ def test_empty_tables(spark, docs_of):
     assert decontaminate(docs_of([]), bench).count() == 0
     got = decontaminate(docs_of([(1, "a b c")]), bench.limit(0)).first()
     assert (got.n_words, got.n_hit, got.contaminated) == (3, 0, False)
+
+
+def test_no_document_crosses_the_network(spark, docs_of):
+    bench = spark.createDataFrame([(1, "red green blue white")], "item_id long, text string")
+    plan = decontam.postings(docs_of([(1, "red green")]), bench.selectExpr("text AS term"), "doc_id", "text", 9)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan
+    assert all("words" not in line for line in plan.split("\n") if "Exchange" in line)
