@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,71 +10,79 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.llm.common import kept_in_worker, pieces, texts_of
-from quorumlake.llm.tokens import AnyJson, SpacePieces, load
+from quorumlake.llm.tokens import load
 
 OUT = "n_bytes long, n_tokens long, over_limit boolean"
 
 
-def boundaries(coder, text: str, first: bool) -> tuple[list[int], list[int]]:
-    """Offsets of stable token boundaries in text, and the number of tokens before each; the last is the end.
+def char_start(raw: bytes, at: int) -> int:
+    """The first place from `at` on where a character of UTF-8 begins, or the end."""
+    while at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at += 1
+    return min(at, len(raw))
 
-    A boundary counts as stable where the vocabulary proves it: a run of spaces
-    begins after another character.  first: text starts the document; else it
-    starts at such a boundary itself.
-    """
-    if not text:
-        return [0], [0]
-    if isinstance(coder, SpacePieces) and coder.splits:
-        text = text.replace("▁", " ")
-        shown = " " + text if first else text
-        units = re.findall(r" +[^ ]*", shown)
-        # What stands before the first space of a chunk cut at random belongs to a unit that began earlier.
-        skip = len(shown) - sum(map(len, units))
-        counts = [len(coder._encode(u[1:])) for u in units]
-        at, total, offsets, before = skip - first, 0, [], []
-        for u, n in zip(units, counts):
-            offsets.append(max(at, 0))
-            before.append(total)
-            at, total = at + len(u), total + n
-        return [*offsets, len(text)], [*before, total]
-    if not isinstance(coder, AnyJson):
-        return [0, len(text)], [0, coder.count(text)]
-    spans = coder.model.encode(text, add_special_tokens=False).offsets
-    offsets, before = [0], [0]
-    for k, (a, _) in enumerate(spans):
-        if 0 < a < len(text) and text[a] == " " and not text[a - 1].isspace() and (k + 1 == len(spans) or spans[k + 1][0] > a):
-            offsets.append(a)
-            before.append(k)
-    return [*offsets, len(text)], [*before, len(spans)]
 
+def around(raw: bytes, at: int) -> tuple[str, str]:
+    """The characters before and after a place between characters."""
+    low = at - 1
+    while raw[low] & 0xC0 == 0x80:
+        low -= 1
+    return raw[low:at].decode(), raw[at : char_start(raw, at + 1)].decode()
+
+
+def first_common(coder, raw: bytes, left: list[int], right: list[int], low: int, high: int) -> int | None:
+    """The first place in low < x < high where both encodings begin a token and the vocabulary proves that none crosses."""
+    begins = set(right)
+    for x in left[bisect_right(left, low) :]:
+        if x >= high:
+            return None
+        if x in begins and coder.parts_at(*around(raw, x)):
+            return x
+    return None
 
-def count_resynchronised(coder, text: str, chunk: int = 1 << 16, overlap: int = 1 << 10) -> int:
-    """Tokens of a text of any length with memory bounded by the chunk.
 
-    Overlapping chunks are encoded with offsets.  Two neighbours are spliced at
-    the first stable boundary on which both encodings agree inside their
-    overlap; while there is none, the overlap doubles, in the end to the rest
-    of the text, which is then one chunk.
+def count_resynchronised(coder, text: str, chunk: int = 1 << 16, overlap: int = 1 << 10) -> int:
+    """Tokens of a text of any length.
+
+    Chunks that overlap are encoded with offsets.  Two neighbours are spliced at
+    the first place inside their overlap where a token begins in both encodings
+    and which the vocabulary proves stable: no token joins the characters on its
+    two sides, so neither what came before nor what was cut off after it matters.
+    The left chunk counts up to there, the right one from there on.  While there
+    is none, the overlap doubles, in the end to the rest of the text; so memory is
+    bounded by the chunk and the longest stretch without a stable place.
     """
-    total, start = 0, 0
-    while len(text) - start > chunk + overlap:
-        width = overlap
+    raw = text.encode()
+
+    def begins(a: int, b: int) -> list[int]:
+        return [a + x for x in coder.begins(raw[a:b].decode())]
+
+    start, counted_to, total = 0, 0, 0
+    left = begins(0, char_start(raw, min(chunk + overlap, len(raw))))
+    while start + chunk + overlap < len(raw):
+        middle, width = char_start(raw, start + chunk), overlap
+        stop = char_start(raw, middle + chunk + overlap)
+        right = begins(middle, stop)
         while True:
-            end = start + chunk
-            stop = min(len(text), end + width)
-            left, left_before = boundaries(coder, text[start:stop], start == 0)
-            right, _ = boundaries(coder, text[end:stop], False)
-            # The last offset of either is its cut end, and the right chunk's first may be cut: neither is a boundary.
-            agreed = {start + x for x in left[:-1]} & {end + x for x in right[:-1] if x > 0}
-            if agreed:
-                cut = min(agreed)
-                total += left_before[left.index(cut - start)]
-                start = cut
+            end = char_start(raw, middle + width)
+            x = first_common(coder, raw, left, right, middle, end)
+            if x is not None or end == len(raw):
                 break
-            if stop == len(text):
-                return total + left_before[-1]
             width *= 2
-    return total + boundaries(coder, text[start:], start == 0)[1][-1]
+            end = char_start(raw, middle + width)
+            left = begins(start, end)
+            if end > stop:
+                stop = char_start(raw, end + overlap)
+                right = begins(middle, stop)
+        if x is None:
+            # Nothing splits the rest: left has all of it.
+            return total + len(left) - bisect_left(left, counted_to)
+        total += bisect_left(left, x) - bisect_left(left, counted_to)
+        start, counted_to, left = middle, x, right
+        # The right chunk must reach beyond the next middle by its overlap.
+        if stop < min(start + chunk + overlap, len(raw)):
+            left = begins(start, char_start(raw, start + chunk + overlap))
+    return total + len(left) - bisect_left(left, counted_to)
 
 
 def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, chunk: int = 1 << 16, overlap: int = 1 << 10) -> DataFrame:
@@ -82,7 +90,7 @@ def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
 
     Null and empty texts have 0 bytes and 0 tokens.  Repeated rows give a row
     each, null ids stay null, an empty table gives no rows and other columns
-    are not read.  Texts over chunk characters are counted in chunks.
+    are not read.  Texts over chunk bytes are counted in chunks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,9 +99,9 @@ def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
             for batch in pieces(whole, 4 << 20):
                 raw = texts_of(batch)
                 texts = [x.decode() for x in raw]
-                short = [t for t in texts if len(t) <= chunk + overlap]
-                counts = iter(coder.count_all(short))
-                n = [next(counts) if len(t) <= chunk + overlap else count_resynchronised(coder, t, chunk, overlap) for t in texts]
+                long = [coder.splits and len(x) > chunk + overlap for x in raw]
+                counts = iter(coder.count_all([t for t, x in zip(texts, long) if not x]))
+                n = [count_resynchronised(coder, t, chunk, overlap) if x else next(counts) for t, x in zip(texts, long)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from itertools import accumulate
 
 import regex
 
@@ -31,7 +32,11 @@ class SpacePieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.splits = not any("▁" in x.lstrip("▁") for x in names)
+        probe = "ﬁ①Å  x "
+        plain = sentencepiece.SentencePieceNormalizer(model_file=path).normalize(probe) == "▁" + probe.replace(" ", "▁")
+        self.splits = plain and not any("▁" in x.lstrip("▁") for x in names)
+        #: Characters that stand side by side in some piece; no token joins two others.
+        self.pairs = {x[i : i + 2] for x in names for i in range(len(x) - 1)}
         self.byte = {i for i in range(len(names)) if self.model.is_byte(i)}
         self.space = self.model.piece_to_id("▁")
         self.known: dict[str, tuple[int, ...]] = {}
@@ -71,6 +76,14 @@ class SpacePieces:
     def count(self, text: str) -> int:
         return self.count_all([text])[0]
 
+    def begins(self, text: str) -> list[int]:
+        """Where each token begins, in bytes, by the library's offsets."""
+        return [p.begin for p in self.model.encode(text, return_type="proto").pieces] if text else []
+
+    def parts_at(self, before: str, after: str) -> bool:
+        """Whether the vocabulary proves that a token ends between the two characters."""
+        return (before + after).replace(" ", "▁") not in self.pairs
+
     def learn(self, texts: list[str]) -> None:
         """Make the ids of all units of texts known in one call of the library."""
         known = self.known
@@ -91,9 +104,27 @@ class AnyJson:
     """A vocabulary of the tokenizers library, encoded as it stands."""
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        #: The byte-level pre-tokenizer begins a word at a space after another character; texts of other vocabularies are not cut.
+        self.splits = not spec["normalizer"] and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.special = [x["content"] for x in spec["added_tokens"]]
+
+    def begins(self, text: str) -> list[int]:
+        """Where each token begins, in bytes, by the library's offsets; tokens within a character begin with it."""
+        at = [0, *accumulate(len(c.encode()) for c in text)] if not text.isascii() else range(len(text) + 1)
+        spans = self.model.encode(text, add_special_tokens=False).offsets
+        # Offsets leave a leading space out.
+        return [at[a - 1] if 0 < a and text[a - 1] == " " and (k == 0 or spans[k - 1][1] < a) else at[a] for k, (a, _) in enumerate(spans)]
+
+    def parts_at(self, before: str, after: str) -> bool:
+        """A space after a letter or digit begins a word, whatever follows it."""
+        return after == " " and before.isalnum() and before.isascii() and not any(" " in x for x in self.special)
 
     def ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
@@ -133,8 +164,10 @@ class WhiteSpaceWords:
         self.bpe = self.whole.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        #: Quick splitting holds for this pre-tokenizer only; for others all words go to the library.
-        self.quick = [x.get("pattern", {}).get("Regex") for x in spec["pre_tokenizer"].get("pretokenizers", [])][:1] == [self.PARTS.pattern]
+        #: Words stand alone for this normalizer and pre-tokenizer only; texts of other vocabularies go to the library whole.
+        split = {"type": "Split", "pattern": {"Regex": self.PARTS.pattern}, "behavior": "Removed", "invert": True}
+        blank = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+        self.quick = (spec["normalizer"] or {}).get("normalizers") == [{"type": "NFC"}, blank, {"type": "Lowercase"}] and (spec["pre_tokenizer"] or {}).get("pretokenizers", [])[:1] == [split]
         self.special = [x["content"] for x in spec["added_tokens"]]
         #: The byte-level alphabet: printable bytes stand for themselves, others for code points from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -156,17 +189,16 @@ class WhiteSpaceWords:
         return got
 
     def _word(self, word: str) -> bytes:
-        if self.quick:
-            if m := self.PLAIN.fullmatch(word):
-                letters, marks = m.groups()
-                return self._part(letters.lower()) + (self._part(marks) if marks else b"")
-            if self.EASY.fullmatch(word) and not any(s in word for s in self.special):
-                return b"".join(map(self._part, self.PARTS.findall(word.lower())))
+        if m := self.PLAIN.fullmatch(word):
+            letters, marks = m.groups()
+            return self._part(letters.lower()) + (self._part(marks) if marks else b"")
+        if self.EASY.fullmatch(word) and not any(s in word for s in self.special):
+            return b"".join(map(self._part, self.PARTS.findall(word.lower())))
         return self._pack(self.whole.encode(word, add_special_tokens=False).ids)
 
     def packed(self, text: str) -> bytes:
         """The ids of the text as little-endian unsigned 32-bit integers."""
-        if self.ODD.search(text):
+        if not self.quick or self.ODD.search(text):
             return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
         words, known = text.split(), self.words
         got = list(map(known.get, words))

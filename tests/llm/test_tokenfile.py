@@ -30,3 +30,12 @@ def test_empty(spark, docs_of):
     at = fresh_path(spark, "test")
     write_tokens(docs_of([]), at, P.path("word_bpe_49k.json"))
     assert digests(spark, at).count() == 0
+
+
+def test_other_vocabulary(spark, docs_of):
+    path, at = P.path("byte_bpe_50k.json"), fresh_path(spark, "test")
+    rows = [(i, f"Word{i}  it's\n\tnaïve <|endoftext|> {'long ' * i}") for i in range(30)]
+    write_tokens(docs_of(rows), at, path)
+    tk = Tokenizer.from_file(path)
+    got = {r.doc_id: list(r.tokens) for r in read_tokens(spark, at, 0, 99).collect()}
+    assert got == {i: tk.encode(t, add_special_tokens=False).ids + [2] for i, t in rows}

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from quorumlake.llm.tokcount import count_resynchronised
+from quorumlake.llm.tokcount import count_resynchronised, token_counts
 from quorumlake.llm.tokens import SpacePieces, WhiteSpaceWords, load
 
 PARTS = [" ", "  ", "\n", "a", "th", "é", "ß", "▁", ".", ",", "\t", "\xa0", "日", "<s>", "Ab", "'s", "1", "$$", "İ", "Σ", "ﬁ", "\x1c", "\x85", "<|endoftext|>", "😀", "²", "foo bar"]
@@ -39,3 +39,56 @@ def test_chunks_are_spliced_without_loss(name):
     for _ in range(200):
         t = "".join(r.choice(["a", "th", " ", "  ", "\n", "é", "▁", "foo bar", "x" * 40]) for _ in range(r.randint(0, 120)))
         assert count_resynchronised(coder, t, r.choice([8, 20, 50]), r.choice([2, 8])) == coder.count(t)
+
+
+def without_spaces(r, n):
+    return "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/é日") for _ in range(n))
+
+
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json"])
+def test_long_texts(name, monkeypatch):
+    coder, r = load(P.path(name)), random.Random(4)
+    seen = []
+    begins = coder.begins
+    monkeypatch.setattr(coder, "begins", lambda t: seen.append(len(t)) or begins(t))
+    words = " ".join(without_spaces(r, r.randint(1, 12)) for _ in range(12000))
+    assert count_resynchronised(coder, words, 4096, 256) == coder.count(words)
+    assert max(seen) < 6000
+    # Without spaces only pairs of characters that no piece joins are stable.
+    solid = without_spaces(r, 60000)
+    seen.clear()
+    assert count_resynchronised(coder, solid, 4096, 256) == coder.count(solid)
+    assert max(seen) < 6000 or name.endswith(".json")
+
+
+@pytest.mark.parametrize("name, unit", [("piece_bpe_32k.model", "a"), ("piece_bpe_32k.model", "ab"), ("piece_bpe_32k.model", "in"), ("byte_bpe_50k.json", "a")])
+def test_overlaps_widen_until_alignment(name, unit):
+    # No stable place in the middle stretch: the overlap must widen over it, or to the end of the text.
+    coder = load(P.path(name))
+    for t in (unit * 6000, "some words " * 300 + unit * 3000 + " and more words" * 300, unit * 2500 + " x" * 800):
+        assert count_resynchronised(coder, t, 1000, 50) == coder.count(t)
+
+
+def test_frequent_letters_without_spaces():
+    coder, r = load(P.path("piece_bpe_32k.model")), random.Random(5)
+    solid = "".join(r.choice("ietnaors") for _ in range(30000))
+    assert count_resynchronised(coder, solid, 500, 50) == coder.count(solid)
+
+
+def test_other_vocabularies_go_to_the_library_whole():
+    coder = WhiteSpaceWords(P.path("byte_bpe_50k.json"))
+    assert not coder.quick
+    for t in texts(300, 6):
+        assert np.frombuffer(coder.packed(t), "<u4").tolist() == coder.whole.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json"])
+def test_token_counts(spark, docs_of, name):
+    path, r = P.path(name), random.Random(7)
+    coder = load(path)
+    rows = list(enumerate(texts(200, 8)))
+    rows += [(900, None), (901, ""), (902, " \n "), (None, "no id"), (None, None), (3, "repeated row"), (3, "repeated row"), (903, "word " * 40000), (904, without_spaces(r, 150000)), (905, "a" * 100000), (906, "w " * 4096), (907, "w " * 4095)]
+    got = sorted(map(tuple, token_counts(docs_of(rows), path).collect()), key=str)
+    want = [(i, len((t or "").encode()), n := coder.count(t or ""), n > 4096) for i, t in rows]
+    assert got == sorted(want, key=str)
+    assert token_counts(docs_of([]), path).count() == 0
