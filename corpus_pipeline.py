@@ -16,32 +16,43 @@ from quorumlake.llm.tokenfile import digests, write_tokens
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, which tells rows apart that differ in any column and sorts by id, null ids last."""
+    absent, number = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id"), F.lit(0))
+    return docs.select(*COLUMNS, F.struct(absent.alias("absent"), number.alias("number"), F.xxhash64(*COLUMNS).alias("h")).alias("_key"))
+
+
 def with_verdict(docs: DataFrame, verdicts: DataFrame, *columns: str) -> DataFrame:
-    """docs with columns of verdicts, by doc_id; documents with a null id have none."""
-    named = verdicts.select(F.col("doc_id").alias("_id"), *columns).filter("_id IS NOT NULL").dropDuplicates(["_id"])
-    return docs.join(named, docs["doc_id"] == named["_id"])
+    """Keyed docs with columns of the verdicts on them; equal rows have equal verdicts."""
+    named = verdicts.select(F.col("_key").alias("_of"), *columns).dropDuplicates(["_of"])
+    return docs.join(named, docs["_key"] == named["_of"])
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    verdicts = quality_rules(docs, vocabulary("piece_bpe_32k.model"))
+    docs = keyed(docs)
+    verdicts = quality_rules(docs, vocabulary("piece_bpe_32k.model"), id_col="_key")
     return with_verdict(docs, verdicts.filter("kept")).select(COLUMNS)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
-    return with_verdict(docs, near_duplicates(docs, shingle=5, percent=80).filter("kept")).select(COLUMNS)
+    docs = keyed(docs)
+    verdicts = near_duplicates(docs, shingle=5, percent=80, id_col="_key").filter("kept")
+    return with_verdict(docs, verdicts).dropDuplicates(["_key"]).select(COLUMNS)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of ten words of the benchmark."""
-    verdicts = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=10)
+    docs = keyed(docs)
+    verdicts = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=10, id_col="_key")
     return with_verdict(docs, verdicts.filter("NOT contaminated")).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = with_verdict(docs, mix(docs).filter("copies > 0"), "copies")
+    docs = keyed(docs)
+    taken = with_verdict(docs, mix(docs, id_col="_key").filter("copies > 0"), "copies")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
 
 
@@ -59,7 +70,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written and read again before the next."""
+    """All stages over documents; each is written and read again before the next.
+
+    Rows are told apart by all their columns, so null ids are kept like others
+    and texts that share an id are judged each on its own; of rows equal in every
+    column one stays.  Null and empty texts fail the quality rules.  An empty
+    table gives no rows; columns that documents do not have are not carried on.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

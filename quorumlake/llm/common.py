@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of anything but ASCII white space.
@@ -17,10 +17,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset and the master is local, one of our own."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
+        if not base and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = base or tempfile.mkdtemp(prefix="quorumlake-")
         sc.setCheckpointDir(base)
     return base or sc.getCheckpointDir()
@@ -92,3 +94,14 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
             held.append(batch.slice(start))
     if held:
         yield last, pa.Table.from_batches(held)
+
+
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """df with `number`, its rows' places in order from 0: range partitions are numbered apart and shifted, no task sees all rows."""
+    placed = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    ranked = placed.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    # As many rows as there are partitions.
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select(F.col("_part").alias("_of"), before.alias("_before"))
+    return ranked.join(F.broadcast(shifts), F.col("_part") == F.col("_of")).withColumn("number", F.col("_before") + F.col("_own") - 1).drop("_part", "_own", "_of", "_before")

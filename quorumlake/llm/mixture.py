@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import SPACES, cut, runs_of
+from quorumlake.llm.common import SPACES, cut, numbered, runs_of
 
 #: Fractions this near to 0 or 1 are taken as such.
 EPS = 1e-12
@@ -27,20 +27,21 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], most: float) ->
 
     Sources are ordered by code point, null last, and take the weights in turn.
     The excess of capped sources goes to the others by weight until none is
-    above its cap: with sources in order of cap / weight the capped ones come
-    first, and the level of the others is the largest that any valid split gives.
+    above its cap: each round caps the sources above it and levels the others
+    anew, with one row of totals a round.
     """
-    listed = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    place = (F.row_number().over(listed) - 1) % len(weights)
-    ranked = sizes.withColumn("w", F.element_at(F.array(*map(F.lit, map(float, weights))), place + 1)).withColumn("cap", F.col("source_size") * float(most))
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), F.col("source"))
-    every = Window.partitionBy()
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    level = (F.sum("source_size").over(every) - before) / rest
-    leveled = ranked.withColumn("level", level)
-    top = F.max(F.when(F.col("level") * F.col("w") <= F.col("cap") * (1 + EPS), F.col("level"))).over(every)
-    return leveled.withColumn("target", F.least(F.col("cap"), top * F.col("w"))).select("source", "source_size", "n_docs", "target")
+    place = F.col("number") % len(weights)
+    placed = numbered(sizes, F.col("source").isNull(), F.col("source"))
+    ranked = cut(placed.withColumn("w", F.element_at(F.array(*map(F.lit, map(float, weights))), place.cast("int") + 1)).withColumn("cap", F.col("source_size") * float(most)))
+    level = 0.0
+    while True:
+        # What a level of 0 caps are sources without words.
+        capped = F.col("cap") <= F.lit(level) * F.col("w")
+        whole, fixed, rest = ranked.agg(F.sum("source_size"), F.sum(F.when(capped, F.col("cap"))), F.sum(F.when(~capped, F.col("w")))).first()
+        fresh = ((whole or 0) - (fixed or 0.0)) / rest if rest else level
+        if fresh <= level * (1 + EPS):
+            return ranked.withColumn("target", F.least(F.col("cap"), F.lit(level) * F.col("w"))).select("source", "source_size", "n_docs", "target")
+        level = fresh
 
 
 def round_group(rows: list[tuple[int, int, float]], draw: random.Random, apart: float = 8.0) -> tuple[list[int], tuple[int, float] | None]:
@@ -50,7 +51,7 @@ def round_group(rows: list[tuple[int, int, float]], draw: random.Random, apart:
     one to the other, either way at random so that each row's expectation
     stays, until one fraction is 0 or 1; the other row meets the next.  A row
     over `apart` times as long as the next meets all the rest as one partner,
-    which give or take in proportion: else a long row would outlast the short
+    whose fractions all move alike: else a long row would outlast the short
     ones and its rounding would miss the target by much of its length.
     """
     size = np.array([r[0] for r in rows], float)
@@ -61,12 +62,14 @@ def round_group(rows: list[tuple[int, int, float]], draw: random.Random, apart:
             continue
         if held is not None and size[held] > apart * size[j]:
             big, p, rest = size[held], part[held], part[j:]
-            gives, takes = float((size[j:] * rest).sum()), float((size[j:] * (1 - rest)).sum())
-            up, down = min((1 - p) * big, gives), min(p * big, takes)
+            live = (rest > EPS) & (rest < 1 - EPS) & (size[j:] > 0)
+            words = float(size[j:][live].sum())
+            up, down = min((1 - p) * big, words * rest[live].min()), min(p * big, words * (1 - rest[live]).min())
+            # All fractions move alike either way, so each row's expectation stays.
             if draw.random() * (up + down) < down:
-                part[held], part[j:] = p + up / big, rest * (1 - up / gives)
+                part[held], part[j:][live] = p + up / big, rest[live] - up / words
             else:
-                part[held], part[j:] = p - down / big, 1 - (1 - rest) * (1 - down / takes)
+                part[held], part[j:][live] = p - down / big, rest[live] + down / words
             held = held if EPS < part[held] < 1 - EPS else None
             if not EPS < part[j] < 1 - EPS:
                 continue
@@ -111,6 +114,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     of about `leaf` rows of a source (so a hot source is many leaves), whose
     left-over rows meet, `fan` leaves at a time, at the next level.  Words taken
     from a source are thus its target up to the fraction of one last row.
+    A row much longer than the next meets all the rest as one partner
+    (round_group): that keeps every row's expectation like rounding by pairs.
 
     Null and empty texts have size 0 and take nothing; a null source is a source
     of its own; null ids stay null.  Repeated rows are rounded as rows of their

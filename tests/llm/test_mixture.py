@@ -24,6 +24,21 @@ def test_a_long_row_is_rounded_against_all_others():
     assert held is None or held[0] > 0
 
 
+@pytest.mark.parametrize("apart", [8.0, float("inf")])
+def test_long_rows_keep_expectations_as_by_pairs(apart):
+    rows = [(4000, 0, 0.35), (900, 1, 0.6)] + [(60 - k, 0, 0.2 + 0.01 * k) for k in range(40)]
+    total, runs, seen, off = sum(s * (w + p) for s, w, p in rows), 3000, [0.0] * 42, []
+    for k in range(runs):
+        copies, held = round_group(rows, random.Random(k), apart)
+        words = sum(s * c for (s, _, _), c in zip(rows, copies)) + (rows[held[0]][0] * held[1] if held else 0)
+        off.append(abs(words - total))
+        for j, c in enumerate(copies):
+            seen[j] += c + (held[1] if held and held[0] == j else 0)
+    # Five standard errors of a coin thrown so often.
+    assert all(abs(x / runs - (w + p)) < 5 * (0.25 / runs) ** 0.5 for x, (_, w, p) in zip(seen, rows))
+    assert max(off) < 1e-6
+
+
 def water_level(sizes, most=3.0):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: 1 + i % 3 for i, s in enumerate(names)}

@@ -95,6 +95,32 @@ def test_pipeline(spark, documents, tmp_path):
         start += len(ids)
 
 
+def test_null_and_repeated_ids_through_all_stages(spark, documents, tmp_path):
+    docs, bench = documents
+    good = [d for d in docs if d[0] < 120 and len(d[1].split()) >= 60 and d[2] in ("en", None)][:8]
+    a, b, c, d, e, f, *_ = (x[1] for x in good)
+    rows = [(None, a, "en", "a", 5), (None, b, "en", "a", 5), (7, c, "en", "a", 5), (7, d, "en", "a", 5), (7, "too short", "en", "a", 5), (8, e, "en", "a", 5), (8, e, "en", "a", 5), (9, f + " " + bench[0][1] + " " + f[:50], "en", "a", 5), (9, f[::-1].replace("  ", " "), "en", "a", 5)]
+    clash = [(*r, 1, "x", 2.5) for r in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id long, h string, size double"
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = spark.createDataFrame(clash, schema)
+    want = Counter([(None, a), (None, b), (7, c), (7, d), (8, e)])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        now = stage(spark, now, str(tmp_path))
+        got = Counter((r.doc_id, r.text) for r in now.collect())
+        got = Counter({x: n for x, n in got.items() if x[0] != 9})
+        assert got == (want + Counter({(8, e): 1}) if k == 0 else want), k
+    files = corpus_pipeline.token_files(spark, now, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in files)[None] == 2 and Counter(r.doc_id for r in files)[7] == 2
+
+
+def test_empty_table_through_all_stages(spark, tmp_path):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert quality_rules(none, P.path("piece_bpe_32k.model")).count() == 0
