@@ -9,13 +9,14 @@ subtree answers each block with the log probabilities of the block's own codes.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import re
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -27,10 +28,13 @@ from quorumlake.llm.common import cut, forget_in_worker, pieces, runs_of, texts_
 DEPTH, TOP = 5, 3
 #: Starts and ends texts; no byte of UTF-8.
 EDGE = b"\xff"
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Words at least so frequent in training are at most 1 / HEAVY many, so their counts may be sent to all tasks.
 HEAVY = 1e-5
 #: Bytes of text in a block (one longer text makes a block of its own), places looked at in one go, and codes of a forest of subtrees.
-BLOCK, PIECE, FOREST = 16 << 20, 1 << 20, 1 << 18
+BLOCK, PIECE, FOREST = 16 << 20, 2 << 20, 1 << 18
+#: Rows of words packed together on their way back to the blocks.
+PACK = 1 << 20
 #: Log probabilities are added up over subtrees as whole numbers of this unit, so that their order does not matter.
 UNIT = 4096.0
 HALF = np.log(0.5)
@@ -171,28 +175,92 @@ def places_of(texts: list[bytes], depth: int = DEPTH) -> Iterator[tuple[np.ndarr
     """Codes of the joined texts and the text of each, PIECE places at a time."""
     raw = b"".join(EDGE * depth + t + EDGE for t in texts)
     ends = np.cumsum([len(t) + depth + 1 for t in texts]).astype(np.int64)
+    begins = np.r_[0, ends[:-1]]
     for start in range(depth, len(raw), PIECE):
         b = np.frombuffer(raw, np.uint8, min(len(raw), start + PIECE) - start + depth, start - depth)
         code = np.zeros(len(b) - depth, np.int64)
         for back in range(1, depth + 1):
-            code = code << 8 | b[depth - back : len(b) - back]
-        code = code << 8 | b[depth:]
-        place = np.arange(start, start + len(code))
-        of = np.searchsorted(ends, place, side="right")
+            code <<= 8
+            code |= b[depth - back : len(b) - back]
+        code <<= 8
+        code |= b[depth:]
+        stop = start + len(code)
+        first, last = np.searchsorted(ends, [start, stop - 1], side="right")
+        edges = np.clip(np.r_[begins[first : last + 1], stop], start, stop)
+        of = np.repeat(np.arange(first, last + 1), np.diff(edges))
         # The first places of a text are the edge before it.
-        own = place - np.r_[0, ends[:-1]][of] >= depth
+        own = np.ones(len(code), bool)
+        for k in range(depth):
+            at = begins[first : last + 1] + k - start
+            own[at[(at >= 0) & (at < len(code))]] = False
         yield code[own], of[own]
 
 
-def word_codes(texts: list[bytes]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """Words of lower-cased texts by number, the numbers of all words in order, and how many words each text has."""
-    number: dict[bytes, int] = defaultdict(count().__next__)
-    codes, n = [], []
-    for t in texts:
-        words = t.split()
-        n.append(len(words))
-        codes.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-    return number, np.concatenate(codes) if codes else np.zeros(0, np.int64), np.array(n, np.int64)
+def word_tables() -> tuple[np.ndarray, np.ndarray]:
+    """A number for each byte, and an odd one for each place in a word."""
+    r = np.random.RandomState(23)
+    draw = lambda n: r.randint(0, 1 << 32, n, np.uint64) << np.uint64(32) | r.randint(0, 1 << 32, n, np.uint64)
+    return draw(256), draw(256) | np.uint64(1)
+
+
+def parts_of(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about PIECE bytes, cut at white space."""
+    start = 0
+    while len(text) - start > PIECE:
+        m = SPACE.search(text, start + PIECE)
+        if m is None:
+            break
+        yield text[start : m.end()]
+        start = m.end()
+    yield text[start:]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts in order, and how many words each text has.
+
+    A hash sums, over the bytes of a word, a number of the byte times a number of
+    its place.  Among 1e7 different words two share one with a chance of 3e-6.
+    """
+    byte, place = word_tables()
+    out, n = [], np.zeros(len(texts), np.int64)
+    held, total = [], 0
+
+    def look() -> None:
+        raw = b"\n".join(t for _, t in held)
+        b = np.frombuffer(raw, np.uint8)
+        at = np.flatnonzero((b != 32) & ((b < 9) | (b > 13)))
+        if not len(at):
+            return
+        first = np.flatnonzero(np.r_[True, np.diff(at) != 1])
+        sizes = np.diff(np.r_[first, len(at)])
+        inside = np.arange(len(at)) - np.repeat(first, sizes)
+        h = np.add.reduceat(byte[b[at]] * place[inside & 255], first)
+        # Beyond 256 bytes places would repeat.
+        for k in np.flatnonzero(sizes > 256).tolist():
+            h[k] = xxhash.xxh3_64_intdigest(raw[at[first[k]] : at[first[k]] + sizes[k]])
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        out.append(h ^ h >> np.uint64(32))
+        ends = np.cumsum([len(t) + 1 for _, t in held])
+        np.add.at(n, np.array([i for i, _ in held])[np.searchsorted(ends, at[first], side="right")], 1)
+
+    for i, t in enumerate(texts):
+        for part in parts_of(t):
+            held.append((i, part))
+            total += len(part)
+            if total >= PIECE:
+                look()
+                held, total = [], 0
+    if held:
+        look()
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64), n
+
+
+def block_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of texts by their hashes, in order of appearance, the number of each word, and how many words each text has."""
+    h, n = word_hashes(texts)
+    number, words = pd.factorize(h)
+    return words, number, n
 
 
 def blocks_of(rows: DataFrame) -> DataFrame:
@@ -238,12 +306,17 @@ def lists_of(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * width).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def block_codes(texts: list[bytes]) -> np.ndarray:
-    """The distinct codes of a block, in order."""
-    code = np.zeros(0, np.int64)
-    for places, _ in places_of(texts):
-        code = np.union1d(code, pd.unique(places))
-    return code
+def block_codes(texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The distinct codes of a block, in order, and for each of its pieces which of them its places have, and their texts."""
+    pieces_, found = [], []
+    for places, of in places_of(texts):
+        number, codes = pd.factorize(places)
+        pieces_.append((number.astype(np.int32), of.astype(np.int32)))
+        found.append(codes)
+    sizes = np.cumsum([len(c) for c in found])
+    code, at = np.unique(np.concatenate(found), return_inverse=True)
+    at = np.split(at.astype(np.int32), sizes[:-1])
+    return code, [(to[number], of) for to, (number, of) in zip(at, pieces_)]
 
 
 def counted(blocks: DataFrame) -> DataFrame:
@@ -258,12 +331,11 @@ def counted(blocks: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 block, sizes, held, blob = (batch.column(c)[k].as_py() for c in ("block", "sizes", "held", "blob"))
                 texts, out = texts_in(blob, sizes), np.array(held)
-                code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                for places, of in places_of(texts):
-                    number, found = pd.factorize(places)
-                    more = np.bincount(number, ~out[of], len(found))
-                    code, at = np.unique(np.r_[code, found], return_inverse=True)
-                    n = np.bincount(at, np.r_[n, more], len(code)).astype(np.int64)
+                code, places = block_codes(texts)
+                n = np.zeros(len(code), np.int64)
+                for at, of in places:
+                    n += np.bincount(at[~out[of]], minlength=len(code))
+                del places
                 tree = code >> 8 * (DEPTH - TOP + 1)
                 first = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
                 ends = np.r_[first, len(code)]
@@ -305,19 +377,43 @@ def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
 
 
 def words_of(blocks: DataFrame) -> DataFrame:
-    """(word, n): each block's words with their training counts; the empty word is the end."""
+    """(word, n): each block's words, by hash, with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 sizes, held, blob = (batch.column(c)[k].as_py() for c in ("sizes", "held", "blob"))
-                train = [t for t, out in zip(texts_in(blob, sizes), held) if not out]
-                if train:
-                    number, codes, _ = word_codes(train)
-                    n = np.r_[np.bincount(codes, minlength=len(number)), len(train)].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([*number, b""], pa.binary()), pa.array(n)], ["word", "n"])
+                words, number, _ = block_words([t for t, out in zip(texts_in(blob, sizes), held) if not out])
+                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.bincount(number, minlength=len(words)).astype(np.int64))], ["word", "n"])
+
+    return blocks.mapInArrow(run, "word long, n long")
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """(block, at, n) by block: the numbers of many rows as bytes, at most PACK rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+
+        def together() -> pa.RecordBatch:
+            block, at, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("block", "at", "n"))
+            order = np.argsort(block, kind="stable")
+            block = block[order]
+            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            pairs = np.column_stack([at[order].astype(np.int64), n[order]])
+            return pa.RecordBatch.from_arrays([pa.array(block[first]), lists_of(np.ascontiguousarray(pairs.astype(np.uint32)), np.r_[first, len(block)])], ["block", "rare"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                total += batch.num_rows
+            if total >= PACK:
+                yield together()
+                held, total = [], 0
+        if held:
+            yield together()
 
-    return blocks.mapInArrow(run, "word binary, n long")
+    return rows.mapInArrow(run, "block long, rare binary")
 
 
 def crown_sums(placed: DataFrame) -> DataFrame:
@@ -376,21 +472,22 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     trees = cut(counted(blocks).repartition("tree").sortWithinPartitions("tree", "block"))
     crown = crown_of(crown_sums(trees).toPandas())
     totals = words_of(blocks).groupBy("word").agg(F.sum("n").alias("n"))
-    n_all, n_distinct = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = {bytes(r.word): r.n for r in totals.filter((F.col("n") >= HEAVY * n_all) | (F.col("word") == F.lit(b""))).collect()}
-    ends = frequent.pop(b"", 0)
-    sent = docs.sparkSession.sparkContext.broadcast((crown, frequent))
+    n_words, n_distinct = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    ends = rows.filter("NOT held_out").count()
+    # Each training text has one end, a token of its own.
+    n_all, n_distinct = n_words + ends, n_distinct + (ends > 0)
+    common = totals.filter(F.col("n") >= HEAVY * n_all).orderBy("word").toPandas()
+    sent = docs.sparkSession.sparkContext.broadcast((crown, common.word.to_numpy(np.int64), common.n.to_numpy(np.int64)))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = sent.value[1]
+        frequent = sent.value[1]
         for batch in batches:
             for k in range(batch.num_rows):
                 block, sizes, held, blob = (batch.column(c)[k].as_py() for c in ("block", "sizes", "held", "blob"))
-                number, codes, n = word_codes(texts_in(blob, sizes))
-                times = np.bincount(codes, np.repeat(~np.array(held), n), len(number)).astype(np.int64)
-                words = list(number)
-                rare = np.flatnonzero(np.fromiter((w not in common for w in words), bool, len(words)))
-                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in rare.tolist()], pa.binary()), pa.array(np.full(len(rare), block)), pa.array(rare.astype(np.int32)), pa.array(times[rare])], ["word", "block", "at", "n"])
+                words, number, n = block_words(texts_in(blob, sizes))
+                times = np.bincount(number[np.repeat(~np.array(held), n)], minlength=len(words))
+                rare = np.flatnonzero(~np.isin(words, frequent))
+                yield pa.RecordBatch.from_arrays([pa.array(words[rare]), pa.array(np.full(len(rare), block)), pa.array(rare.astype(np.int32)), pa.array(times[rare].astype(np.int32))], ["word", "block", "at", "n"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_in_worker()
@@ -401,31 +498,31 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_in_worker()
-        common = sent.value[1]
-        for (block,), t in runs_of(batches, ["block"]):
+        frequent, counts = sent.value[1:]
+        for _, t in runs_of(batches, ["block"]):
             # The block's codes, in order, are what its logs belong to.
             logs = np.frombuffer(b"".join(x for x in t.column("logs").to_pylist() if x), np.float32)
+            pairs = np.frombuffer(b"".join(x for x in t.column("rare").to_pylist() if x), np.uint32).reshape(-1, 2)
             row = t.filter(pa.compute.is_valid(t.column("blob")))
             sizes, out, ids = row.column("sizes")[0].as_py(), row.column("held")[0].as_py(), row.column("ids").combine_chunks().flatten()
             texts = texts_in(row.column("blob")[0].as_py(), sizes)
             m = len(texts)
-            score, code = np.zeros(m), block_codes(texts)
-            for places, of in places_of(texts):
-                number, found = pd.factorize(places)
-                score += np.bincount(of, logs[np.searchsorted(code, found)].astype(np.float64)[number], m)
-            number, codes, n = word_codes(texts)
-            c = np.fromiter((common.get(w, 0) for w in number), np.int64, len(number))
-            at, times = (t.column(x).combine_chunks().flatten().to_numpy() for x in ("at", "times"))
-            c[at] = times
-            c = c[codes]
+            score = np.zeros(m)
+            for at, of in block_codes(texts)[1]:
+                score += np.bincount(of, logs[at], m)
+            words, number, n = block_words(texts)
+            at = np.minimum(np.searchsorted(frequent, words), max(len(frequent) - 1, 0))
+            c = np.where(frequent[at] == words, counts[at], 0) if len(frequent) else np.zeros(len(words), np.int64)
+            c[pairs[:, 0]] = pairs[:, 1]
+            c = c[number]
             own = np.repeat(np.arange(m), n)
             sums = np.bincount(own, np.log10(c + 1.0), m) + np.log10(ends + 1)
             known = np.bincount(own, c > 0, m).astype(np.int64) + (ends > 0)
             yield pa.RecordBatch.from_arrays([ids, pa.array(out), pa.array(n + 1), pa.array(sizes, pa.int64()), pa.array(known), pa.array(sums), pa.array(score)], ["id", "held_out", "n_tokens", "n_bytes", "n_known", "sums", "score"])
 
     # A rare word has a row for each block that holds it: a share of HEAVY at most, so no window is large.
-    rare = blocks.mapInArrow(asked, "word binary, block long, at int, n long").select("block", "at", F.sum("n").over(Window.partitionBy("word")).alias("n")).filter("n > 0")
-    lists = rare.withColumn("part", F.pmod("at", F.lit(16))).groupBy("block", "part").agg(F.collect_list(F.struct("at", "n")).alias("x")).select("block", F.col("x.at").alias("at"), F.col("x.n").alias("times"))
+    rare = blocks.mapInArrow(asked, "word long, block long, at int, n int").select("block", "at", F.sum("n").over(Window.partitionBy("word")).alias("n")).filter("n > 0")
+    lists = packed(rare)
     logs = trees.mapInArrow(answer, "block long, tree int, logs binary")
     every = logs.unionByName(lists, allowMissingColumns=True).unionByName(blocks, allowMissingColumns=True)
     told = every.repartition("block").sortWithinPartitions("block", "tree").mapInArrow(tell, f"id {kind}, held_out boolean, n_tokens long, n_bytes long, n_known long, sums double, score double")

@@ -128,6 +128,17 @@ def test_word_model(spark, docs_of, monkeypatch, heavy):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_word_hashes_tell_words_apart(monkeypatch):
+    monkeypatch.setattr(ctw, "PIECE", 50)
+    r = random.Random(2)
+    words = ["".join(r.choice("abé") for _ in range(r.randint(1, 8))).encode() for _ in range(800)] + [b"x" * 300 + bytes([97 + k]) for k in range(9)]
+    texts = [b"", b" \n", *(r.choice([b" ", b"\t\n", b"\x0b"]).join(r.choice(words) for _ in range(r.randint(0, 60))) for _ in range(50)), b" ".join(words)]
+    h, n = ctw.word_hashes(texts)
+    assert n.tolist() == [len(t.split()) for t in texts]
+    every = [w for t in texts for w in t.split()]
+    assert len(set(zip(every, h.tolist()))) == len(set(every)) == len(set(h.tolist()))
+
+
 def test_empty_tables(spark, docs_of):
     assert language_scores(docs_of([])).count() == 0
     none = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
