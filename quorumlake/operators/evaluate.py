@@ -8,22 +8,33 @@ from pyspark.sql import functions as F
 from quorumlake.functions.columns import STANCES, entropy_metric, ratio
 
 
+def running(rows: DataFrame, order: list, sums: list[str], parts: int | None = None) -> DataFrame:
+    """rows with before_x for each x of sums: its total over all rows before, in the order; ranges are summed apart and shifted."""
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = dealt.groupBy("_range").agg(*[F.sum(x).alias(f"_t_{x}") for x in sums])
+    # One row for each range.
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = whole.select("_range", *[F.coalesce(F.sum(f"_t_{x}").over(earlier), F.lit(0)).alias(f"_s_{x}") for x in sums])
+    found = dealt.withColumns({f"_o_{x}": F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in sums}).join(F.broadcast(shifts), "_range")
+    return found.withColumns({f"before_{x}": F.col(f"_o_{x}") + F.col(f"_s_{x}") for x in sums}).drop("_range", *[f"_o_{x}" for x in sums], *[f"_s_{x}" for x in sums])
+
+
 def auroc(rows: DataFrame, score: str = "u", error: str = "error") -> DataFrame:
     """P(score of an error > score of a correct row), ties one half; null if a class is absent.
 
-    By distinct score: as many rows as scores meet in the running sum, not pairs.
+    By distinct score, not by pairs; running sums are made by ranges of scores.
     """
     by = rows.groupBy(score).agg(F.count_if(error).alias("e"), F.count_if(~F.col(error)).alias("c"))
-    below = F.coalesce(F.sum("c").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = by.withColumn("won", F.col("e") * (below + F.col("c") / 2.0))
+    won = running(by, [F.col(score)], ["c"]).withColumn("won", F.col("e") * (F.col("before_c") + F.col("c") / 2.0))
     return won.agg(ratio(F.sum("won"), F.sum("e") * F.sum("c")).alias("auroc"))
 
 
 def average_precision(rows: DataFrame, score: str = "u", error: str = "error") -> DataFrame:
     """Sum of recall steps times precision over falling scores, equal scores as one step; null without errors."""
     by = rows.groupBy(score).agg(F.count_if(error).alias("e"), F.count(F.lit(1)).alias("n"))
-    run = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    step = by.withColumn("gain", F.col("e") * F.sum("e").over(run) / F.sum("n").over(run))
+    step = running(by, [F.desc(score)], ["e", "n"]).withColumn("gain", F.col("e") * (F.col("before_e") + F.col("e")) / (F.col("before_n") + F.col("n")))
     return step.agg(ratio(F.sum("gain"), F.sum("e")).alias("average_precision"))
 
 

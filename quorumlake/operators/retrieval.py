@@ -12,11 +12,13 @@ def top_k(evidence: DataFrame, k: int, key: str = "question_id", order: tuple[st
     return evidence.withColumn("place", place).filter(F.col("place") <= k)
 
 
-def canonical_join(evidence: DataFrame, n_options: int, hard: DataFrame, soft: DataFrame) -> DataFrame:
-    """question x option x evidence with LEFT joined hard labels and uncertainties; what is missing is named, not dropped."""
+def canonical_join(evidence: DataFrame, n_options: int, *labels: DataFrame) -> DataFrame:
+    """question x option x evidence with LEFT joined hard labels and uncertainties, from one or several sources; what is missing is named, not dropped."""
     keys = ["question_id", "idx", "doc_id"]
     grid = evidence.withColumn("idx", F.explode(F.array(*map(F.lit, range(n_options)))))
-    joined = grid.join(hard, keys, "left").join(soft, keys, "left")
+    joined = grid
+    for source in labels:
+        joined = joined.join(source, keys, "left")
     status = lambda c: F.when(F.col(c).isNull(), "MISSING").otherwise("AVAILABLE")
     pair = F.concat_ws("|", "question_id", F.char(F.lit(65) + F.col("idx")), "doc_id")
     return joined.withColumns({"pair_identity": pair, "hard_status": status("hard_label"), "soft_status": status("u_3")})

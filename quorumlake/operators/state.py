@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumlake.operators.evaluate import ranked
+
 
 def attempt_states(attempts: DataFrame, order: list[str], most: int = 3) -> DataFrame:
     """cache_key, status and attempts: VALID at the first success within `most` attempts, FAILED once that many failed, else INCOMPLETE.
@@ -45,9 +47,13 @@ def fold_journal(entries: DataFrame, keys: list[str], value: str = "value", revi
 
 
 def broken_links(revisions: DataFrame, revision: str = "revision", parent: str = "parent_sha", own: str = "sha") -> DataFrame:
-    """Revisions whose parent is not the revision before them."""
-    before = F.lag(own).over(Window.orderBy(revision))
-    return revisions.withColumn("_before", before).filter(F.col("_before").isNotNull() & ~F.col(parent).eqNullSafe(F.col("_before"))).drop("_before")
+    """Revisions whose parent is not the revision before them; the first has none.
+
+    Places in the order meet their neighbours in a join, so no task sees the whole chain.
+    """
+    placed = ranked(revisions, [revision])
+    before = placed.select((F.col("place") + 1).alias("place"), F.col(own).alias("_before"))
+    return placed.join(before, "place").filter(~F.col(parent).eqNullSafe(F.col("_before"))).drop("_before", "place")
 
 
 def overwritten_valid(entries: DataFrame, keys: list[str], value: str = "value", status: str = "status", revision: str = "revision") -> DataFrame:

@@ -58,15 +58,15 @@ class Tables:
         """The five options in order, as an array to explode."""
         return F.array(*[F.lit(i) for i in range(OPTIONS)])
 
-    def pairs(self, k: int = TOP_K) -> DataFrame:
-        """Evidence-option pairs with label counts over the ten seeds: made row by row, nothing is shuffled for it."""
+    def pairs(self, k: int = TOP_K, keys: list[str] = []) -> DataFrame:  # noqa: B006
+        """Evidence-option pairs with label counts over the ten seeds, and the given key columns: made row by row, nothing is shuffled for it."""
         pair = self.top_evidence(k).withColumn("idx", F.explode(self.options()))
         buckets = F.transform(F.array(*map(F.lit, SEEDS)), lambda s: sample_bucket(F.col("pk"), F.col("sk"), F.col("ln"), F.col("idx"), s))
         counted = pair.withColumn("buckets", buckets)
         n = lambda low, high: F.size(F.filter("buckets", lambda b: (b >= low) & (b <= high)))
         return counted.select(
             "question_id", "idx", option_label(F.col("idx")).alias("option"), "doc_id", "doc_rank", "tier", "quality",
-            n(0, 2).alias("n_s"), n(3, 4).alias("n_c"), n(5, 9).alias("n_i"),
+            n(0, 2).alias("n_s"), n(3, 4).alias("n_c"), n(5, 9).alias("n_i"), *keys,
         )
 
     def samples(self, k: int = TOP_K) -> DataFrame:

@@ -412,13 +412,10 @@ def strata_metrics(t):
 SELECT 'C' AS method, count(*) AS claims, count(*) FILTER (n > 0) AS unstable, CAST(sum(n) AS BIGINT) AS decision_changes, round(max(delta), 6) AS largest_delta FROM q_change"""
 )
 def loso_stability(t):
-    evidence = t.pairs().drop("pk")
-    keyed = t.top_evidence().select("question_id", "doc_id", "pk", "sk", "ln")
     b = lambda s: sample_bucket(F.col("pk"), F.col("sk"), F.col("ln"), F.col("idx"), F.lit(s))
     name = lambda s: F.when(b(s) <= 2, "SUPPORT").when(b(s) <= 4, "CONTRADICT").otherwise("IRRELEVANT")
-    stances = F.create_map(*[x for s in SEEDS for x in (F.lit(s), name(s))])
-    got = ablation.seed_stability(evidence.join(keyed, ["question_id", "doc_id"]).withColumn("stances", stances).drop("pk", "sk", "ln"), F.col("stances"))
-    return got.filter("method = 'C'").select("method", "claims", "unstable", "decision_changes", "largest_delta")
+    got = ablation.seed_stability(t.pairs(keys=["pk", "sk", "ln"]), F.array(*map(name, SEEDS)), methods=("C",))
+    return got.select("method", "claims", "unstable", "decision_changes", "largest_delta")
 
 
 # Canonical join and coverage: hard labels are missing for some pairs, uncertainties for others, by fixed rules.
@@ -430,12 +427,12 @@ JOIN_SQL = """, q_top AS (SELECT e.*, quality, evidence_type FROM q_evidence e J
 
 
 def joined(t) -> DataFrame:
-    full = uncertainty.pair_uncertainty(t.pairs())
-    keys = t.top_evidence().select("question_id", "doc_id", "pk", "sk")
-    source = full.join(keys, ["question_id", "doc_id"])
-    hard = source.filter((F.col("pk") + F.col("idx")) % 5 != 0).select("question_id", "idx", "doc_id", "hard_label")
-    soft = source.filter(F.col("sk") % 3 != 0).select("question_id", "idx", "doc_id", r9("u_3"))
-    return retrieval.canonical_join(t.top_evidence().select("question_id", "doc_id", "doc_rank", "quality"), 5, hard, soft)
+    full = uncertainty.pair_uncertainty(t.pairs(keys=["pk", "sk"]))
+    hard = F.when((F.col("pk") + F.col("idx")) % 5 != 0, F.col("hard_label"))
+    soft = F.when(F.col("sk") % 3 != 0, F.round(C.plus_zero(F.round("u_3", 6)), 6))
+    # Both labels come from the pairs themselves, so the canonical join has one source to meet instead of two.
+    labels = full.select("question_id", "idx", "doc_id", hard.alias("hard_label"), soft.alias("u_3"))
+    return retrieval.canonical_join(t.top_evidence().select("question_id", "doc_id", "doc_rank", "quality"), 5, labels)
 
 
 @query(

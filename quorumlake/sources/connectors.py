@@ -7,12 +7,15 @@ from collections.abc import Callable, Iterator
 from email.utils import parsedate_to_datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorumlake.shared import settled
+
 #: Least seconds between calls, calls for one request, ids in a request.
 LEAST_PAUSE, ATTEMPTS, BATCH = 1 / 3, 3, 200
 AUDIT = "cache_key string, request string, response string, status string, attempts int, error string"
+AUDIT_COLUMNS = [x.split()[0] for x in AUDIT.split(", ")]
 
 
 def retry_delay(attempt: int, retry_after: str | None = None, now: float | None = None) -> float:
@@ -67,18 +70,41 @@ def call_all(requests: DataFrame, backend: Callable[[], Callable[[str], str]], *
                         break
                 rows.append((key, request, response, "VALID" if response is not None else "FAILED", n, None if response is not None else error))
             kinds = [pa.string()] * 4 + [pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], [x.split()[0] for x in AUDIT.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], AUDIT_COLUMNS)
 
     return requests.select("cache_key", "request").repartition(lanes).mapInArrow(run, AUDIT)
 
 
+def sealed(outcomes: DataFrame) -> DataFrame:
+    """Outcomes with `digest`, the SHA-256 of their other columns: a row that was altered no longer fits it."""
+    return outcomes.withColumn("digest", F.sha2(F.to_json(F.struct(*[F.col(c) for c in AUDIT_COLUMNS]), {"ignoreNullFields": "false"}), 256))
+
+
+def intact(cache: DataFrame) -> DataFrame:
+    """Rows of a sealed cache whose digest fits; the others count as not there."""
+    return sealed(cache.withColumnRenamed("digest", "_given")).filter(F.col("digest") == F.col("_given")).drop("_given")
+
+
+def reusable(cache: DataFrame, agrees: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that may be used again, counts by reason of all others): intact, VALID and made under conditions that agree."""
+    judged = sealed(cache.withColumnRenamed("digest", "_given"))
+    why = F.when(~F.coalesce(F.col("digest") == F.col("_given"), F.lit(False)), "DIGEST").when(F.col("status") != "VALID", "STATUS").when(~F.coalesce(agrees, F.lit(False)), "CONDITIONS")
+    judged = judged.withColumn("_why", why).drop("_given")
+    return judged.filter("_why IS NULL").drop("_why"), judged.filter("_why IS NOT NULL").groupBy(F.col("_why").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def cached_calls(requests: DataFrame, cache: DataFrame, backend, retry_failed: bool = False, **given) -> tuple[DataFrame, DataFrame]:
-    """(results of all requests, new outcomes to append to the cache): only keys without a usable outcome are called.
+    """(results of all requests, new outcomes to append to the cache): only keys without a usable outcome are called, each once.
 
     requests: cache_key and request; equal keys are called once.  Failures are
-    kept and not repeated unless retry_failed.
+    kept and not repeated unless retry_failed.  The new outcomes are written out
+    before either frame is returned, so using both, or losing an executor
+    afterwards, calls nothing again.  A cache with digests gives its intact rows
+    only, and the new outcomes are sealed likewise.
     """
-    usable = cache.filter(F.col("status").isin("VALID", *([] if retry_failed else ["FAILED"])))
-    fresh = call_all(requests.dropDuplicates(["cache_key"]).join(usable.select("cache_key"), "cache_key", "left_anti"), backend, **given)
+    seal = "digest" in cache.columns
+    usable = (intact(cache) if seal else cache).filter(F.col("status").isin("VALID", *([] if retry_failed else ["FAILED"])))
+    called = call_all(requests.dropDuplicates(["cache_key"]).join(usable.select("cache_key"), "cache_key", "left_anti"), backend, **given)
+    fresh = settled(sealed(called) if seal else called)
     known = usable.join(requests.select("cache_key").distinct(), "cache_key", "left_semi")
     return known.unionByName(fresh), fresh

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorumlake.operators.evaluate import ranked
+
 
 def write_json_lines(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """JSON lines with null fields kept; refuses an existing folder.  With an order, files follow it."""
@@ -42,4 +44,4 @@ def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
 
 def numbered(df: DataFrame, prefix: str, order: list[str]) -> DataFrame:
     """Sequential ids in the given order for annotation sheets."""
-    return df.withColumn("pair_id", F.format_string(prefix + "%03d", F.row_number().over(Window.orderBy(*order))))
+    return ranked(df, order).withColumn("pair_id", F.format_string(prefix + "%03d", F.col("place"))).drop("place")

@@ -4,6 +4,7 @@ import datetime
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quorumlake.sources import archive, articles, connectors, records, sinks
 from quorumlake.streaming import collect
@@ -144,6 +145,31 @@ def test_calls(spark):
     assert connectors.retry_delay(1, "Thu, 01 Jan 1970 00:01:00 GMT", now=0) == 60 and connectors.retry_delay(1, "soon") == 2
 
 
+def test_each_request_is_called_once(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def backend():
+        def call(request):
+            with open(log, "a") as f:
+                f.write(request + "\n")
+            return request * 2
+
+        return call
+
+    requests = spark.createDataFrame([(r, r) for r in ("a", "b", "c", "a", "forged", "old")], "cache_key string, request string")
+    cache = connectors.sealed(spark.createDataFrame([("old", "old", "kept", "VALID", 1, None), ("forged", "forged", "x", "VALID", 1, None)], connectors.AUDIT))
+    cache = cache.withColumn("response", F.when(F.col("cache_key") == "forged", "y").otherwise(F.col("response")))
+    every, fresh = connectors.cached_calls(requests, cache, backend, pause=0.0)
+    for _ in range(2):
+        assert {r.cache_key: r.response for r in every.collect()} == {"a": "aa", "b": "bb", "c": "cc", "forged": "forgedforged", "old": "kept"}
+        assert fresh.count() == 4
+    assert sorted(log.read_text().split()) == ["a", "b", "c", "forged"]
+    again, none = connectors.cached_calls(requests, cache.filter("cache_key = 'old'").unionByName(fresh), backend, pause=0.0)
+    assert again.count() == 5 and none.count() == 0 and len(log.read_text().split()) == 4
+    good, why = connectors.reusable(every, F.length("request") > 1)
+    assert {r.cache_key for r in good.collect()} == {"forged", "old"} and [tuple(r) for r in why.collect()] == [("CONDITIONS", 3)]
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b", c', None), (2, "x\ny", 0.5)], "k int, t string, v double")
     sinks.write_csv_checked(df, str(tmp_path / "csv"))

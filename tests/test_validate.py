@@ -3,18 +3,37 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quorumlake.functions.concepts import concepts_of, rules
+from quorumlake.functions.concepts import RULES, concepts
 from quorumlake.operators import validate
 
 
-def test_concepts():
-    assert len(rules()) == 85
-    assert concepts_of("A man denies chest pain. He has a migraine.") == ["migraine"]
-    assert concepts_of("no history of asthma and reports chest pain") == ["chest pain"]
-    assert concepts_of("Gram–negative, oxidase negative; maltose not fermented") == ["maltose", "gram negative", "oxidase"]
-    assert concepts_of("diabetes mellitus and diabetes insipidus", 8) == ["diabetes mellitus"]
-    assert concepts_of(None) == concepts_of("nothing here") == []
-    assert len(concepts_of(" ".join(["asthma hepatitis pneumonia meningitis migraine lupus neutropenia eosinophilia leukocytosis syncope"]), 20)) == 8
+CASES = [
+    ("A man denies chest pain. He has a migraine.", ["migraine"]),
+    ("no history of asthma and reports chest pain", ["chest pain"]),
+    ("Gram–negative, oxidase negative; maltose not fermented", ["maltose", "gram negative", "oxidase"]),
+    # Six words before count, the denial among them; clause marks and clause words end its reach.
+    ("no one two three four five six asthma", ["asthma"]),
+    ("no one two three four five asthma", []),
+    ("negative for one two three four asthma", []),
+    ("negative for one two three four five asthma", ["asthma"]),
+    ("without fever but asthma", ["asthma"]),
+    ("not now (asthma)", []),
+    ("asthma; no asthma", ["asthma"]),
+    ("no asthma. Later asthma", ["asthma"]),
+    ("nothing here", []),
+    ("", []),
+    (None, []),
+]
+
+
+def test_concepts(spark):
+    assert len(RULES) == 85
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(CASES)], "k int, t string")
+    got = {r.k: r.c for r in df.select("k", concepts(F.col("t")).alias("c")).collect()}
+    assert got == {k: c for k, (_, c) in enumerate(CASES)}
+    many = spark.createDataFrame([("diabetes mellitus and diabetes insipidus",), ("asthma hepatitis pneumonia meningitis migraine lupus neutropenia eosinophilia leukocytosis syncope",)], "t string")
+    one, eight = (r.c for r in many.select(concepts(F.col("t"), 20).alias("c")).collect())
+    assert one == ["diabetes mellitus"] and len(eight) == 8
 
 
 def test_checks(spark):
