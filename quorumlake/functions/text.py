@@ -117,7 +117,7 @@ def split_sentences(text: str | None) -> list[str]:
 
 def sentences(text: Column) -> Column:
     """split_sentences as a column; a scan with state has no form in built-in functions."""
-    return F.udf(split_sentences, T.ArrayType(T.StringType()))(text)
+    return F.udf(split_sentences, T.ArrayType(T.StringType()), useArrow=True)(text)
 
 
 def canonical_json(value) -> str:

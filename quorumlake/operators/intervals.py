@@ -42,7 +42,7 @@ def clopper_pearson(k: int | None, n: int | None, tail: float = 0.025) -> tuple[
 def interval(k: Column, n: Column, tail: float = 0.025) -> Column:
     """clopper_pearson as struct(low, high); for few rows, as no quantile of the beta distribution is built in."""
     kind = T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
-    return F.udf(lambda a, b: clopper_pearson(a, b, tail), kind)(k, n)
+    return F.udf(lambda a, b: clopper_pearson(a, b, tail), kind, useArrow=True)(k, n)
 
 
 def bonferroni_difference(first: Column, second: Column) -> Column:

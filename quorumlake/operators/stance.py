@@ -55,7 +55,7 @@ def parse_strict(raw: str | None) -> tuple[float | None, float | None, float | N
 
 def strict_distribution(raw: Column) -> Column:
     """parse_strict as a struct column; built-in JSON functions accept what must be rejected here."""
-    return F.udf(parse_strict, TRIPLE)(raw)
+    return F.udf(parse_strict, TRIPLE, useArrow=True)(raw)
 
 
 def class_code(c: Column) -> Column:

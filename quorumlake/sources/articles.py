@@ -14,13 +14,29 @@ def flat(c: Column) -> Column:
 
 
 def article_xml(spark: SparkSession, path: str) -> DataFrame:
-    """file and xml of each article element of whole files; files with an error element give none."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    ok = whole.filter(~F.col("value").contains("<ERROR>"))
+    """file and xml of each article element; a file with an error element or another root is an error when the result is used."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").filter(F.trim("value") != "")
+    root = F.regexp_extract("value", r"(?s)^(?:\s|<\?.*?\?>|<!.*?>)*<([A-Za-z]+)", 1)
+    fault = F.when(F.col("value").contains("<ERROR>"), F.concat(F.lit("the service reports an error in "), F.col("file"))).when(root != f"{ROW}Set", F.concat(F.lit("root is not a set of articles in "), F.col("file")))
+    ok = whole.filter(F.assert_true(fault.isNull(), fault).isNull())
     pieces = F.regexp_extract_all("value", F.lit(rf"(?s)<{ROW}(?:\s[^>]*)?>.*?</{ROW}>"), 0)
     return ok.select("file", F.explode(pieces).alias("xml"))
 
 
+def _people() -> Column:
+    """Authors as structs of last name, fore name, initials and collective name; absent parts are null."""
+    each = F.regexp_extract_all("xml", F.lit(r"(?s)<Author(?:\s[^>]*)?>.*?</Author>"), 0)
+    part = lambda x, name: F.nullif(flat(F.xpath_string(x, F.lit(f"string(/Author/{name})"))), F.lit("")).alias
+    names = {"last": "LastName", "fore": "ForeName", "initials": "Initials", "collective": "CollectiveName"}
+    return F.transform(each, lambda x: F.struct(*[part(x, tag)(k) for k, tag in names.items()]))
+
+
+def _date(path: str) -> Column:
+    """struct(year, month, day, season, words) of a date element; absent parts are null."""
+    part = lambda tag: F.nullif(_text(f"string({path}/{tag})"), F.lit(""))
+    return F.struct(part("Year").alias("year"), part("Month").alias("month"), part("Day").alias("day"), part("Season").alias("season"), part("MedlineDate").alias("words"))
+
+
 def _text(path: str) -> Column:
     return flat(F.xpath_string("xml", F.lit(path)))
 
@@ -29,8 +45,8 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
     """One row for each article that has an id and a title: pmid, title, abstract, journal, date, types, headings.
 
     The abstract is its labelled sections by line, or the first English or
-    unmarked other abstract; a date in words wins over its parts.  Articles
-    repeated under one id fail when the result is used.
+    unmarked other abstract; a date in words wins over its parts, which also
+    stand in `published`, as authors do in `people`.
     """
     raw = article_xml(spark, path)
     base = "MedlineCitation/Article"
@@ -56,6 +72,7 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
         F.transform(F.xpath("xml", F.lit(f"/{ROW}/{base}/PublicationTypeList/PublicationType/text()")), flat).alias("publication_types"),
         F.transform(F.xpath("xml", F.lit(f"/{ROW}/MedlineCitation/MeshHeadingList/MeshHeading/DescriptorName/text()")), flat).alias("mesh_headings"),
         F.transform(F.xpath("xml", F.lit(f"/{ROW}/{base}/AuthorList/Author/LastName/text()")), flat).alias("authors"),
+        _people().alias("people"), _date(f"/{ROW}/{date}").alias("published"),
     )
     kept = found.filter("pmid <> '' AND title <> ''").withColumns({
         "abstract": F.when(F.col("_main") != "", F.col("_main")).otherwise(F.col("_other")),
