@@ -15,7 +15,7 @@ import regex
 
 CACHE_ENTRIES = 1_500_000
 #: Words and parts of words whose ids are kept: about 200 bytes each in every worker.
-WORD_ENTRIES = 700_000
+WORD_ENTRIES = 400_000
 LONGEST_CACHED = 200
 
 
