@@ -28,6 +28,8 @@ GRAM = 64
 SEGMENT = 4 << 20
 #: Window starts sorted in one suffix array, and runs of one gram beyond which its contexts are dealt by their content.
 STARTS, HOT_RUNS, OFFSETS = 1 << 20, 20_000, 8
+#: So are those of a gram with at least 1 / HOT of all runs, of which there are HOT at most; its runs are counted in SALTS parts by context.
+HOT, SALTS = 1000, 64
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -149,14 +151,29 @@ def found_runs(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
     return rows.mapInArrow(run, f"gram long, context long, n int, id {kind}, h long, lo long, hi long, at long, cover array<long>")
 
 
+def hot_grams(runs: DataFrame) -> DataFrame:
+    """gram and many (whether it has several contexts) of grams with at least 1 / HOT of all runs; counted before anything is moved."""
+    by = runs.filter("n > 0").groupBy("gram").agg(F.count(F.lit(1)).alias("runs"), (F.min("context") < F.max("context")).alias("many"))
+    # Fewer runs than parts are not worth dealing.
+    by = by.filter(F.col("runs") >= SALTS)
+    total = runs.agg(F.count(F.lit(1)).alias("total"))
+    return F.broadcast(by.crossJoin(F.broadcast(total)).filter(F.col("runs") * HOT >= F.col("total")).select("gram", "many"))
+
+
 def by_document(runs: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """For each document with any: cover, what equal contexts repeat, and want, the runs that suffix arrays must look at."""
-    same = Window.partitionBy("gram", "context")
+    """For each document with any: cover, what equal contexts repeat, and want, the runs that suffix arrays must look at.
+
+    Runs meet by gram; those of a hot gram by gram and context, which is all that
+    counting equal contexts needs.
+    """
+    same, gram = Window.partitionBy("gram", "salt", "context"), Window.partitionBy("gram", "salt")
+    salt = F.when(F.col("many").isNull(), 0).otherwise(F.pmod(F.xxhash64("context"), F.lit(SALTS))).cast("int")
+    runs = runs.join(hot_grams(runs), "gram", "left").withColumn("salt", salt).repartition("gram", "salt")
     told = (
         runs.withColumn("total", F.sum("n").over(same))
         .withColumn("place", F.row_number().over(same.orderBy("id", "h", "lo")))
-        .withColumn("several", F.min("context").over(Window.partitionBy("gram")) < F.max("context").over(Window.partitionBy("gram")))
-        .withColumn("hot", F.count(F.lit(1)).over(Window.partitionBy("gram")) > HOT_RUNS)
+        .withColumn("several", F.coalesce("many", F.min("context").over(gram) < F.max("context").over(gram)))
+        .withColumn("hot", F.col("many").isNotNull() | (F.count(F.lit(1)).over(gram) > HOT_RUNS))
     )
     repeated = (F.col("total") >= 2) & ((F.col("place") > 1) if keep_first else F.lit(True))
     ask = (F.col("total") == 1) | F.lit(keep_first)
@@ -351,7 +368,7 @@ def repeats(sorted_rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
 def repeated_spans(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """id, h and cover, start and end of all repeated places in turn, for documents that have any; rows: id, h, text."""
     runs = found_runs(rows, length, keep_first)
-    mine = cut(by_document(runs.repartition("gram"), length, keep_first))
+    mine = cut(by_document(runs, length, keep_first))
     parts = contexts(packed(rows), mine.filter("size(want) > 0").select("id", "h", "want"), length)
     found = repeats(parts.repartition("key").sortWithinPartitions("key", "id", "h", "lo"), length, keep_first)
     sure = mine.filter("size(cover) > 0").select("id", "h", "cover")

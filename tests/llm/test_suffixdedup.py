@@ -46,8 +46,12 @@ def documents(r):
     return docs + [(200, None), (201, ""), (202, "short"), (203, "ab" * 900), (204, line * 40), (205, "z " + line * 3), (None, line + text(5))]
 
 
-@pytest.mark.parametrize(("keep_first", "hot", "segment"), [(False, 20_000, 4 << 20), (True, 20_000, 4 << 20), (False, 3, 700), (True, 3, 700)])
-def test_equals_brute_force(spark, docs_of, monkeypatch, keep_first, hot, segment):
+@pytest.mark.parametrize(("keep_first", "hot", "segment", "salts"), [(False, 20_000, 4 << 20, 64), (True, 20_000, 4 << 20, 64), (False, 3, 700, 64), (True, 3, 700, 64), (False, 20_000, 700, 2), (True, 20_000, 700, 2)])
+def test_equals_brute_force(spark, docs_of, monkeypatch, keep_first, hot, segment, salts):
+    # With two parts and a share that any gram reaches, all repeated grams are dealt by context.
+    if salts == 2:
+        monkeypatch.setattr(suffixdedup, "HOT", 10**6)
+    monkeypatch.setattr(suffixdedup, "SALTS", salts)
     monkeypatch.setattr(suffixdedup, "HOT_RUNS", hot)
     monkeypatch.setattr(suffixdedup, "SEGMENT", segment)
     docs = documents(random.Random(8))
