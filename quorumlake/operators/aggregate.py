@@ -90,9 +90,18 @@ def abstention_reason() -> Column:
 
 
 def contrast(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float = TIE) -> DataFrame:
-    """Claims of two methods side by side: delta, and whether score, definedness and decision changed."""
+    """Claims of two sources side by side: delta, and whether score, definedness and decision changed."""
     r = right.select(*keys, F.col("score").alias("score_right"), F.col("decision").alias("decision_right"))
-    both = left.select(*keys, F.col("score").alias("score_left"), F.col("decision").alias("decision_left")).join(r, keys)
+    return _contrasted(left.select(*keys, F.col("score").alias("score_left"), F.col("decision").alias("decision_left")).join(r, keys), tolerance)
+
+
+def contrast_methods(wide: DataFrame, left: str, right: str, keys: list[str] = CLAIM, tolerance: float = TIE) -> DataFrame:
+    """contrast of two methods of the same claims: both stand in one row, so nothing is joined."""
+    both = [F.col(f"{what}_{m.lower()}").alias(f"{what}_{side}") for side, m in (("left", left), ("right", right)) for what in ("score", "decision")]
+    return _contrasted(wide.select(*keys, *both), tolerance)
+
+
+def _contrasted(both: DataFrame, tolerance: float) -> DataFrame:
     a, b = F.col("score_left"), F.col("score_right")
     defined = a.isNotNull() & b.isNotNull()
     return both.withColumns({

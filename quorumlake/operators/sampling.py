@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.functions.text import relations, tokens, units
+from quorumlake.operators.evaluate import ranked
 
 
 def structural_pairs(pools: list[tuple[str, list[str], list[str]]], seed: int = 42, questions: int = 10, options: int = 3) -> list[tuple[str, str, str, str]]:
@@ -88,3 +89,10 @@ def candidates(features: DataFrame, excluded: DataFrame, keys: list[str], order:
     left = features.join(excluded.select(*keys).distinct(), keys, "left_anti")
     place = F.row_number().over(Window.partitionBy("question_id").orderBy(*order))
     return left.withColumn("_p", place).filter(F.col("_p") <= most_per_question).drop("_p")
+
+
+def shuffled(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """rows with place, 1 to n, in an order that the seed and the keys alone decide: reruns and other partitions give the same."""
+    if seed < 0:
+        raise ValueError("a seed is 0 or more")
+    return ranked(rows.withColumn("_luck", F.sha2(F.concat_ws("|", F.lit(str(seed)), *keys), 256)), ["_luck", *keys]).drop("_luck")

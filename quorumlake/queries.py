@@ -372,8 +372,7 @@ SELECT count(*) AS claims, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS
   count(*) FILTER (da <> db) AS decisions_changed FROM q_both"""
 )
 def method_contrast(t):
-    long = aggregate.by_method(wide(t))
-    got = aggregate.contrast(long.filter("method = 'C'"), long.filter("method = 'D'"), aggregate.CLAIM)
+    got = aggregate.contrast_methods(wide(t), "C", "D")
     n = lambda c: F.count_if(c)
     return got.agg(F.count(F.lit(1)).alias("claims"), n("both_defined").alias("both_defined"), n("score_changed").alias("scores_changed"), n("definedness_changed").alias("definedness_changed"), n("decision_changed").alias("decisions_changed"))
 

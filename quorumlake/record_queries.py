@@ -93,6 +93,23 @@ def scan_evidence(t):
     return kept.unionByName(bad.groupBy(F.col("reason").alias("kind")).agg(n().alias("n"), F.lit(0.0).alias("score_sum"), F.lit(0).cast("long").alias("supporting")))
 
 
+@query("SELECT 'q' || s_suppkey AS question_id, 'Of ' || s_name AS question, 'Z=last,A=first' AS options, CAST(s_suppkey % 2 AS INTEGER) AS answer_index FROM supplier", views=False)
+def question_round_trip(t):
+    pair = lambda label, text: F.struct(F.lit(label).alias("label"), F.lit(text).alias("text"))
+    rows = t.supplier.select(F.concat(F.lit("q"), F.col("s_suppkey").cast("string")).alias("question_id"), F.concat(F.lit("Of "), F.col("s_name")).alias("question"), F.array(pair("Z", "last"), pair("A", "first")).alias("options"), (F.col("s_suppkey") % 2).cast("int").alias("answer_index"))
+    at = fresh(t, "written-questions")
+    sinks.write_questions(rows, at)
+    good, _ = records.questions(t.spark, at)
+    return good.select("question_id", "question", F.array_join(F.transform("options", lambda o: F.concat_ws("=", o["label"], o["text"])), ",").alias("options"), "answer_index")
+
+
+@query("SELECT s_suppkey, row_number() OVER (ORDER BY sha256('7|' || s_suppkey), s_suppkey) AS place FROM supplier", views=False)
+def shuffled_rows(t):
+    from quorumlake.operators.sampling import shuffled
+
+    return shuffled(t.supplier.select("s_suppkey"), ["s_suppkey"], 7).select("s_suppkey", F.col("place").cast("long").alias("place"))
+
+
 @query("SELECT c_mktsegment, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys, count(*) FILTER (c_custkey % 5 = 0) AS empty_cells FROM customer GROUP BY c_mktsegment", views=False)
 def csv_round_trip(t):
     at = fresh(t, "csv")

@@ -32,6 +32,13 @@ def claim_lines(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return claims.withColumnRenamed("evidence", "evidence_count").join(listed, "question_id", "left").select("question_id", *["evidence_count" if c == "evidence" else c for c in keep], "evidence")
 
 
+def write_questions(questions: DataFrame, path: str) -> None:
+    """Questions (question_id, question, options as an array of (label, text), answer_index) as JSON lines that records.questions reads; options keep their order."""
+    labels = F.transform("options", lambda o: o["label"])
+    line = F.to_json(F.struct(F.col("question_id").alias("id"), "question", F.map_from_entries("options").alias("options"), F.get(labels, F.col("answer_index")).alias("answer")))
+    questions.select(line.alias("value")).write.mode("errorifexists").text(path)
+
+
 def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
     """A Markdown table of a summary; raises over `most` rows, as a report is for reading."""
     rows = df.limit(most + 1).collect()
