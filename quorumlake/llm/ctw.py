@@ -32,7 +32,7 @@ SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Words at least so frequent in training are at most 1 / HEAVY many, so their counts may be sent to all tasks.
 HEAVY = 1e-5
 #: Bytes of text in a block (one longer text makes a block of its own), places looked at in one go, and codes of a forest of subtrees.
-BLOCK, PIECE, FOREST = 16 << 20, 2 << 20, 1 << 18
+BLOCK, PIECE, FOREST = 16 << 20, 1 << 20, 1 << 18
 #: Rows of words packed together on their way back to the blocks.
 PACK = 1 << 20
 #: Log probabilities are added up over subtrees as whole numbers of this unit, so that their order does not matter.
@@ -306,17 +306,22 @@ def lists_of(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * width).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def block_codes(texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """The distinct codes of a block, in order, and for each of its pieces which of them its places have, and their texts."""
-    pieces_, found = [], []
+def block_codes(texts: list[bytes]) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """The distinct codes of a block, in order, and for each of its pieces which of them its places have, and their texts.
+
+    Of a piece only what is short is held: numbers of four bytes, and how many
+    places in turn each text has.
+    """
+    held, found = [], []
     for places, of in places_of(texts):
         number, codes = pd.factorize(places)
-        pieces_.append((number.astype(np.int32), of.astype(np.int32)))
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        held.append((number.astype(np.int32), of[first], np.diff(np.r_[first, len(of)])))
         found.append(codes)
     sizes = np.cumsum([len(c) for c in found])
     code, at = np.unique(np.concatenate(found), return_inverse=True)
     at = np.split(at.astype(np.int32), sizes[:-1])
-    return code, [(to[number], of) for to, (number, of) in zip(at, pieces_)]
+    return code, ((to[number], np.repeat(of, n)) for to, (number, of, n) in zip(at, held))
 
 
 def counted(blocks: DataFrame) -> DataFrame:
