@@ -6,42 +6,68 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.functions.columns import STANCES, entropy_metric, ratio
+from quorumlake.shared import settled
 
 
-def running(rows: DataFrame, order: list, sums: list[str], parts: int | None = None) -> DataFrame:
-    """rows with before_x for each x of sums: its total over all rows before, in the order; ranges are summed apart and shifted."""
+def in_ranges(rows: DataFrame, order: list, parts: int | None = None) -> DataFrame:
+    """rows with _range, the number of their range partition in the order, settled before anything else reads it.
+
+    A range exchange draws its bounds from a sample, so two branches of a plan
+    that each make their own would not agree on which row is in which range.
+    """
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    return settled(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def running(rows: DataFrame, order: list, sums: list[str], parts: int | None = None) -> DataFrame:
+    """rows with before_x and all_x for each x of sums: its total over all rows before, in the order, and over all rows.
+
+    Ranges are summed apart and shifted; rows that tie in the order must not matter.
+    """
+    dealt = in_ranges(rows, order, parts)
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     whole = dealt.groupBy("_range").agg(*[F.sum(x).alias(f"_t_{x}") for x in sums])
     # One row for each range.
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = whole.select("_range", *[F.coalesce(F.sum(f"_t_{x}").over(earlier), F.lit(0)).alias(f"_s_{x}") for x in sums])
+    earlier, every = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    shifts = whole.select("_range", *[F.coalesce(F.sum(f"_t_{x}").over(earlier), F.lit(0)).alias(f"_s_{x}") for x in sums], *[F.sum(f"_t_{x}").over(every).alias(f"all_{x}") for x in sums])
     found = dealt.withColumns({f"_o_{x}": F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in sums}).join(F.broadcast(shifts), "_range")
     return found.withColumns({f"before_{x}": F.col(f"_o_{x}") + F.col(f"_s_{x}") for x in sums}).drop("_range", *[f"_o_{x}" for x in sums], *[f"_s_{x}" for x in sums])
 
 
+def by_score(rows: DataFrame, score: str, error: str) -> DataFrame:
+    """Each distinct score with its errors e and correct rows c, those below it and those of all."""
+    by = rows.groupBy(score).agg(F.count_if(error).alias("e"), F.count_if(~F.col(error)).alias("c"))
+    return running(by, [F.col(score)], ["e", "c"])
+
+
+def area(e: str = "e", c: str = "c") -> Column:
+    """Of by_score's rows: errors meet the correct rows below them, those of their own score by half."""
+    return ratio(F.sum(F.col(e) * (F.col(f"before_{c}") + F.col(c) / 2.0)), F.sum(e) * F.sum(c))
+
+
+def precision_sum(e: str = "e", c: str = "c") -> Column:
+    """Of by_score's rows: recall steps times the precision from a score upwards."""
+    caught = F.col(f"all_{e}") - F.col(f"before_{e}")
+    return ratio(F.sum(F.col(e) * caught / (caught + F.col(f"all_{c}") - F.col(f"before_{c}"))), F.sum(e))
+
+
 def auroc(rows: DataFrame, score: str = "u", error: str = "error") -> DataFrame:
     """P(score of an error > score of a correct row), ties one half; null if a class is absent.
 
     By distinct score, not by pairs; running sums are made by ranges of scores.
     """
-    by = rows.groupBy(score).agg(F.count_if(error).alias("e"), F.count_if(~F.col(error)).alias("c"))
-    won = running(by, [F.col(score)], ["c"]).withColumn("won", F.col("e") * (F.col("before_c") + F.col("c") / 2.0))
-    return won.agg(ratio(F.sum("won"), F.sum("e") * F.sum("c")).alias("auroc"))
+    return by_score(rows, score, error).agg(area().alias("auroc"))
 
 
 def average_precision(rows: DataFrame, score: str = "u", error: str = "error") -> DataFrame:
     """Sum of recall steps times precision over falling scores, equal scores as one step; null without errors."""
-    by = rows.groupBy(score).agg(F.count_if(error).alias("e"), F.count(F.lit(1)).alias("n"))
-    step = running(by, [F.desc(score)], ["e", "n"]).withColumn("gain", F.col("e") * (F.col("before_e") + F.col("e")) / (F.col("before_n") + F.col("n")))
-    return step.agg(ratio(F.sum("gain"), F.sum("e")).alias("average_precision"))
+    return by_score(rows, score, error).agg(precision_sum().alias("average_precision"))
 
 
 def error_detection(rows: DataFrame, score: str = "u", error: str = "error") -> DataFrame:
-    """AUROC and average precision with their status, and prevalence."""
-    base = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(error).alias("errors"), F.avg(F.col(error).cast("double")).alias("prevalence"))
-    both = base.crossJoin(auroc(rows, score, error)).crossJoin(average_precision(rows, score, error))
+    """AUROC and average precision with their status, and prevalence, from one pass over the distinct scores."""
+    n, errors = F.coalesce(F.sum(F.col("e") + F.col("c")), F.lit(0)), F.coalesce(F.sum("e"), F.lit(0))
+    both = by_score(rows, score, error).agg(n.alias("n"), errors.alias("errors"), ratio(errors, n).alias("prevalence"), area().alias("auroc"), precision_sum().alias("average_precision"))
     status = lambda c: F.when(F.col(c).isNull(), "NA").otherwise("OK")
     reason = F.when(F.col("errors") == 0, "no errors").when(F.col("errors") == F.col("n"), "no correct rows")
     return both.withColumns({"auroc_status": status("auroc"), "ap_status": status("average_precision"), "reason": reason})
@@ -61,13 +87,13 @@ def retained(rows: DataFrame, order: list, coverages: list[float], keep) -> Data
 
 def ranked(rows: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
     """place, 1 to n in the order: ranges are numbered apart and shifted by what stands before them."""
-    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    dealt = in_ranges(rows, order, parts)
     inside = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
     sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # One row for each range.
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return inside.join(shifts, "_range").withColumn("place", F.col("_at") + F.col("_before")).drop("_range", "_at", "_before")
+    return inside.join(F.broadcast(shifts), "_range").withColumn("place", F.col("_at") + F.col("_before")).drop("_range", "_at", "_before")
 
 
 def risk_coverage(rows: DataFrame, coverages: list[float], order: list[str], score: str = "u", error: str = "error") -> DataFrame:

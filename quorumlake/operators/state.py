@@ -47,13 +47,13 @@ def fold_journal(entries: DataFrame, keys: list[str], value: str = "value", revi
 
 
 def broken_links(revisions: DataFrame, revision: str = "revision", parent: str = "parent_sha", own: str = "sha") -> DataFrame:
-    """Revisions whose parent is not the revision before them; the first has none.
+    """Revisions whose parent is not the revision before them; the first must name none.
 
     Places in the order meet their neighbours in a join, so no task sees the whole chain.
     """
     placed = ranked(revisions, [revision])
     before = placed.select((F.col("place") + 1).alias("place"), F.col(own).alias("_before"))
-    return placed.join(before, "place").filter(~F.col(parent).eqNullSafe(F.col("_before"))).drop("_before", "place")
+    return placed.join(before, "place", "left").filter(~F.col(parent).eqNullSafe(F.col("_before"))).drop("_before", "place")
 
 
 def overwritten_valid(entries: DataFrame, keys: list[str], value: str = "value", status: str = "status", revision: str = "revision") -> DataFrame:

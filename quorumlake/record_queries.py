@@ -527,7 +527,11 @@ def first_writers(t):
     return state.first_writer(t.events.select("user_id", "event_type", "event_id"), ["user_id"], ["event_id"]).select("user_id", "event_type", "event_id")
 
 
-@query("SELECT c_custkey AS revision FROM customer WHERE c_custkey % 97 = 5", views=False)
+@query(
+    """WITH c AS (SELECT c_custkey AS revision, CASE WHEN c_custkey % 97 = 5 THEN 'lost' ELSE 's' || (c_custkey - 1) END AS parent, lag('s' || c_custkey) OVER (ORDER BY c_custkey) AS before FROM customer)
+SELECT revision FROM c WHERE parent IS DISTINCT FROM before""",
+    views=False,
+)
 def broken_links(t):
     k = F.col("c_custkey")
     name = lambda c: F.concat(F.lit("s"), c.cast("string"))
@@ -618,5 +622,4 @@ def eval_continuous_score(t):
     from quorumlake.operators import evaluate
 
     rows = t.customer.select(F.col("c_acctbal").alias("u"), (F.col("c_custkey") % 7 == 0).alias("error"))
-    both = evaluate.auroc(rows).crossJoin(evaluate.average_precision(rows))
-    return both.select(F.round("auroc", 9).alias("auroc"), F.round("average_precision", 9).alias("average_precision"))
+    return evaluate.error_detection(rows).select(F.round("auroc", 9).alias("auroc"), F.round("average_precision", 9).alias("average_precision"))

@@ -58,6 +58,21 @@ def test_global_ranks(spark):
     assert sorted(x.place for x in got) == list(range(1, 501))
 
 
+@pytest.mark.parametrize("parts", [2, 4, 16])
+def test_global_ranks_of_many_rows(spark, parts):
+    """More rows than a range exchange samples: branches that keep other columns must still agree on the ranges."""
+    n = 120_000
+    rows = spark.range(n).select(((F.col("id") * 7919) % n).alias("k"), (F.col("id") % 1000 / 7.0).alias("u"), F.sha2(F.col("id").cast("string"), 256).alias("wide"))
+    placed = evaluate.ranked(rows, ["k"], parts)
+    assert placed.filter(F.col("place") != F.col("k") + 1).count() == 0 and placed.select("place").distinct().count() == n
+    summed = evaluate.running(rows.withColumn("one", F.lit(1)), ["k"], ["one", "k"], parts)
+    assert summed.filter((F.col("before_one") != F.col("k")) | (F.col("before_k") != F.col("k") * (F.col("k") - 1) / 2) | (F.col("all_one") != n)).count() == 0
+    chain = rows.select(F.col("k").alias("revision"), F.col("k").cast("string").alias("sha"), F.when(F.col("k") > 0, (F.col("k") - 1).cast("string")).alias("parent_sha"))
+    assert state.broken_links(chain).count() == 0
+    wrong = chain.withColumn("parent_sha", F.when(F.col("revision") == 0, "x").when(F.col("revision") == 77_777, "lost").otherwise(F.col("parent_sha")))
+    assert sorted(r.revision for r in state.broken_links(wrong).collect()) == [0, 77_777]
+
+
 def test_rank_metrics(spark):
     q = spark.createDataFrame([("q1", ["a"]), ("q2", ["b"]), ("q3", [])], "question_id string, relevant array<string>")
     docs = spark.createDataFrame([("q1", "x", 1), ("q1", "y", 2), ("q1", "a", 3), ("q2", "z", 1)], "question_id string, doc_id string, place int")
