@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm import decontam, filteraudit, neardup
+from quorumlake.llm import collocations, decontam, filteraudit, neardup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "tokens_per_word", "byte_share", "token_entropy")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -95,4 +99,4 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
-SQL: dict[str, str] = {"op2_near_duplicates": neardup.SQL, "op9_decontamination": decontam.SQL, "op13_filter_audit": filteraudit.SQL}
+SQL: dict[str, str] = {"op2_near_duplicates": neardup.SQL, "op9_decontamination": decontam.SQL, "op12_collocations": collocations.SQL, "op13_filter_audit": filteraudit.SQL}
