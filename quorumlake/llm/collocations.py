@@ -332,11 +332,11 @@ WITH p AS (
 ), g AS (SELECT lang, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) r(k)
 ), f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100
 ), c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1
-), x AS (SELECT lang, phrase, a, unnest(range(1, k)) AS at, ws FROM c
+), x AS (SELECT lang, phrase, a, unnest(range(1, k)) AS place, ws FROM c
 ), s AS (
-  SELECT x.lang, x.phrase, x.a, l.a AS l, r.a AS r, n, at, CAST(1000::HUGEINT * x.a * n // (l.a::HUGEINT * r.a) AS BIGINT) AS score
-  FROM x JOIN t ON t.lang = x.lang JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(ws[:at], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(ws[at + 1:], ' ')
-), b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) AS best FROM s
+  SELECT x.lang, x.phrase, x.a, l.a AS l, r.a AS r, n, place, CAST(1000::HUGEINT * x.a * n // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM x JOIN t ON t.lang = x.lang JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(ws[:place], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(ws[place + 1:], ' ')
+), b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, place) AS best FROM s
 ), d AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN c z ON z.lang = c.lang AND z.k > c.k AND 100 * z.a >= 100 * c.a AND contains(' ' || z.phrase || ' ', ' ' || c.phrase || ' ')
 ), o AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b ANTI JOIN d USING (lang, phrase) WHERE best = 1)
 SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000

@@ -87,6 +87,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "tokens_per_word", "byte_share", "token_entropy")
 
 
+def op11_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorumlake.llm.langid import languages
+
+    return languages(table(spark, sf_dir, "documents"), folds=4, held=2)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
