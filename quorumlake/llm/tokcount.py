@@ -58,30 +58,29 @@ def count_resynchronised(coder, text: str, chunk: int = 1 << 16, overlap: int =
         return [a + x for x in coder.begins(raw[a:b].decode())]
 
     start, counted_to, total = 0, 0, 0
-    left = begins(0, char_start(raw, min(chunk + overlap, len(raw))))
-    while start + chunk + overlap < len(raw):
+    reach = char_start(raw, min(chunk + overlap, len(raw)))
+    left = begins(0, reach)
+    while reach < len(raw):
         middle, width = char_start(raw, start + chunk), overlap
         stop = char_start(raw, middle + chunk + overlap)
         right = begins(middle, stop)
         while True:
             end = char_start(raw, middle + width)
+            # Both encodings reach the end of the overlap, whose last character may stand beyond where the chunk was cut.
+            if reach < end:
+                left, reach = begins(start, end), end
+            if stop < end:
+                stop = char_start(raw, end + overlap)
+                right = begins(middle, stop)
             x = first_common(coder, raw, left, right, middle, end)
             if x is not None or end == len(raw):
                 break
             width *= 2
-            end = char_start(raw, middle + width)
-            left = begins(start, end)
-            if end > stop:
-                stop = char_start(raw, end + overlap)
-                right = begins(middle, stop)
         if x is None:
             # Nothing splits the rest: left has all of it.
             return total + len(left) - bisect_left(left, counted_to)
         total += bisect_left(left, x) - bisect_left(left, counted_to)
-        start, counted_to, left = middle, x, right
-        # The right chunk must reach beyond the next middle by its overlap.
-        if stop < min(start + chunk + overlap, len(raw)):
-            left = begins(start, char_start(raw, start + chunk + overlap))
+        start, counted_to, left, reach = middle, x, right, stop
     return total + len(left) - bisect_left(left, counted_to)
 
 

@@ -92,3 +92,22 @@ def test_token_counts(spark, docs_of, name):
     want = [(i, len((t or "").encode()), n := coder.count(t or ""), n > 4096) for i, t in rows]
     assert got == sorted(want, key=str)
     assert token_counts(docs_of([]), path).count() == 0
+
+
+@pytest.mark.parametrize("tail", ["é" + "the" * 341 + "s", "é" + "the" * 340 + "日s", "😀" + "in" * 511 + "é"])
+def test_characters_across_the_end_of_a_chunk(tail):
+    """A character over the chunk's end moves the overlap's end by up to three bytes; none of them may be lost."""
+    coder = load(P.path("piece_bpe_32k.model"))
+    for lead in range(13104, 13109):
+        t = "word " * lead + tail
+        assert count_resynchronised(coder, t) == coder.count(t)
+
+
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json"])
+def test_many_texts_of_long_characters(name):
+    coder, r = load(P.path(name)), random.Random(9)
+    units = ["é", "日", "😀", "ß", "a", "the", " ", "in", "²", "ﬁ", "e", "s", "é日", "\n"]
+    for _ in range(3000):
+        some = r.sample(units, r.randint(1, 6))
+        t = "".join(r.choice(some) for _ in range(r.randint(0, 60)))
+        assert count_resynchronised(coder, t, r.choice([4, 8, 16, 33]), r.choice([1, 2, 4, 7])) == coder.count(t)
