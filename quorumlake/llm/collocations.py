@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumlake.llm.bytescan import text_buffer, word_hashes, word_spans
+from quorumlake.llm.bytescan import START, STEP, text_buffer, word_hashes, word_spans
 from quorumlake.llm.common import cut, pieces
 
 #: Words of the longest phrase; a key has eight bytes for each, zeros behind the last.
@@ -29,7 +30,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORDS_ONLY = bytes(32 if CLASSES[c] else LOWER[c] for c in range(256))
 #: Bytes of text whose windows are sorted at once, distinct words counted at once, keys a range's bounds are drawn from.
 CHUNK, HELD, DRAWN = 8 << 20, 200_000, 32
-#: The filter of frequent words has at most 2**27 bits, 16 MB.
+#: The filters of frequent words and pairs have at most 2**27 bits, 16 MB, each.
 FILTER_BITS = 27
 #: Languages whose totals are broadcast; more are joined.
 FEW_LANGS = 10_000
@@ -96,42 +97,77 @@ def dictionary(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
     raise ValueError("no seed gives different ids")
 
 
-def frequent_filter(frequent: DataFrame) -> np.ndarray:
-    """A bit for the low bits of each frequent id, 16 bits for each word as long as the bound allows."""
-    n = frequent.count()
-    bits = min(FILTER_BITS, max(10, (16 * n).bit_length()))
+def bit_filter(ids: DataFrame) -> np.ndarray:
+    """A bit for the low bits of each id (column id, all different), 16 bits for each as long as the bound allows.
+
+    Beyond the bound more ids pass that should not, which costs time and changes no count.
+    """
+    bits = min(FILTER_BITS, max(10, (16 * ids.count()).bit_length()))
     low = F.col("id").bitwiseAND((1 << bits) - 1)
-    # At most 2**(bits - 6) rows, whatever the number of words.
-    rows = frequent.groupBy(F.shiftright(low, 6).cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(id & 63 AS INT))")).alias("bits")).toPandas()
+    # At most 2**(bits - 6) rows, whatever the number of ids.
+    rows = ids.groupBy(F.shiftright(low, 6).cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(id & 63 AS INT))")).alias("bits")).toPandas()
     out = np.zeros(1 << bits - 6, np.int64)
     out[rows["cell"].to_numpy()] = rows["bits"].to_numpy()
     return out.view(np.uint64)
 
 
-def windows(batch: pa.RecordBatch, seeds: dict[str, int], cells: np.ndarray) -> np.ndarray:
-    """The ids of up to MOST words from each place on, zeros behind them, as rows.
+def passes(cells: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    mask = np.uint64(64 * len(cells) - 1)
+    return cells[(ids & mask) >> np.uint64(6)] >> (ids & np.uint64(63)) & np.uint64(1) != 0
+
+
+def pair_ids(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """An id for two words in turn, for the filter of pairs only."""
+    with np.errstate(over="ignore"):
+        h = (first * STEP ^ second) * START
+    return h ^ h >> np.uint64(31)
+
+
+def ids_of_pairs(pairs: DataFrame) -> DataFrame:
+    """id of each key of two words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = numbers(batch.column("key"), 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pair_ids(keys[:, 0], keys[:, 1]).view(np.int64))], ["id"])
+
+    return pairs.select("key").mapInArrow(run, "id long").distinct()
+
 
-    A window ends with its piece, before a word that is not frequent, or after
-    MOST words; windows of one word are left out, as words are counted already.
+class Breaks(NamedTuple):
+    """Where pieces break besides their own ends: at words that are not frequent, and between words that are no frequent pair.
+
+    least and most: words of the shortest window that is taken and of the longest.
     """
+
+    seed: int
+    words: np.ndarray
+    pairs: np.ndarray | None
+    least: int
+    most: int
+
+
+def windows(batch: pa.RecordBatch, seeds: dict[str, int], at_: Breaks) -> np.ndarray:
+    """The ids of up to `most` words from each place on, zeros behind them, as rows."""
     b, offsets = text_buffer(batch.column("text"))
     b = np.frombuffer(b.tobytes().translate(LOWER), np.uint8)
     kinds = CLASSES[b[:-8]]
     starts, ends = word_spans(kinds == 0, offsets)
     if not len(starts):
-        return np.zeros((0, MOST), np.uint64)
+        return np.zeros((0, at_.most), np.uint64)
     row = np.searchsorted(offsets, starts, side="right") - 1
     ids = word_hashes(b, starts, ends, np.array([seeds[x] for x in batch.column("lang").to_pylist()], np.uint64)[row])
-    mask = np.uint64(64 * len(cells) - 1)
-    known = cells[(ids & mask) >> np.uint64(6)] >> (ids & np.uint64(63)) & np.uint64(1) != 0
+    known = passes(at_.words, ids)
     breaks = np.cumsum(kinds == BREAK)[starts]
     # A chain is a run of frequent words of one piece.
     joined = known[1:] & known[:-1] & (row[1:] == row[:-1]) & (breaks[1:] == breaks[:-1])
+    if at_.pairs is not None:
+        joined &= passes(at_.pairs, pair_ids(ids[:-1], ids[1:]))
     last = np.flatnonzero(np.r_[~joined, True])
     left = last[np.searchsorted(last, np.arange(len(ids)))] - np.arange(len(ids)) + 1
-    at = np.flatnonzero(known & (left > 1))
-    ids, left = np.r_[ids, np.zeros(MOST, np.uint64)], left[at]
-    return np.stack([np.where(left > k, ids[at + k], np.uint64(0)) for k in range(MOST)], axis=1)
+    at = np.flatnonzero(known & (left >= at_.least))
+    ids, left = np.r_[ids, np.zeros(at_.most, np.uint64)], left[at]
+    return np.stack([np.where(left > k, ids[at + k], np.uint64(0)) for k in range(at_.most)], axis=1)
 
 
 def counted(rows: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +184,7 @@ def counted(rows: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarr
     rank[order] = np.arange(len(found), dtype=np.uint32)
     ranks = rank[codes].reshape(rows.shape)
     at = np.arange(len(rows))
-    for k in range(MOST - 1, -1, -1):
+    for k in range(rows.shape[1] - 1, -1, -1):
         for shift in range(0, max(1, (len(found) - 1).bit_length()), 16):
             at = at[np.argsort((ranks[at, k] >> np.uint32(shift)).astype(np.uint16), kind="stable")]
     ranks = ranks[at]
@@ -166,9 +202,15 @@ def fixed(keys: bytes, width: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int64) * width).astype(np.int32).tobytes()), pa.py_buffer(keys)])
 
 
-def key_counts(rows: DataFrame, seed: int, cells: np.ndarray, bounds: list[bytes], share: float = 1.0) -> DataFrame:
+def numbers(cells: pa.Array, words: int) -> np.ndarray:
+    """Keys of a column as rows of ids."""
+    start = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset] if len(cells) else 0
+    return np.frombuffer(cells.buffers()[2], ">u8", words * len(cells), start).astype(np.uint64).reshape(-1, words) if len(cells) else np.zeros((0, words), np.uint64)
+
+
+def key_counts(rows: DataFrame, breaks: Breaks, bounds: list[bytes], share: float = 1.0) -> DataFrame:
     """range, key and n: windows of a chunk of text, sorted and counted, with the range between bounds that each falls in; a share of them if asked."""
-    width = 8 * MOST
+    width = 8 * breaks.most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -186,8 +228,8 @@ def key_counts(rows: DataFrame, seed: int, cells: np.ndarray, bounds: list[bytes
 
         for whole in batches:
             for batch in pieces(whole, CHUNK // 4):
-                seeds = {x: lang_seed(x, seed) for x in batch.column("lang").unique().to_pylist()}
-                held.append(windows(batch, seeds, cells))
+                seeds = {x: lang_seed(x, breaks.seed) for x in batch.column("lang").unique().to_pylist()}
+                held.append(windows(batch, seeds, breaks))
                 size += len(held[-1])
                 if size > CHUNK // 8:
                     yield from full()
@@ -198,28 +240,28 @@ def key_counts(rows: DataFrame, seed: int, cells: np.ndarray, bounds: list[bytes
     return rows.mapInArrow(run, "range int, key binary, n long")
 
 
-def range_bounds(rows: DataFrame, seed: int, cells: np.ndarray, total: int, parts: int) -> list[bytes]:
-    """At most parts - 1 keys that split the windows evenly, from about DRAWN keys a range, drawn from some of the documents.
+def range_bounds(rows: DataFrame, breaks: Breaks, total: int, parts: int) -> list[bytes]:
+    """At most parts - 1 keys that split the windows evenly, from at most about DRAWN keys a range, drawn from some of the documents.
 
     The bounds decide where keys are counted, not what is counted.
     """
     share = min(1.0, DRAWN * parts / max(total, 1))
     docs = min(1.0, 64 * share)
-    drawn = key_counts(rows.filter(F.rand(7) < docs) if docs < 1 else rows, seed, cells, [], share / docs)
+    drawn = key_counts(rows.filter(F.rand(7) < docs) if docs < 1 else rows, breaks, [], share / docs)
     keys = np.array(sorted(x for r in drawn.select("key", "n").toLocalIterator() for x in [bytes(r.key)] * r.n), object)
     return sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if len(keys) else []
 
 
-def prefix_runs(least: int):
-    """Run lengths of the prefixes of two to MOST words in sorted keys: k, key, n.
+def prefix_runs(low: int, most: int, least: int):
+    """Run lengths of the prefixes of low to most words in sorted keys: k, key, n.
 
     A run with fewer than `least` keys goes, unless it touches an end of the
     range, where the rest of it may be in another one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key: list[np.ndarray | None] = [None] * (MOST + 1)
-        open_n, at_end = [0] * (MOST + 1), [True] * (MOST + 1)
+        open_key: list[np.ndarray | None] = [None] * (most + 1)
+        open_n, at_end = [0] * (most + 1), [True] * (most + 1)
 
         def told(k: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), fixed(binary(keys[:, :k]), 8 * k), pa.array(n)], ["k", "key", "n"])
@@ -227,12 +269,9 @@ def prefix_runs(least: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cells = batch.column("key")
-            start = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset]
-            keys = np.frombuffer(cells.buffers()[2], ">u8", MOST * batch.num_rows, start).astype(np.uint64).reshape(-1, MOST)
-            n = batch.column("n").to_numpy()
+            keys, n = numbers(batch.column("key"), most), batch.column("n").to_numpy()
             differs = keys[1:] != keys[:-1]
-            for k in range(2, MOST + 1):
+            for k in range(low, most + 1):
                 first = np.flatnonzero(np.r_[True, differs[:, :k].any(axis=1)])
                 sums, heads = np.add.reduceat(n, first), keys[first]
                 if open_key[k] is not None and np.array_equal(open_key[k], heads[0, :k]):
@@ -248,19 +287,32 @@ def prefix_runs(least: int):
                 if keep.any():
                     yield told(k, heads[:-1][keep], sums[:-1][keep])
                 open_key[k], open_n[k], at_end[k] = heads[-1, :k].copy(), int(sums[-1]), touches and len(first) == 1
-        for k in range(2, MOST + 1):
+        for k in range(low, most + 1):
             if open_key[k] is not None and open_key[k][k - 1]:
                 yield told(k, open_key[k][None, :], np.array([open_n[k]]))
 
     return run
 
 
-def phrase_counts(rows: DataFrame, seed: int, cells: np.ndarray, total: int, least: int) -> DataFrame:
-    """k, key and a: all phrases of two to MOST words that occur at least `least` times."""
+def phrases_between(rows: DataFrame, breaks: Breaks, total: int, least: int) -> DataFrame:
+    """k, key and a: phrases of breaks.least to breaks.most words that occur at least `least` times."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = range_bounds(rows, seed, cells, total, parts)
-    dealt = key_counts(rows, seed, cells, bounds).repartitionById(len(bounds) + 1, F.col("range")).select("key", "n").sortWithinPartitions("key")
-    return dealt.mapInArrow(prefix_runs(least), "k int, key binary, n long").groupBy("k", "key").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    bounds = range_bounds(rows, breaks, total, parts)
+    dealt = key_counts(rows, breaks, bounds).repartitionById(len(bounds) + 1, F.col("range")).select("key", "n").sortWithinPartitions("key")
+    runs = dealt.mapInArrow(prefix_runs(breaks.least, breaks.most, least), "k int, key binary, n long")
+    return cut(runs.groupBy("k", "key").agg(F.sum("n").alias("a")).filter(F.col("a") >= least))
+
+
+def phrase_counts(rows: DataFrame, seed: int, frequent: DataFrame, total: int, least: int) -> DataFrame:
+    """k, key and a: all phrases of two to MOST words that occur at least `least` times.
+
+    Pairs come first: a longer phrase holds frequent pairs only, so its windows
+    break at all others and few of them are left to be dealt and sorted.
+    """
+    words = bit_filter(frequent)
+    pairs = phrases_between(rows, Breaks(seed, words, None, 2, 2), total, least)
+    longer = phrases_between(rows, Breaks(seed, words, bit_filter(ids_of_pairs(pairs)), 3, MOST), total, least)
+    return pairs.unionByName(longer)
 
 
 def scored(phrases: DataFrame, words: DataFrame) -> DataFrame:
@@ -298,10 +350,10 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     Texts are lower-cased in A-Z, cut into pieces at . , ; : ! ? and line ends
     and into words at blanks.  Words that occur `least` times or more get ids of
     64 bits (hashes, proven to be different in this corpus); pieces break at all
-    others, which no frequent phrase can hold.  Windows of up to five ids are
-    fixed-width keys: sorted and counted by chunks of text, dealt by ranges,
-    merged by a sort within each range, and the run lengths of their prefixes
-    are the phrases' counts.  Runs that cross ranges are added up.  A phrase's
+    others, which no frequent phrase can hold.  Windows of two ids, and then of
+    up to five that hold frequent pairs only, are fixed-width keys: sorted and
+    counted by chunks of text, dealt by ranges, merged by a sort within each
+    range, and the run lengths of their prefixes are the phrases' counts.  Runs that cross ranges are added up.  A phrase's
     score is the least of floor(1000 a n / (l r)) over its cuts, ties to the
     first cut; phrases inside a longer one that occurs as often go.  Ties rank
     by a, then by the phrase's bytes.  Null texts are empty, null languages are
@@ -312,8 +364,7 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     words, frequent, seed = dictionary(rows, least)
     totals = cut(words.groupBy("lang").agg(F.sum("f").alias("n")))
     total, langs = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    cells = frequent_filter(frequent)
-    phrases = cut(phrase_counts(rows, seed, cells, total, least))
+    phrases = phrase_counts(rows, seed, frequent, total, least)
     key = F.to_binary(F.lpad(F.hex("id"), 16, "0"), F.lit("hex"))
     known = frequent.join(F.broadcast(totals) if langs <= FEW_LANGS else totals, "lang").select(key.alias("key"), "word", "lang", "f", "n")
     found = cut(unextended(scored(phrases, known)))

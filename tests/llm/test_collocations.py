@@ -75,8 +75,8 @@ def test_ids_are_proven(spark, monkeypatch):
 
 
 def test_full_filter(spark, rows, monkeypatch):
-    """A filter that lets every word pass changes no count."""
-    monkeypatch.setattr(C, "frequent_filter", lambda frequent: np.full(4, -1, np.int64).view(np.uint64))
+    """Filters that let every word and pair pass change no count."""
+    monkeypatch.setattr(C, "bit_filter", lambda ids: np.full(4, -1, np.int64).view(np.uint64))
     assert found(spark, rows) == plain(rows, 3, 50)
 
 
