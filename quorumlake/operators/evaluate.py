@@ -109,11 +109,62 @@ def selective(rows: DataFrame, coverages: list[float], order: list[str]) -> Data
     return classification(kept, ["coverage"])
 
 
-def classification(rows: DataFrame, keys: list[str], ref: str = "ref", guess: str = "guess") -> DataFrame:
-    """Count, accuracy and macro-F1 over the three stances; an absent class has F1 0."""
+def classification_columns(ref: str = "ref", guess: str = "guess") -> list[Column]:
+    """n, accuracy and macro_f1 over the three stances; an absent class has F1 0."""
     r, g = F.col(ref), F.col(guess)
     parts = [F.coalesce(ratio(2 * F.count_if((r == s) & (g == s)), F.count_if(r == s) + F.count_if(g == s)), F.lit(0.0)) for s in STANCES]
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(ratio(F.count_if(r == g), F.count(F.lit(1))), 9).alias("accuracy"), F.round((parts[0] + parts[1] + parts[2]) / 3, 9).alias("macro_f1"))
+    return [F.count(F.lit(1)).alias("n"), F.round(ratio(F.count_if(r == g), F.count(F.lit(1))), 9).alias("accuracy"), F.round((parts[0] + parts[1] + parts[2]) / 3, 9).alias("macro_f1")]
+
+
+def classification(rows: DataFrame, keys: list[str], ref: str = "ref", guess: str = "guess") -> DataFrame:
+    """Count, accuracy and macro-F1 over the three stances; an absent class has F1 0."""
+    return rows.groupBy(*keys).agg(*classification_columns(ref, guess))
+
+
+def side_by_side(predictions: DataFrame, reference: DataFrame, keys: list[str], methods: list[str]) -> DataFrame:
+    """One row for each pair: batch, ref, each method's guess, `right` (a bit for each method that is right) and `differ`.
+
+    predictions: keys, method, guess; reference: keys, batch, ref.  A pair without
+    a guess of every method, or with two, is an error when the result is used.
+    """
+    wide = predictions.groupBy(*keys).pivot("method", methods).agg(F.struct(F.min("guess").alias("guess"), F.count("guess").alias("n")))
+    whole, right, guesses = F.lit(True), F.lit(0), []
+    for k, m in enumerate(methods):
+        whole = whole & F.coalesce(F.col(m)["n"] == 1, F.lit(False))
+        right = right + F.when(F.col(m)["guess"] == F.col("ref"), F.lit(1 << k)).otherwise(0)
+        guesses.append(F.col(m)["guess"])
+    both = reference.join(wide, keys, "left").filter(F.assert_true(whole, F.lit("a pair needs one guess of every method")).isNull())
+    return both.select(*keys, "batch", "ref", *[g.alias(m) for m, g in zip(methods, guesses)], right.alias("right"), (F.size(F.array_distinct(F.array(*guesses))) > 1).alias("differ"))
+
+
+def _batch() -> Column:
+    return F.when(F.grouping("batch") == 1, F.lit("combined")).otherwise(F.col("batch")).alias("batch")
+
+
+def batch_metrics(wide: DataFrame, methods: list[str]) -> DataFrame:
+    """batch and method with n, accuracy and macro_f1: each batch and all together (`combined`) from one aggregation."""
+    each = wide.select("batch", "ref", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("guess")) for m in methods])).alias("x")).select("batch", "ref", "x.*")
+    sets = each.groupingSets([["batch", "method"], ["method"]], "batch", "method").agg(_batch().alias("part"), *classification_columns())
+    return sets.drop("batch").withColumnRenamed("part", "batch").select("batch", "method", "n", "accuracy", "macro_f1")
+
+
+def agreement(wide: DataFrame, methods: list[str]) -> DataFrame:
+    """By batch and combined: pairs, those that all methods have right or wrong, and those on which they differ."""
+    every = (1 << len(methods)) - 1
+    sets = wide.groupingSets([["batch"], []], "batch").agg(_batch().alias("part"), F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("right") == every).alias("all_right"), F.count_if(F.col("right") == 0).alias("all_wrong"), F.count_if("differ").alias("differ"))
+    return sets.drop("batch").withColumnRenamed("part", "batch")
+
+
+def right_patterns(wide: DataFrame) -> DataFrame:
+    """How many pairs of each batch, and combined, have each pattern of right methods."""
+    sets = wide.groupingSets([["batch", "right"], ["right"]], "batch", "right").agg(_batch().alias("part"), F.count(F.lit(1)).alias("pairs"))
+    return sets.drop("batch").withColumnRenamed("part", "batch").select("batch", "right", "pairs")
+
+
+def contradictions(wide: DataFrame, methods: list[str]) -> DataFrame:
+    """ref, method, guess and pairs where either is CONTRADICT."""
+    each = wide.select("ref", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("guess")) for m in methods])).alias("x")).select("ref", "x.*")
+    return each.filter((F.col("ref") == "CONTRADICT") | (F.col("guess") == "CONTRADICT")).groupBy("ref", "method", "guess").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 def confusion(rows: DataFrame, keys: list[str], ref: str = "ref", guess: str = "guess") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorumlake.shared import settled
+
 
 def query_choice(manual: Column, model: Column, keyword: Column) -> Column:
     """struct(source, query): a manual override, else the model's query, else the keyword query; blank ones count as none."""
@@ -17,10 +19,11 @@ def searched_once(requests: DataFrame, search, query: str = "query") -> tuple[Da
     """(requests with the results of their queries, distinct searches made): an identical search is not repeated.
 
     search: a function from a frame of distinct queries to one row of results for
-    each.  A request without a query keeps null results.
+    each.  The results are settled, so using them again searches nothing again.
+    A request without a query keeps null results.
     """
-    distinct = requests.select(query).filter(F.col(query).isNotNull()).distinct()
-    found = search(distinct)
+    distinct = settled(requests.select(query).filter(F.col(query).isNotNull()).distinct())
+    found = settled(search(distinct))
     return requests.join(found, query, "left"), distinct
 
 
@@ -70,3 +73,28 @@ def stem_checked(cached: DataFrame, questions: DataFrame) -> DataFrame:
     both = cached.join(questions.select("question_id", "question"), "question_id", "left")
     same = F.coalesce(F.sha2("question", 256) == F.col("stem_sha"), F.lit(False))
     return both.filter(F.assert_true(same, F.concat(F.lit("stem differs for "), F.col("question_id").cast("string"))).isNull())
+
+
+def retrieve(questions: DataFrame, search, records: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(evidence, report): the whole way from questions to ranked records, each distinct query searched once.
+
+    questions: question_id, manual, model and keyword queries; search: from
+    distinct queries to query and ids (an array in the service's order, null
+    where the search failed); records: pmid and what is known of it.  Evidence
+    has the first k distinct ids with a record, at their own ranks: a missing
+    record leaves a gap.  The report has every question, with its query's source,
+    the ids returned, distinct, asked for, found and missing, and a status:
+    NO_QUERY, SEARCH_FAILED, EMPTY, INCOMPLETE or OK.
+    """
+    chosen = questions.select("question_id", query_choice(F.col("manual"), F.col("model"), F.col("keyword")).alias("c")).select("question_id", "c.source", "c.query")
+    asked, _ = searched_once(chosen, search)
+    asked = settled(asked)
+    hits = asked.select("question_id", F.posexplode("ids").alias("position", "pmid"))
+    evidence = ranked_records(hits, records, k)
+    per = search_counters(hits, records, k)
+    report = asked.select("question_id", "source", "query", F.col("ids").isNull().alias("_failed")).join(per, "question_id", "left")
+    counts = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("returned", "distinct_ids", "asked", "found", "missing")}
+    status = (
+        F.when(F.col("query").isNull(), "NO_QUERY").when(F.col("_failed"), "SEARCH_FAILED").when(F.col("asked") == 0, "EMPTY").when(F.col("missing") > 0, "INCOMPLETE").otherwise("OK")
+    )
+    return evidence, report.withColumns(counts).withColumn("status", status).drop("_failed")
