@@ -22,6 +22,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title iframe noembed noframes xmp noscript".split())
 MUTED = set("svg math select button object canvas audio video template".split())
 FOREIGN = {"svg", "math"}
+#: How the model of pages with hardly any structure trusts looks of blocks, tags, names and repetition: few blocks say more each.
+BARE_TRUST = (0.7, 1.0, 1.5, 0.5)
 #: Elements that stand side by side in lists of comments and teasers.
 REPEATING = {"div", "section", "article", "aside", "blockquote", "table", "figure", "details"}
 #: An opening tag ends these open elements, up to the nearest of the second list.
@@ -296,7 +298,7 @@ class ContentTree:
         self.tag, self.marks, self.leaf_tag, self.looks = tag, marks, leaf_tag, looks
 
     @classmethod
-    def fit(cls, labelled: list[tuple[str, set[str]]], most: int = 2000, soft: float = 0.1) -> ContentTree:
+    def fit(cls, labelled: list[tuple[str, set[str]]], most: int = 2000, soft: float = 0.1, trust: tuple[float, float, float, float] | None = None) -> ContentTree:
         """labelled: pages and the texts of their content blocks; of more than `most` pages the first are used."""
         labelled = labelled[:most]
         pages = [parse(h) for h, _ in labelled]
@@ -331,11 +333,13 @@ class ContentTree:
         leaf_move[:, [PAGE, ARTICLE]] = 0
         root = share((STATES,), state[f.depth == 0])
         sized = len(tags) + 1
-        return cls(
+        tree = cls(
             tags, root, move, leaf_move / leaf_move.sum(-1, keepdims=True), share((STATES, sized), state[inner], f.tag[inner]), share((STATES, 4), state[inner], f.marks[inner]),
             share((STATES, sized), state[leaf], f.tag[leaf]), [share((STATES, k), state[leaf], f.look[leaf, j]) for j, k in enumerate((8, 3, 2))],
             share((STATES, 3), state[inner], f.rep[inner]),
         )
+        tree.trust = trust or cls.trust
+        return tree
 
     def marginals(self, f: Forest) -> np.ndarray:
         """P(content) of every node: messages from the leaves up, then from the roots down."""
@@ -361,19 +365,22 @@ class ContentTree:
         p = np.exp(log - log.max(1, keepdims=True)) if n else log
         return p[:, CONTENT] / p.sum(1) if n else np.zeros(0)
 
-    def extract(self, sources: list[str]) -> list[str]:
-        """The content blocks of each page in page order, one line each."""
+    def extract(self, sources: list[str], bare: ContentTree | None = None) -> list[str]:
+        """The content blocks of each page in page order, one line each; pages in which this tree finds none are left to another one, for pages with hardly any structure."""
         pages = [parse(s) for s in sources]
         f = Forest(pages, self.tags)
         good = self.marginals(f) > 0.5
         out = []
         for page, a in zip(pages, f.base.tolist()):
             out.append("\n".join(t for k, t in enumerate(page.text) if t is not None and good[a + k]))
+        if bare and (lost := [k for k, t in enumerate(out) if not t and any(x is not None for x in pages[k].text)]):
+            for k, t in zip(lost, bare.extract([sources[k] for k in lost])):
+                out[k] = t
         return out
 
 
-def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, set[str]]]:
-    """Labelled training pages: invented words in the layouts of news, blog, shop and plain pages, with their content blocks."""
+def labelled_pages(n: int = 400, seed: int = 5, plain: bool = False) -> list[tuple[str, set[str]]]:
+    """Labelled training pages: invented words in the layouts of news, blog, shop and plain pages, with their content blocks; or pages with hardly any structure."""
     r = random.Random(seed)
     serial = iter(range(10**9))
 
@@ -383,6 +390,26 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, set[str]]]:
         body = ["".join(r.choice("ba re ti on the el ku sch io né").replace(" ", "") + r.choice(["an", "er", "ou", "is", ""]) for _ in range(r.randint(1, 3))) for _ in range(r.randint(a, b))]
         return " ".join(" ".join([*body[:1], f"q{k}", *body[1:]]).split()).capitalize() + stop
 
+    def bare(keep, mute, links, foot, form) -> str:
+        """Hardly any structure: a few blocks, often one, in elements that say nothing or in none, with or without links beside them."""
+        lines = lambda: r.choice(["<br>", "<br><br>", "<br/>"]).join(keep_all(words(4, 60) for _ in range(r.randint(1, 4))))
+
+        def keep_all(parts) -> list[str]:
+            # Line breaks leave one block.
+            parts = list(parts)
+            keep(" ".join(parts))
+            return parts
+
+        own = lambda: r.choice(["", "", f" class={mute('text')}", f" class=x{r.randint(1, 9)}", f" id={r.choice(['text', 'inhalt', 'main', 'body'])}"])
+        block = lambda: r.choice([lambda: f"<p>{keep(words(3, 80))}</p>", lambda: f"<p>{keep(words(3, 80))}</p>", lambda: f"<p>{keep(words(3, 80))}", lambda: f"<div{own()}>{lines()}</div>", lambda: f"<div{own()}><p>{keep(words(3, 80))}</p></div>", lambda: f"<div{own()}><span>{keep(words(3, 80))}</span></div>"])()
+        title = ""
+        if r.random() < 0.3:
+            opens, ends = r.choice([("<h1>", "</h1>"), ("<h2>", "</h2>"), ("<h3>", "</h3>"), ("<center><b>", "</b></center>")])
+            title = f"{opens}{keep(words(0, 6, ''))}{ends}"
+        text = lines() if r.random() < 0.15 else r.choice(["", "<hr>"]).join(block() for _ in range(r.choice([1, 1, 1, 2, 2, 3, 6])))
+        menu = lambda: r.choice([lambda: links(r.randint(2, 6)), lambda: f"<div{own()}>" + " ".join(f"<a href=/{k}>{words(0, 2, '')}</a>" for k in range(r.randint(2, 5))) + "</div>", lambda: f"<nav>{links(r.randint(2, 6))}</nav>", lambda: f"<div id={r.choice(['menu', 'menue', 'nav'])}>{links(r.randint(2, 6))}</div>", lambda: f"<p><a href=/b>{words(0, 1, '')}</a></p>"])()
+        return (menu() if r.random() < 0.3 else "") + title + text + (menu() if r.random() < 0.25 else "") + (form() if r.random() < 0.08 else "") + (foot() if r.random() < 0.15 else "")
+
     def page() -> tuple[str, set[str]]:
         good: set[str] = set()
         names = r.random() < 0.85
@@ -418,6 +445,8 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, set[str]]]:
         menu = lambda: r.choice([lambda: f"<nav>{links(r.randint(3, 9))}</nav>", lambda: f'<div {r.choice(["class", "id"])}="{mute(r.choice(["menu", "nav", "navbar", "breadcrumb", "navegacion"]))}">{links(r.randint(2, 9))}</div>'])()
         head = lambda: r.choice([lambda: f"<header><h1>{words(1, 4, '')}</h1><p>{words(2, 9)}</p>{menu()}</header>", lambda: f'<div id="header"><h2>{words(1, 3, "")}</h2></div>{menu()}', menu])()
         foot = lambda: r.choice([lambda: f"<footer>&copy; {words(2, 25)}</footer>", lambda: f"<footer><p>{words(3, 40)}</p>{links(3)}</footer>", lambda: f'<div {r.choice(["class", "id"])}="{mute(r.choice(["footer", "site-footer", "copyright", "fusszeile"]))}">{words(3, 30)}</div>'])()
+        if plain:
+            return f"<html><body>{bare(keep, mute, links, foot, form)}</body></html>" if r.random() < 0.7 else bare(keep, mute, links, foot, form), good
         paragraphs = [prose() for _ in range(r.choice([1, 2, 3, 5, 8, 14, 25]))]
         if r.random() < 0.3:
             paragraphs.insert(r.randint(1, len(paragraphs)), ad())
@@ -454,18 +483,21 @@ def main_text(pages: DataFrame, *, labelled: list[tuple[str, set[str]]] | None =
     """id, text and n_chars (code points) of every row: the main text's blocks in page order, one line each.
 
     The model is fitted on labelled pages (at most `most`), by default the
-    invented ones of labelled_pages.  White space inside a block becomes one
+    invented ones of labelled_pages; then a page in which it finds nothing is
+    judged by a second one, fitted on invented pages with hardly any structure,
+    so a lone paragraph is not lost.  White space inside a block becomes one
     space, character references are decoded, and nothing else is changed, so
     pages of any length are used whole.  Null and empty pages, and those with no
     content block, have the text "".  Repeated rows give a row each, null ids
     stay null; an empty table gives no rows; other columns are not read.
     """
     model = ContentTree.fit(labelled if labelled is not None else labelled_pages(), most)
+    bare = ContentTree.fit(labelled_pages(plain=True), most, trust=BARE_TRUST) if labelled is None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, 2 << 20, "html"):
-                texts = model.extract([x or "" for x in batch.column("html").to_pylist()])
+                texts = model.extract([x or "" for x in batch.column("html").to_pylist()], bare)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))

@@ -28,4 +28,15 @@ PAGES = [
     (f"<body><div><div><nav>{NAV}</nav><article><h1>Q &amp; A</h1><blockquote><p>{B}</p></blockquote><p>{C} &lt;sic&gt;</p><form><label>Your mail</label><input><button>Send</button></form></article></div></div></body>", f"Q & A\n{B}\n{C} <sic>"),
     (f"<body><nav>{NAV}</nav><article><h1>Twice</h1><p>{A}</p><p>{A}</p></article><section class='reader-comments'><h3>Readers say</h3><article class='comment'><p>{E}</p></article><article class='comment'><p>{D}</p></article></section></body>", f"Twice\n{A}\n{A}"),
     (f"<body><ul><li><a href='/'>Home</a></ul><p>{H}</p><p>{I}</p><script>document.write('<p>no</p>')</script><p>{J}</p></body>", f"{H}\n{I}\n{J}"),
+    # Bare pages: one paragraph, no heading, line breaks only, text that stands in no element.
+    (f"<html><body><p>{A}</p></body></html>", A),
+    (f"<p>{D}", D),
+    (f"{C}", C),
+    (f"<html><body><div class=x1>{A}<br>{B}<br><br>{C}</div><div class=x2><a href='/'>Home</a> <a href='/n'>News</a></div></body></html>", f"{A} {B} {C}"),
+    (f"<body><h2>Ferries</h2>{B}<br>{C}</body>", f"Ferries\n{B} {C}"),
+    (f"<body><div id=menue>{NAV}</div><div id=text>{H}<br><br>{G}</div></body>", f"{H} {G}"),
+    (f"<body><p>{E}</p><p>{D}</p><p><a href='/zurueck'>Zurück</a></p></body>", f"{E}\n{D}"),
+    (f"<body><div><p>{J}</p></div><footer><p>© 2021 The Baker</p></footer></body>", J),
+    (f"<html><head><title>T</title></head><body><center><font size=4>Un atlas</font></center><p>{G}</p><hr><p>{H}</p></body></html>", f"Un atlas\n{G}\n{H}"),
+    (f"<body><nav>{NAV}</nav><div class=m4><span>{I}</span></div><form><input><button>Buscar</button></form></body>", I),
 ]

@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 
 from pages_by_hand import PAGES  # noqa: E402
 
-from quorumlake.llm.htmltext import CONTENT, STATES, ContentTree, Forest, labelled_pages, main_text, parse  # noqa: E402
+from quorumlake.llm.htmltext import BARE_TRUST, CONTENT, STATES, ContentTree, Forest, labelled_pages, main_text, parse  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -74,9 +74,31 @@ def test_a_megabyte_of_broken_markup_is_linear(model, html):
     assert time.time() - began < 5
 
 
-def test_pages_by_hand(model):
-    got = model.extract([h for h, _ in PAGES])
-    assert sum(a == b for a, (_, b) in zip(got, PAGES)) >= 9, [(a, b) for a, (_, b) in zip(got, PAGES) if a != b]
+@pytest.fixture(scope="module")
+def bare():
+    return ContentTree.fit(labelled_pages(plain=True), trust=BARE_TRUST)
+
+
+def test_pages_by_hand(model, bare):
+    got = model.extract([h for h, _ in PAGES], bare)
+    assert all(got) and len(PAGES) == 20
+    assert sum(a == b for a, (_, b) in zip(got, PAGES)) >= 18, [(a, b) for a, (_, b) in zip(got, PAGES) if a != b]
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<body><p>one paragraph</p></body>", "one paragraph"), ("<body><div class=x1>text<br>text</div><div class=x2><a href=/>menu</a></div></body>", "text text"), ("only words", "only words"), ("<body><p>One.</p><footer>&copy; us</footer></body>", "One."),
+    ("<footer>only</footer>", ""), ("<ul><li><a href=/>Home</a></ul>", ""), ("<body><div id=footer>Copyright us</div></body>", ""),
+])
+def test_pages_with_hardly_any_structure(model, bare, html, want):
+    assert model.extract([html], bare) == [want]
+
+
+def test_held_out_bare_pages(model, bare):
+    pages = labelled_pages(200, seed=91, plain=True)
+    exact = lambda got: sum(set(t.split("\n")) - {""} == good for t, (_, good) in zip(got, pages))
+    assert exact(bare.extract([h for h, _ in pages])) >= 0.95 * len(pages)
+    both = model.extract([h for h, _ in pages], bare)
+    assert all(both) and exact(both) >= 0.65 * len(pages)
 
 
 def test_held_out_accuracy(model):
@@ -87,6 +109,7 @@ def test_held_out_accuracy(model):
 
 
 def test_query(spark):
+    assert {r.text for r in main_text(spark.createDataFrame([(1, "<body><p>lone words</p></body>")], "page_id int, html string")).collect()} == {"lone words"}
     article = "<nav><ul><li><a href=/>Home</a></ul></nav><article><h1>Title &copy;</h1><p>First  words\nhere.<p>Second &lt;b&gt; words.</article><footer>&copy; us</footer>"
     rows = [(1, "u", article, 3, "c"), (1, "u", article, 3, "c"), (2, "u", None, 3, "c"), (3, "u", "", 3, "c"), (None, "u", "<article><p>" + "word " * 20000 + "end.</p></article>", 3, "c"), (4, "u", "<footer>only</footer>", 3, "c")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, id int, text string")
