@@ -96,28 +96,23 @@ def units(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+|[\r\n]+")
 
 
-#: A fixed value: marks, with closing quotes or brackets, before white space or the end.
-BOUNDARY = re.compile(r"[.!?]+[\"'”’)\]]*(?=\s|$)")
-#: What a single full stop may belong to: an abbreviation, dotted letters or a capital initial, after opening marks.
-GUARDED = re.compile(r"(?:^|\s)[(\[\"'“‘]*(?:(?i:" + "|".join(map(re.escape, ABBREVIATIONS)) + r")|(?:[A-Za-z]\.){2,}|[A-Z]\.)$")
+#: What a single full stop may belong to: an abbreviation, dotted letters or a capital initial, after opening marks.  A look-behind has to be bounded: eight opening marks and twenty dotted letters.
+GUARDED = r"(?:^|\s)[(\[\"'“‘]{0,8}(?:(?i:" + "|".join(map(re.escape, ABBREVIATIONS)) + r")|(?:[A-Za-z]\.){2,20}|[A-Z]\.)"
 
 
-def split_sentences(text: str | None) -> list[str]:
+def sentences(text: Column) -> Column:
     """Sentences of a text.
 
     A mark followed by white space ends one, but for a single full stop after an
     abbreviation, a capital initial or dotted letters.  A tail without a mark is
     a sentence; null and blank texts have none.
     """
-    text = text or ""
-    single = lambda m: m[0].strip("\"'”’)]") == "."
-    ends = [m.end() for m in BOUNDARY.finditer(text) if not (single(m) and GUARDED.search(text, max(0, m.start() - 80), m.start() + 1))]
-    return [s for a, b in zip([0, *ends], [*ends, len(text)]) if (s := text[a:b].strip())]
-
-
-def sentences(text: Column) -> Column:
-    """split_sentences as a column; a scan with state has no form in built-in functions."""
-    return F.udf(split_sentences, T.ArrayType(T.StringType()), useArrow=True)(text)
+    mark = "\u0001"
+    # A single full stop that ends a sentence stands behind nothing that guards it; several marks, or others, always end one.
+    single = rf"(?<![.!?])\.(?<!{GUARDED})[\"'”’)\]]*(?=\s|\z)"
+    other = r"(?:[.!?]*[!?][.!?]*|(?<![.!?])\.[.!?]+)[\"'”’)\]]*(?=\s|\z)"
+    cut = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), mark, " "), f"(?U)({single}|{other})", f"$1{mark}")
+    return F.filter(F.transform(F.split(cut, mark), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
 
 
 def canonical_json(value) -> str:

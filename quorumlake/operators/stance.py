@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quorumlake.functions.columns import STANCES, one_hot, valid_distribution
 
-TRIPLE = T.StructType([*(T.StructField(f"p_{x}", T.DoubleType()) for x in "sci"), T.StructField("error", T.StringType())])
 CODES = {"1": "SUPPORT", "2": "CONTRADICT", "3": "IRRELEVANT"}
 
 
@@ -23,39 +20,35 @@ def annotated(claims: DataFrame, stances: str = "stances", label: str = "option"
     return checked.withColumns(dict(zip(("p_s", "p_c", "p_i"), one_hot(F.col("stance")))))
 
 
-def parse_strict(raw: str | None) -> tuple[float | None, float | None, float | None, str | None]:
-    """(p_s, p_c, p_i, error) of a model's answer: one JSON object with exactly the three stances.
+#: JSON of one object of three members whose values are numbers; keys may be any strings.
+_KEY, _NUMBER = r'"(?:[^"\\\x00-\x1F]|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*"', r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+_BLANK = r"[\x20\t\n\r]*"
+MEMBER = rf"{_BLANK}{_KEY}{_BLANK}:{_BLANK}{_NUMBER}{_BLANK}"
+OBJECT = rf"\{{{MEMBER}(?:,{MEMBER})*\}}"
+
+
+def strict_distribution(raw: Column) -> Column:
+    """struct(p_s, p_c, p_i, error) of a model's answer: one JSON object with exactly the three stances.
 
     Rejected: prose or fences around it, repeated keys, NaN and infinities,
     booleans, other keys, values outside [0, 1], and sums off 1 by over 1e-6.
+    The grammar is a pattern, which admits numbers only; as many members as
+    there are different keys means that none is repeated.
     """
-
-    def once(pairs):
-        keys = [k for k, _ in pairs]
-        if len(set(keys)) < len(keys):
-            raise ValueError("duplicate key")
-        return dict(pairs)
-
-    def never(name):
-        raise ValueError(f"{name} is no number")
-
-    try:
-        got = json.loads((raw or "").strip(), object_pairs_hook=once, parse_constant=never)
-        if not isinstance(got, dict) or set(got) != set(STANCES):
-            raise ValueError("not exactly the three stances")
-        p = [got[s] for s in STANCES]
-        if any(isinstance(x, bool) or not isinstance(x, (int, float)) for x in p):
-            raise ValueError("not a number")
-        if not all(math.isfinite(x) and 0 <= x <= 1 for x in p) or abs(math.fsum(p) - 1) > 1e-6:
-            raise ValueError("not a distribution")
-        return float(p[0]), float(p[1]), float(p[2]), None
-    except (ValueError, RecursionError) as e:
-        return None, None, None, str(e)[:80]
-
-
-def strict_distribution(raw: Column) -> Column:
-    """parse_strict as a struct column; built-in JSON functions accept what must be rejected here."""
-    return F.udf(parse_strict, TRIPLE, useArrow=True)(raw)
+    bare = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)^\s+|\s+$", "")
+    shaped = bare.rlike(rf"\A{OBJECT}\z")
+    # Keys are read with their escapes; an answer of another shape is not parsed at all.
+    keys = F.json_object_keys(F.when(shaped, bare))
+    members = F.regexp_count(bare, F.lit(MEMBER))
+    exact = F.coalesce((members == 3) & (F.array_sort(F.array_distinct(keys)) == F.array(*map(F.lit, sorted(STANCES)))), F.lit(False))
+    given = F.from_json(F.when(shaped & exact, bare), ", ".join(f"{s} double" for s in STANCES))
+    p = [given[s] for s in STANCES]
+    inside = F.lit(True)
+    for x in p:
+        inside = inside & F.coalesce(x.between(0, 1), F.lit(False))
+    sums = F.coalesce(F.abs(p[0] + p[1] + p[2] - 1) <= 1e-6, F.lit(False))
+    error = F.when(~shaped, "not one object of numbers").when(~exact, "not exactly the three stances").when(~(inside & sums), "not a distribution")
+    return F.struct(*[F.when(error.isNull(), x).alias(f"p_{k}") for k, x in zip("sci", p)], error.alias("error"))
 
 
 def class_code(c: Column) -> Column:

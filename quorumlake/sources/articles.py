@@ -14,13 +14,26 @@ def flat(c: Column) -> Column:
 
 
 def article_xml(spark: SparkSession, path: str) -> DataFrame:
-    """file and xml of each article element; a file with an error element or another root is an error when the result is used."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").filter(F.trim("value") != "")
-    root = F.regexp_extract("value", r"(?s)^(?:\s|<\?.*?\?>|<!.*?>)*<([A-Za-z]+)", 1)
-    fault = F.when(F.col("value").contains("<ERROR>"), F.concat(F.lit("the service reports an error in "), F.col("file"))).when(root != f"{ROW}Set", F.concat(F.lit("root is not a set of articles in "), F.col("file")))
-    ok = whole.filter(F.assert_true(fault.isNull(), fault).isNull())
-    pieces = F.regexp_extract_all("value", F.lit(rf"(?s)<{ROW}(?:\s[^>]*)?>.*?</{ROW}>"), 0)
-    return ok.select("file", F.explode(pieces).alias("xml"))
+    """file and xml of each article element.
+
+    Files are read in splits: the end of an article is the end of a record, so a
+    large file is as many tasks as it has blocks.  A file with an error element,
+    one whose first element is no set of articles, and an article that does not
+    end are errors when the result is used.
+    """
+    ends = f"</{ROW}>"
+    records = spark.read.option("lineSep", ends).text(path).select(F.col("_metadata.file_path").alias("file"), "value").filter(F.trim("value") != "")
+    # What stands before the article: the head of the file, or white space between two articles.
+    body = F.regexp_extract("value", rf"(?s)<{ROW}(?:\s[^>]*)?>.*\z", 0)
+    root = F.regexp_extract("value", r"(?s)\A(?:\s|<\?.*?\?>|<!.*?>)*<(/?[A-Za-z]+)", 1)
+    before = F.substr("value", F.lit(1), F.length("value") - F.length(body))
+    fault = (
+        F.when(before.contains("<ERROR>"), F.concat(F.lit("the service reports an error in "), F.col("file")))
+        .when(~root.isin(f"{ROW}Set", ROW, f"/{ROW}Set"), F.concat(F.lit("root is not a set of articles in "), F.col("file")))
+        .when(body.contains(f"</{ROW}Set>"), F.concat(F.lit("an article does not end in "), F.col("file")))
+    )
+    ok = records.filter(F.assert_true(fault.isNull(), fault).isNull()).filter(body != "")
+    return ok.select("file", F.concat(body, F.lit(ends)).alias("xml"))
 
 
 def _people() -> Column:

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,17 +126,61 @@ def test_text(spark):
     assert one(X.evidence_type, ["case reports", "controlled clinical trial"], "array<string>") == one(X.evidence_type, [], "array<string>") == "other"
     assert one(X.tokens, "The therapies for virus and glasses, CELLS of analysis; cells") == ["analysis", "cell", "glasse", "virus"]
     assert one(X.relations, "It increased and is NOT associated  with") == ["associated with", "increases", "not"]
-    assert X.split_sentences("Dr. Who went. It was 3.5 mg! J. Smith et al. said so") == ["Dr. Who went.", "It was 3.5 mg!", "J. Smith et al. said so"]
-    assert X.split_sentences(None) == [] and X.split_sentences("  ") == []
+    assert one(X.sentences, "Dr. Who went. It was 3.5 mg! J. Smith et al. said so") == ["Dr. Who went.", "It was 3.5 mg!", "J. Smith et al. said so"]
+    assert one(X.sentences, None) == [] and one(X.sentences, "  ") == []
     assert X.canonical_json({"b": 1e-05, "a": "é"}) == '{"a":"é","b":1e-05}'
     assert one(X.digest_of, "sha256:" + "A" * 64) == "a" * 64 and one(X.digest_of, "xyz") is None
 
 
-def test_strict_output():
+def plain_sentences(text):
+    """The same rule as a scan over the marks."""
+    guarded = re.compile(r"(?:^|\s)[(\[\"'“‘]*(?:(?i:" + "|".join(map(re.escape, X.ABBREVIATIONS)) + r")|(?:[A-Za-z]\.){2,}|[A-Z]\.)$")
+    single = lambda m: m[0].strip("\"'”’)]") == "."
+    ends = [m.end() for m in re.finditer(r"[.!?]+[\"'”’)\]]*(?=\s|$)", text) if not (single(m) and guarded.search(text, max(0, m.start() - 80), m.start() + 1))]
+    return [s for a, b in zip([0, *ends], [*ends, len(text)]) if (s := text[a:b].strip())]
+
+
+def test_sentences_of_many_texts(spark):
+    r = random.Random(4)
+    parts = ["Dr.", "al.", "e.g.", "U.S.A.", "J.", "it", "3.5", "mg", "end.", "end!", "so?!", "...", "..", ".", 'said."', "(Fig.", "[i.e.", "'No.", "x.)", "A.", "a.", "\n", "\t", "\xa0", "é.", "?.", ".?", "no. 5", "“Mr."]
+    texts = ["".join(r.choice(parts) + r.choice([" ", " ", "", "  "]) for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, v string").select("k", X.sentences(F.col("v")).alias("s")).collect()
+    assert {x.k: x.s for x in got} == {k: plain_sentences(t) for k, t in enumerate(texts)}
+
+
+def plain_answer(raw):
+    """The same answer by a JSON parser that is told about every pair and constant."""
+
+    def once(pairs):
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError
+        return dict(pairs)
+
+    def never(name):
+        raise ValueError
+
+    try:
+        got = json.loads((raw or "").strip(), object_pairs_hook=once, parse_constant=never)
+        p = [got[s] for s in ("SUPPORT", "CONTRADICT", "IRRELEVANT")]
+        if len(got) != 3 or any(isinstance(x, bool) or not isinstance(x, (int, float)) or not 0 <= x <= 1 for x in p) or abs(sum(p) - 1) > 1e-6:
+            raise ValueError
+        return tuple(map(float, p))
+    except (ValueError, TypeError, KeyError, RecursionError):
+        return None
+
+
+def test_strict_output(spark):
     good = '{"SUPPORT": 0.5, "CONTRADICT": 0.25, "IRRELEVANT": 0.25}'
-    assert stance.parse_strict(good) == (0.5, 0.25, 0.25, None)
-    bad = [None, "", "x " + good, "```" + good + "```", good.replace("0.5", "true"), good.replace("0.5", "NaN"), good.replace("0.5", "0.6"), '{"SUPPORT": 1, "SUPPORT": 1, "CONTRADICT": 0, "IRRELEVANT": 0}', "[1]", json.dumps({"SUPPORT": 1.0})]
-    assert all(stance.parse_strict(b)[3] for b in bad)
+    bad = [None, "", "x " + good, "```" + good + "```", good.replace("0.5", "true"), good.replace("0.5", "NaN"), good.replace("0.5", "0.6"), '{"SUPPORT": 1, "SUPPORT": 1, "CONTRADICT": 0, "IRRELEVANT": 0}', "[1]", json.dumps({"SUPPORT": 1.0}), "null", good[:-1], good + good, good.replace("0.5", '"0.5"'), good.replace(":", "=")]
+    odd = [" \n" + good + "\t", good.replace("SUPPORT", "\\u0053UPPORT"), good.replace("0.5", "5e-1"), good.replace("0.5", "05e-1"), good.replace("0.5", ".5"), good.replace("0.5", "1E400"), good.replace("0.5", "-0"), '{"SUPPORT":1,"CONTRADICT":0,"IRRELEVANT":0}', '{"SUPPORT":1,"CONTRADICT":0,"IRRELEVANT":0,"SUPPORT":1}', '{"SUPPORT":1,"CONTRADICT":0,"IRRELEVANT":0,"x":0}', '{"SUPPORT":1,"CONTRADICT":0,"irrelevant":0}', '{"SUPPORT":1,"CONTRADICT":0,"IRRELEVANT":0,}', "{}", "{" * 50, '{"SUPPORT":{"a":1},"CONTRADICT":0,"IRRELEVANT":0}', good.replace("0.25}", "0.2500001}"), good.replace("0.25}", "0.250002}")]
+    r = random.Random(5)
+    cut = lambda t: t[: (k := r.randint(0, len(t)))] + r.choice(['"', "0", ",", "}", "", " ", "\\", "e"]) + t[k + r.randint(0, 2) :]
+    texts = [good, *bad, *odd, *(cut(r.choice([good, *odd[:3]])) for _ in range(1500))]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, v string").select("k", stance.strict_distribution(F.col("v")).alias("x")).collect()
+    for row in got:
+        want = plain_answer(texts[row.k])
+        assert (None if row.x.error else (row.x.p_s, row.x.p_c, row.x.p_i)) == want, texts[row.k]
+        assert (row.x.p_s is None) == (row.x.error is not None)
 
 
 def test_class_tokens():

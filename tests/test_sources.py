@@ -103,6 +103,31 @@ def test_articles(spark, tmp_path):
     assert (got["2"].abstract, got["2"].abstract_source, got["2"].publication_date) == ("other", "other_abstract", "Spring 1999")
 
 
+def test_a_large_article_file_is_read_in_splits(spark, tmp_path):
+    one = lambda k: f"<PubmedArticle><MedlineCitation><PMID>{k}</PMID><Article><ArticleTitle>Title {k} é</ArticleTitle></Article></MedlineCitation></PubmedArticle>"
+    (tmp_path / "many.xml").write_text('<?xml version="1.0"?>\n<!DOCTYPE PubmedArticleSet PUBLIC "x" "y">\n<PubmedArticleSet>\n' + "\n".join(map(one, range(400))) + "\n</PubmedArticleSet>\n")
+    (tmp_path / "none.xml").write_text("<PubmedArticleSet></PubmedArticleSet>")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], "3000")
+        spark.conf.set(names[1], "1")
+        got = articles.article_xml(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 10
+        assert sorted(int(r.pmid) for r in articles.articles(spark, str(tmp_path)).collect()) == list(range(400))
+    finally:
+        [spark.conf.set(n, b) for n, b in zip(names, before)]
+
+
+@pytest.mark.parametrize("text, fault", [
+    ("<eFetchResult><ERROR>no</ERROR></eFetchResult>", "reports an error"), ("<html><body>x</body></html>", "root is not"), ("<PubmedArticleSet><PubmedArticle><PMID>1</PMID></PubmedArticleSet>", "does not end"), ("plain words", "root is not"),
+])
+def test_article_files_that_are_none(spark, tmp_path, text, fault):
+    (tmp_path / "a.xml").write_text(text)
+    with pytest.raises(Exception, match=fault):
+        articles.article_xml(spark, str(tmp_path / "a.xml")).collect()
+
+
 def test_archives(spark, tmp_path):
     body = archive.write_archive({"a.txt": b"one", "b/c.txt": b"two"})
     assert body == archive.write_archive({"b/c.txt": b"two", "a.txt": b"one"})
