@@ -35,17 +35,19 @@ def bit_of(term: Column) -> tuple[Column, Column]:
 
 
 def term_filter(terms: DataFrame) -> DataFrame:
-    """(slot, bits) of all terms; small by construction, so it may be sent to every task."""
+    """(slot, bits, framed) of all terms and of those marked `frame`; small by construction, so it may be sent to every task."""
     slot, bit = bit_of(F.col("term"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    return F.broadcast(terms.select(slot.alias("slot"), one.alias("one")).groupBy("slot").agg(F.bit_or("one").alias("bits")))
+    frame = F.col("frame") if "frame" in terms.columns else F.lit(True)
+    rows = terms.select(slot.alias("slot"), one.alias("one"), F.when(frame, one).otherwise(F.lit(0).cast("long")).alias("own"))
+    return F.broadcast(rows.groupBy("slot").agg(F.bit_or("one").alias("bits"), F.bit_or("own").alias("framed")))
 
 
 def likely(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """rows whose term passes the filter of terms: all that are among them, and some others."""
+    """rows whose term passes the filter of terms, all that are among them and some others; framed says the same of the marked ones."""
     slot, bit = bit_of(F.col("term"))
     found = rows.withColumn("_slot", slot).withColumn("_bit", bit).join(term_filter(terms).withColumnRenamed("slot", "_slot"), "_slot")
-    return found.filter(F.getbit("bits", F.col("_bit")) == 1).drop("_slot", "_bit", "bits")
+    return found.filter(F.getbit("bits", F.col("_bit")) == 1).withColumn("framed", F.getbit("framed", F.col("_bit")) == 1).drop("_slot", "_bit", "bits")
 
 
 def term_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
@@ -67,22 +69,23 @@ def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
         F.max(F.when(F.col("r") == 1, F.col("n"))).alias("n"),
         F.max(F.when(F.col("r") == 2, F.col("term"))).alias("term2"),
         F.max(F.when(F.col("r") == 2, F.col("off"))).alias("off2"),
-    )
+        F.max(F.when(F.col("r") == 2, F.col("n"))).alias("n2"),
+    ).withColumn("wid", F.xxhash64("win"))
 
 
 def postings(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
-    """Positional postings of terms (and of some that share their bits): id, h (hash of the text), term, pos and frame, the words from `low` on to radius words either side.
+    """Positional postings of terms (and of some that share their bits): id, h (hash of the text), term and pos; for terms marked `frame` also the words from `low` on to radius words either side.
 
     The frame is cut where the document is read: no document is moved or stored.
     """
     words = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), words_of(F.col(text_col)).alias("words"))
     each = likely(words.select("id", "h", "words", F.posexplode("words").alias("pos", "term")), terms)
     low = F.greatest(F.col("pos") - radius, F.lit(0))
-    return each.select("id", "h", "term", "pos", low.alias("low"), F.slice("words", low + 1, F.col("pos") - low + radius + 1).alias("frame"))
+    return each.select("id", "h", "term", "pos", low.alias("low"), F.when(F.col("framed"), F.slice("words", low + 1, F.col("pos") - low + radius + 1)).alias("frame"))
 
 
 def dealt(index: DataFrame, wins: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both with a salt: postings of a hot term are dealt over several, and its windows are in each."""
+    """Both with a salt: postings of a hot term are dealt over several, and its windows (term and its count n) are in each."""
     terms = wins.select("term", "n").distinct()
     whole = terms.agg(F.sum("n").alias("total"))
     salts = F.broadcast(terms.crossJoin(F.broadcast(whole)).filter(F.col("n") * HOT >= F.col("total")).filter("n > 0").select("term", F.ceil(F.col("n") * HOT / F.col("total")).cast("int").alias("salts")))
@@ -92,25 +95,49 @@ def dealt(index: DataFrame, wins: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
+def starts_of(index: DataFrame, wins: DataFrame, term: str, off: str, n: str) -> DataFrame:
+    """The list of a term, shifted by its offset in each window: id, h, start, wid and pos, for windows that begin inside the text."""
+    mine = wins.filter(F.col(term).isNotNull()).select(F.col(term).alias("term"), F.col(off).alias("off"), F.col(n).alias("n"), "wid")
+    left, right = dealt(index.select("id", "h", "term", "pos"), mine)
+    return left.join(right, ["term", "salt"]).select("id", "h", (F.col("pos") - F.col("off")).alias("start"), "wid", "pos").filter("start >= 0")
+
+
+def intersected(index: DataFrame, wins: DataFrame) -> DataFrame:
+    """Candidate starts (id, h, start, wid, pos of the rarest term) that the lists of a window's two rarest terms have in common; a window of one word has one list."""
+    first = starts_of(index, wins, "term", "off", "n")
+    second = starts_of(index, wins, "term2", "off2", "n2").select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("start").alias("_start"), F.col("wid").alias("_wid"))
+    short = wins.filter("term2 IS NULL").select(F.col("wid").alias("_one"))
+    both = first.join(second, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("start") == F.col("_start")) & (F.col("wid") == F.col("_wid")), "left_semi")
+    return both.unionByName(first.join(short, F.col("wid") == F.col("_one"), "left_semi"))
+
+
 def phrase_matches(docs: DataFrame, items: DataFrame, *, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slack: int | None = None) -> DataFrame:
     """Every occurrence of a window of n item words: id, h, start, length, items; with slack also near ones, exact says which.
 
-    The index holds the postings of each window's rarest term, counted over all
-    documents.  Their positions, less the term's offset, are the candidate
-    starts; the list of the next rarest term is intersected at its own offset,
-    then all terms are compared.  A proximity match (slack given) has every word
-    of the window within len(window) - 1 + slack words of the rarest one.
+    The index holds the postings of each window's two rarest terms, counted over
+    all documents.  Their positions, less the terms' offsets, are lists of starts;
+    what both lists have is a candidate, and all its terms are compared with the
+    words around the rarest one.  A proximity match (slack given) has every word
+    of the window within len(window) - 1 + slack words of the rarest one; its
+    terms stand at no fixed offset, so only the rarest term's list is used then.
     """
     windows = cut(windows_of(items, item_col, item_text_col, n))
     terms = windows.select(F.explode("win").alias("term")).distinct()
     wins = cut(anchored(windows, term_counts(docs, text_col, terms)))
     radius = n - 1 + (slack or 0)
-    index = cut(postings(docs, wins.select("term").distinct(), id_col, text_col, radius))
-    start = F.col("pos") - F.col("off")
-    index, wins = dealt(index, wins)
-    met = index.join(wins, ["term", "salt"]).withColumn("start", start).withColumn("at", F.col("start") - F.col("low"))
-    second = F.col("off2").isNull() | (F.get("frame", F.col("at") + F.col("off2")) == F.col("term2"))
-    exact = (F.col("at") >= 0) & second & (F.slice("frame", F.greatest(F.col("at") + 1, F.lit(1)), F.size("win")) == F.col("win"))
+    rarest = wins.select("term", F.lit(True).alias("frame"))
+    asked = rarest if slack is not None else rarest.unionByName(wins.filter("term2 IS NOT NULL").select(F.col("term2").alias("term"), F.lit(False).alias("frame")))
+    index = cut(postings(docs, asked.groupBy("term").agg(F.max("frame").alias("frame")), id_col, text_col, radius))
+    framed = index.filter("frame IS NOT NULL")
+    if slack is None:
+        found = intersected(index, wins).withColumnsRenamed({"id": "_id", "h": "_h", "pos": "_pos"})
+        met = found.join(wins.select("wid", "win", "items", "term"), "wid")
+        met = met.join(framed.withColumnRenamed("term", "_term"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("pos") == F.col("_pos")) & (F.col("term") == F.col("_term")))
+    else:
+        left, right = dealt(framed, wins)
+        met = left.join(right, ["term", "salt"]).withColumn("start", F.col("pos") - F.col("off"))
+    met = met.withColumn("at", F.col("start") - F.col("low"))
+    exact = (F.col("at") >= 0) & (F.slice("frame", F.greatest(F.col("at") + 1, F.lit(1)), F.size("win")) == F.col("win"))
     if slack is None:
         met = met.filter(exact).withColumn("exact", F.lit(True))
     else:

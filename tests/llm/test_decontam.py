@@ -57,6 +57,20 @@ def test_proximity(spark, docs_of):
     assert got == {(1, True), (2, False)}
 
 
+def test_lists_are_intersected(spark, docs_of):
+    """Only starts at which both of a window's rarest terms stand are candidates."""
+    bench = spark.createDataFrame([(1, "red green blue"), (2, "solo"), (3, "red red")], "item_id long, text string")
+    docs = docs_of([(1, "red green blue"), (2, "red x blue green"), (3, "blue blue green red"), (4, "solo red"), (5, "red red red")])
+    wins = decontam.anchored(decontam.windows_of(bench, "item_id", "text", 10), decontam.term_counts(docs, "text", spark.createDataFrame([(w,) for w in ("red", "green", "blue", "solo")], "term string")))
+    terms = wins.select("term").union(wins.select("term2")).filter("term IS NOT NULL").distinct()
+    index = decontam.postings(docs, terms, "doc_id", "text", 9)
+    name = {r.wid: " ".join(r.win) for r in wins.collect()}
+    got = sorted((r.id, r.start, name[r.wid]) for r in decontam.intersected(index, wins).collect())
+    assert got == [(1, 0, "red green blue"), (2, 0, "red green blue"), (4, 0, "solo"), (5, 0, "red red"), (5, 1, "red red")] or got == [(1, 0, "red green blue"), (4, 0, "solo"), (5, 0, "red red"), (5, 1, "red red")]
+    found = sorted((r.id, r.start, r.length) for r in phrase_matches(docs, bench, n=10).collect())
+    assert found == [(1, 0, 3), (4, 0, 1), (5, 0, 2), (5, 1, 2)]
+
+
 def test_empty_tables(spark, docs_of):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert decontaminate(docs_of([]), bench).count() == 0
