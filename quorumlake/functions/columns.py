@@ -52,6 +52,50 @@ def softmax3(a: Column, b: Column, c: Column) -> list[Column]:
     return [x / (e[0] + e[1] + e[2]) for x in e]
 
 
+def top_probability(s: Column, c: Column, i: Column) -> Column:
+    return F.greatest(s, c, i)
+
+
+def is_tied(s: Column, c: Column, i: Column, tolerance: float = TIE) -> Column:
+    """Whether more than one probability is within the tolerance of the largest."""
+    won = winners(s, c, i, tolerance)
+    return sum((w.cast("int") for w in won[1:]), won[0].cast("int")) > 1
+
+
+def scored_result(logits: Column, scores: Column, mapping: Column) -> Column:
+    """struct(p_s, p_c, p_i, label, is_tied, entropy, error) of a model's logits and scores, arrays of three in its own label order.
+
+    mapping: a map of index, as text, to stance.  Scores must be finite, in
+    [0, 1], of sum one within 1e-12 and the softmax of the logits within 1e-12;
+    otherwise all is null but the error.  The label is that of the one score that
+    is exactly the largest.
+    """
+    finite = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+    three = lambda xs: F.coalesce((F.size(xs) == 3) & F.forall(xs, finite), F.lit(False))
+    # Each step is bound to a name of its own, so that no expression is written out again inside the next.
+    bound = lambda x, then: F.transform(F.array(x), then)[0]
+    each = lambda xs: [xs[k] for k in range(3)]
+    stances = F.transform(F.array(*[F.lit(str(k)) for k in range(3)]), lambda k: F.try_element_at(mapping, k))
+
+    def judged(x: Column) -> Column:
+        l, s, m = x["l"], x["s"], x["m"]
+        apart = F.exists(F.zip_with(s, F.array(*softmax3(*each(l))), lambda a, b: F.abs(a - b)), lambda d: d > TIE)
+        ranged = F.forall(s, lambda p: p.between(0, 1)) & (F.abs(s[0] + s[1] + s[2] - 1) <= TIE)
+        error = (
+            F.when(~(three(l) & three(s)), "three finite logits and scores are needed").when(~F.array_sort(m).eqNullSafe(F.array(*map(F.lit, sorted(STANCES)))), "labels are not one to one onto the stances")
+            .when(~ranged, "scores must sum to one").when(apart, "scores are not the softmax of the logits")
+        )
+        return F.struct(error.alias("error"), F.transform(F.array(*map(F.lit, STANCES)), lambda name: F.get(s, F.array_position(m, name).cast("int") - 1)).alias("p"))
+
+    def told(x: Column) -> Column:
+        ok, p = x["error"].isNull(), each(x["p"])
+        return F.struct(
+            *[F.when(ok, v).alias(f"p_{k}") for k, v in zip("sci", p)], F.when(ok, argmax3(*p, 0.0)).alias("label"), F.when(ok, is_tied(*p, 0.0)).alias("is_tied"), F.when(ok, entropy_metric(*p)).alias("entropy"), x["error"].alias("error")
+        )
+
+    return bound(bound(F.struct(logits.alias("l"), scores.alias("s"), stances.alias("m")), judged), told)
+
+
 def log_likelihoods3(a: Column, b: Column, c: Column) -> list[Column]:
     """Normalised likelihoods of three label log probabilities; all null if one is missing."""
     known = a.isNotNull() & b.isNotNull() & c.isNotNull()

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorumlake.functions import columns as C
 from quorumlake.functions import frozen
 from quorumlake.functions.columns import STANCES
-from quorumlake.operators import audit, evaluate, inputs, ranges, searching
+from quorumlake.operators import audit, evaluate, inputs, ranges, searching, uncertainty
 from quorumlake.plans.projection import SEEDS
 from quorumlake.queries import F1_SQL, query
 from quorumlake.record_queries import fresh, n
 from quorumlake.shared import settled
-from quorumlake.sources import exports, pinned, replies
+from quorumlake.sources import exports, loaders, pinned, replies
 from quorumlake.sources.versions import VersionedTable
 from quorumlake.streaming import collect, runs
 
@@ -382,3 +383,47 @@ def run_reports(t):
     told = t.spark.read.schema(runs.REPORT).parquet(out).filter("item IS NULL")
     last = told.groupBy("run_id").agg(F.max_by(F.struct("planned", "ok", "failed", "status"), F.col("ok") + F.col("failed")).alias("r"))
     return last.select("run_id", "r.*")
+
+
+# --- verified loaders ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT count(*) AS pairs, CAST(sum(n_s) AS BIGINT) AS n_support, CAST(sum(n_i) AS BIGINT) AS n_irrelevant, round(sum(p_s), 2) AS p_support, count(*) FILTER (n_s = 10 OR n_c = 10 OR n_i = 10) AS certain FROM q_dist")
+def uncertainty_file(t):
+    """Uncertainties of all pairs written as CSV and loaded with every check."""
+    d = uncertainty.pair_uncertainty(t.pairs())
+    names = {"n_s": "n_support", "n_c": "n_contradict", "n_i": "n_irrelevant", "p_s": "p_support", "p_c": "p_contradict", "p_i": "p_irrelevant"}
+    rows = d.withColumnsRenamed(names).select("question_id", "option", "doc_id", F.concat_ws("|", "question_id", "option", "doc_id").alias("pair_id"), F.lit("True").alias("evaluation_included"), *names.values(), "u_3", "u_directional", "relevance", "directional_score")
+    at = fresh(t, "uncertainty")
+    rows.write.option("header", True).csv(at)
+    got = loaders.uncertainty_table(t.spark, at, ["question_id", "option", "doc_id"])
+    certain = F.greatest("n_support", "n_contradict", "n_irrelevant") == 10
+    return got.agg(n().alias("pairs"), F.sum("n_support").alias("n_support"), F.sum("n_irrelevant").alias("n_irrelevant"), F.round(F.sum("p_support"), 2).alias("p_support"), F.count_if(certain & (F.col("u_3") == 0)).alias("certain"))
+
+
+@query(
+    """WITH e AS (SELECT *, event_type || '/' || user_id AS said FROM events) SELECT event_id, CASE WHEN user_id % 5 <> 0 AND event_type <> 'error' AND event_id % 9 <> 0 THEN said END AS text,
+  CASE WHEN event_type = 'error' THEN 'the service reports an error' WHEN user_id % 5 = 0 THEN 'incomplete generation' WHEN event_id % 9 = 0 THEN 'no generated text' END AS error FROM e""",
+    views=False,
+)
+def completions(t):
+    said = F.when(F.col("event_id") % 9 == 0, F.lit(" ")).otherwise(F.concat_ws("/", "event_type", "user_id"))
+    reply = F.to_json(F.struct(said.alias("response"), (F.col("user_id") % 5 != 0).alias("done"), F.when(F.col("event_type") == "error", F.col("props")).alias("error")))
+    return t.events.select("event_id", loaders.completion(reply).alias("c")).select("event_id", "c.*")
+
+
+@query(
+    """WITH l AS (SELECT p_partkey, p_size / 10.0::DOUBLE AS a, p_partkey % 7 / 2.0::DOUBLE AS b, p_size % 3 * 1.0::DOUBLE AS c FROM part), s AS (SELECT *, exp(a - greatest(a, b, c)) AS ea, exp(b - greatest(a, b, c)) AS eb, exp(c - greatest(a, b, c)) AS ec FROM l)
+SELECT p_partkey, CASE WHEN p_partkey % 11 <> 0 THEN round(ea / (ea + eb + ec), 6) END AS p_s, CASE WHEN p_partkey % 11 <> 0 THEN CASE WHEN a > b AND a > c THEN 'SUPPORT' WHEN b > a AND b > c THEN 'CONTRADICT' WHEN c > a AND c > b THEN 'IRRELEVANT' END END AS label,
+  CASE WHEN p_partkey % 11 <> 0 THEN greatest(a, b, c) IN (CASE WHEN a = b THEN a END, CASE WHEN b = c THEN b END, CASE WHEN a = c THEN a END) IS TRUE END AS is_tied, CASE WHEN p_partkey % 11 = 0 THEN 'scores must sum to one' END AS error FROM s""",
+    views=False,
+)
+def scored_results(t):
+    """Logits from parts, their softmax as a model would give it, and every eleventh a little too large."""
+    a, b, c = F.col("p_size") / F.lit(10.0), F.col("p_partkey") % 7 / F.lit(2.0), (F.col("p_size") % 3).cast("double")
+    logits = F.array(a, b, c)
+    scores = F.array(*C.softmax3(a, b, c))
+    off = F.when(F.col("p_partkey") % 11 == 0, F.transform(scores, lambda x: x * 1.001)).otherwise(scores)
+    mapping = F.create_map(*[F.lit(x) for kv in zip("012", STANCES) for x in kv])
+    got = t.part.select("p_partkey", C.scored_result(logits, off, mapping).alias("x")).select("p_partkey", "x.*")
+    return got.select("p_partkey", F.round("p_s", 6).alias("p_s"), "label", "is_tied", "error")
