@@ -16,6 +16,8 @@ from quorumlake.llm.common import pieces
 GRAMS = (2, 3, 4)
 #: Bounds of the fit: documents for a language, documents in all, bytes of a document, landmarks, n-grams of a length.
 EACH, SAMPLE, LONGEST, LANDMARKS, WIDTH = 300, 1200, 1 << 16, 240, 6000
+#: Rows of a language that are looked at for each that is wanted.
+SPARE = 4
 #: Weight of the ridge and the least eigenvalue of the landmarks' kernel that counts.
 RIDGE, LEAST_EIGEN = 1e-3, 1e-6
 #: Rows scored at once, and bytes of text.
@@ -163,14 +165,18 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", orde
     """A model from labelled documents; None without any.
 
     The sample is bounded: for each language at most `each` documents of at most
-    `longest` bytes with a letter, the first in the order (a hash, so no source
-    or place is preferred), and `sample` in all, the languages in turn.  The
-    first of them are the landmarks, so each language has its share.
+    `longest` bytes with a letter, the first in the order (a 64-bit hash, so no
+    source or place is preferred), and `sample` in all, the languages in turn.
+    The first of them are the landmarks, so each language has its share.
     """
     has = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= longest)).filter(F.col(text_col).rlike(r"\p{L}"))
     rows = has.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), order.alias("luck"))
+    # At most `sample` languages, the most frequent; of each about SPARE times as many rows as are wanted go on, however many there are.
+    langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample)
+    chance = F.shiftrightunsigned(F.coalesce("luck", F.lit(0)), 11) / F.lit(float(1 << 53))
+    some = rows.join(F.broadcast(langs), "lang").filter(chance * F.col("n") < SPARE * each)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("luck", "text"))
-    first = rows.withColumn("place", place).filter(F.col("place") <= each)
+    first = some.withColumn("place", place).filter(F.col("place") <= each)
     found = first.orderBy("place", "luck", "lang").limit(sample).select("text", "lang").collect()
     return train([r.text for r in found], [r.lang for r in found], landmarks) if found else None
 
