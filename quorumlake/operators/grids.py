@@ -119,3 +119,20 @@ def uncertainty_summary(grid: DataFrame) -> DataFrame:
     rows = grid.select("disagree", "decision_d", F.explode(F.concat(each, family)).alias("g"))
     n = F.count(F.lit(1))
     return rows.groupBy(F.col("g.dimension").alias("dimension"), F.col("g.value").alias("value")).agg(n.alias("scenarios"), F.count_if("disagree").alias("disagreements"), F.round(100.0 * F.count_if("disagree") / n, 6).alias("disagree_percent"), F.count_if(F.col("decision_d") == "ABSTAIN").alias("d_abstains"))
+
+
+def conflict_cells(wide: DataFrame, keys: list[str]) -> DataFrame:
+    """Claims of real evidence (as aggregate.claims gives them) that have it on both sides, in the grid's terms: ratio of its rows, direction of the gap between the sides' mean qualities, decisions and how they differ."""
+    both = wide.filter((F.col("a_support") > 0) & (F.col("a_contradict") > 0))
+    gap = F.col("b_support") / F.col("a_support") - F.col("b_contradict") / F.col("a_contradict")
+    direction = F.when(gap > 1e-9, "support_higher").when(gap < -1e-9, "contradict_higher").otherwise("equal")
+    a, b = F.col("decision_a"), F.col("decision_b")
+    return both.select(
+        *keys, F.concat_ws(":", "a_support", "a_contradict").alias("ratio"), direction.alias("quality_direction"), "decision_a", "decision_b", "decision_d", (a != b).alias("disagree"), ((a != "ABSTAIN") & (b != "ABSTAIN") & (a != b)).alias("reversal"), ((a == "ABSTAIN") != (b == "ABSTAIN")).alias("abstention_differs")
+    )
+
+
+def with_claims(grid: DataFrame, cells: DataFrame, on: list[str]) -> DataFrame:
+    """Scenarios with `claims`: how many real ones lie in the same cell."""
+    counts = cells.groupBy(*on).agg(F.count(F.lit(1)).alias("claims"))
+    return grid.join(counts, on, "left").withColumn("claims", F.coalesce("claims", F.lit(0)).cast("long"))

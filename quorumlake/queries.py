@@ -455,7 +455,12 @@ def topk_coverage(t):
     return retrieval.coverage(t.questions(), joined(t), 3, 5)
 
 
-GRID_SQL = """WITH r(n_s, n_c) AS (VALUES (9, 1), (7, 3), (5, 5), (3, 7), (1, 9)), q(quality_condition, q_s, q_c) AS (VALUES ('equal', 0.5::DOUBLE, 0.5::DOUBLE), ('support_small_gap', 0.55, 0.45), ('contradict_small_gap', 0.45, 0.55),
+# Real claims in the grid's terms.
+CELL_SQL = claim_sql() + """, q_cell AS (SELECT *, decision_a <> decision_b AS disagree, decision_a <> 'ABSTAIN' AND decision_b <> 'ABSTAIN' AND decision_a <> decision_b AS reversal, (decision_a = 'ABSTAIN') <> (decision_b = 'ABSTAIN') AS abstention_differs FROM (
+  SELECT a_support || ':' || a_contradict AS ratio, CASE WHEN b_support / a_support - b_contradict / a_contradict > 1e-9 THEN 'support_higher' WHEN b_support / a_support - b_contradict / a_contradict < -1e-9 THEN 'contradict_higher' ELSE 'equal' END AS quality_direction, decision_a, decision_b, decision_d
+  FROM q_wide WHERE a_support > 0 AND a_contradict > 0))
+"""
+GRID_SQL = CELL_SQL + """, r(n_s, n_c) AS (VALUES (9, 1), (7, 3), (5, 5), (3, 7), (1, 9)), q(quality_condition, q_s, q_c) AS (VALUES ('equal', 0.5::DOUBLE, 0.5::DOUBLE), ('support_small_gap', 0.55, 0.45), ('contradict_small_gap', 0.45, 0.55),
   ('support_large_gap', 0.9, 0.1), ('contradict_large_gap', 0.1, 0.9), ('support_extreme_gap', 0.95, 0.05), ('contradict_extreme_gap', 0.05, 0.95)), g AS (
   SELECT n_s || ':' || n_c || '/' || quality_condition AS scenario, n_s || ':' || n_c AS ratio, quality_condition, CASE WHEN q_s > q_c THEN 'support_higher' WHEN q_c > q_s THEN 'contradict_higher' ELSE 'equal' END AS quality_direction, n_s, n_c, q_s, q_c,
     CASE WHEN n_s > n_c THEN 'SUPPORT' WHEN n_c > n_s THEN 'CONTRADICT' ELSE 'ABSTAIN' END AS decision_a, CASE WHEN n_s * q_s - n_c * q_c > 1e-9 THEN 'SUPPORT' WHEN n_c * q_c - n_s * q_s > 1e-9 THEN 'CONTRADICT' ELSE 'ABSTAIN' END AS decision_b FROM r, q
@@ -466,20 +471,29 @@ GRID_SQL = """WITH r(n_s, n_c) AS (VALUES (9, 1), (7, 3), (5, 5), (3, 7), (1, 9)
 """
 
 
-@query(GRID_SQL + "SELECT * FROM conflict", views=False)
+def cells(t) -> DataFrame:
+    return grids.conflict_cells(wide(t), ["question_id", "idx"])
+
+
+@query(GRID_SQL + "SELECT c.*, coalesce(claims, 0) AS claims FROM conflict c LEFT JOIN (SELECT quality_direction, decision_a, decision_b, count(*) AS claims FROM q_cell GROUP BY ALL) k USING (quality_direction, decision_a, decision_b)")
 def grid_conflict(t):
-    return grids.conflict_grid(t.spark)
+    """Scenarios with the number of real claims that lie as they do."""
+    return grids.with_claims(grids.conflict_grid(t.spark), cells(t), ["quality_direction", "decision_a", "decision_b"])
 
 
-@query(
-    GRID_SQL
-    + "SELECT ratio, quality_direction, count(*) AS scenarios, count(*) FILTER (disagree) AS disagreements, round(100.0 * count(*) FILTER (disagree) / count(*), 6) AS disagree_percent, count(*) FILTER (reversal) AS reversals, count(*) FILTER (abstention_differs) AS abstention_differences, "
-    + ", ".join(f"count(*) FILTER (decision_{m} = '{d}') AS {m}_{d.lower()}" for m in "ab" for d in ("SUPPORT", "CONTRADICT", "ABSTAIN"))
-    + " FROM conflict GROUP BY GROUPING SETS ((), (ratio), (quality_direction))",
-    views=False,
-)
+def summary_sql(source: str, rows: str) -> str:
+    return (
+        f"SELECT '{source}' AS source, ratio, quality_direction, count(*) AS scenarios, count(*) FILTER (disagree) AS disagreements, round(100.0 * count(*) FILTER (disagree) / count(*), 6) AS disagree_percent, count(*) FILTER (reversal) AS reversals, count(*) FILTER (abstention_differs) AS abstention_differences, "
+        + ", ".join(f"count(*) FILTER (decision_{m} = '{d}') AS {m}_{d.lower()}" for m in "ab" for d in ("SUPPORT", "CONTRADICT", "ABSTAIN"))
+        + f" FROM {rows} GROUP BY GROUPING SETS ((), (ratio), (quality_direction))"
+    )
+
+
+@query(GRID_SQL + summary_sql("grid", "conflict") + " UNION ALL " + summary_sql("claims", "q_cell"))
 def grid_conflict_summary(t):
-    return grids.conflict_summary(grids.conflict_grid(t.spark))
+    """How often A and B differ, in the grid's scenarios and in the real claims with evidence on both sides."""
+    told = lambda source, df: grids.conflict_summary(df).select(F.lit(source).alias("source"), "*")
+    return told("grid", grids.conflict_grid(t.spark)).unionByName(told("claims", cells(t)))
 
 
 TEMPLATE_SQL = GRID_SQL + """, c(name, level, top, second, rest) AS (VALUES ('CONFIDENT', 2, 0.90::DOUBLE, 0.05::DOUBLE, 0.05::DOUBLE), ('MODERATE', 1, 0.70, 0.20, 0.10), ('UNCERTAIN', 0, 0.45, 0.40, 0.15)), u AS (
@@ -504,9 +518,11 @@ def near_zero(grid: DataFrame) -> DataFrame:
     return grid.withColumns({"score_d": C.plus_zero(F.col("score_d")), "decision_d": d, "disagree": F.col("decision_b") != d})
 
 
-@query(TEMPLATE_SQL + "SELECT scenario, ratio, quality_condition, quality_direction, conf_support, conf_contradict, decision_a, decision_b, decision_d, score_d, asymmetry, majority_relation, quality_relation, array_to_string(families, ',') AS families, decision_b <> decision_d AS disagree FROM t", views=False)
+@query(TEMPLATE_SQL + "SELECT scenario, ratio, quality_condition, quality_direction, conf_support, conf_contradict, decision_a, decision_b, decision_d, score_d, asymmetry, majority_relation, quality_relation, array_to_string(families, ',') AS families, decision_b <> decision_d AS disagree, coalesce(claims, 0) AS claims FROM t LEFT JOIN (SELECT quality_direction, decision_a, decision_b, decision_d, count(*) AS claims FROM q_cell GROUP BY ALL) k USING (quality_direction, decision_a, decision_b, decision_d)")
 def grid_uncertainty(t):
-    return near_zero(grids.uncertainty_grid(t.spark)).withColumn("families", F.array_join("families", ","))
+    """Scenarios with the number of real claims that lie as they do and are decided alike by all three methods."""
+    grid = near_zero(grids.uncertainty_grid(t.spark)).withColumn("families", F.array_join("families", ","))
+    return grids.with_claims(grid, cells(t), ["quality_direction", "decision_a", "decision_b", "decision_d"])
 
 
 @query(
@@ -514,20 +530,23 @@ def grid_uncertainty(t):
     + """, e AS (SELECT 'all' AS dimension, 'all' AS value, decision_b <> decision_d AS disagree, decision_d FROM t UNION ALL SELECT 'ratio', ratio, decision_b <> decision_d, decision_d FROM t UNION ALL SELECT 'quality_direction', quality_direction, decision_b <> decision_d, decision_d FROM t
   UNION ALL SELECT 'asymmetry', asymmetry, decision_b <> decision_d, decision_d FROM t UNION ALL SELECT 'conf_support', conf_support, decision_b <> decision_d, decision_d FROM t UNION ALL SELECT 'conf_contradict', conf_contradict, decision_b <> decision_d, decision_d FROM t
   UNION ALL SELECT 'family', unnest(families), decision_b <> decision_d, decision_d FROM t)
-SELECT dimension, value, count(*) AS scenarios, count(*) FILTER (disagree) AS disagreements, round(100.0 * count(*) FILTER (disagree) / count(*), 6) AS disagree_percent, count(*) FILTER (decision_d = 'ABSTAIN') AS d_abstains FROM e GROUP BY ALL""",
-    views=False,
+SELECT dimension, value, count(*) AS scenarios, count(*) FILTER (disagree) AS disagreements, round(100.0 * count(*) FILTER (disagree) / count(*), 6) AS disagree_percent, count(*) FILTER (decision_d = 'ABSTAIN') AS d_abstains, any_value(coalesce(claims, 0)) AS claims
+FROM e LEFT JOIN (SELECT 'all' AS dimension, 'all' AS value, count(*) AS claims FROM q_cell UNION ALL SELECT 'ratio', ratio, count(*) FROM q_cell GROUP BY ratio UNION ALL SELECT 'quality_direction', quality_direction, count(*) FROM q_cell GROUP BY quality_direction) k USING (dimension, value) GROUP BY ALL"""
 )
 def grid_uncertainty_summary(t):
-    return grids.uncertainty_summary(near_zero(grids.uncertainty_grid(t.spark)))
+    """The grid by each dimension, with the number of real claims where these have the dimension."""
+    own = cells(t).select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), v.alias("value")) for d, v in (("all", F.lit("all")), ("ratio", F.col("ratio")), ("quality_direction", F.col("quality_direction")))])).alias("x")).select("x.*")
+    return grids.with_claims(grids.uncertainty_summary(near_zero(grids.uncertainty_grid(t.spark))), own, ["dimension", "value"])
 
 
 @query(
-    """SELECT * FROM (VALUES ('scenario_1', 'SUPPORT', 'CONTRADICT', 0.3::DOUBLE, 0.9::DOUBLE, CAST(0 AS BIGINT), true), ('scenario_2', 'CONTRADICT', 'SUPPORT', 0.9, 0.3, 0, true), ('scenario_3', 'ABSTAIN', 'ABSTAIN', 1.0, 1.0, 0, true), ('scenario_4', 'ABSTAIN', 'ABSTAIN', 0.0, 0.0, 3, true),
-  ('scenario_5a', 'SUPPORT', 'CONTRADICT', 0.2, 0.9, 0, true), ('scenario_5b', 'SUPPORT', 'SUPPORT', 0.9, 0.1, 0, true)) v(scenario, decision_a, decision_b, support, contradict, irrelevant, as_expected)""",
-    views=False,
+    claim_sql()
+    + """SELECT v.*, (SELECT count(*) FROM q_wide w WHERE w.decision_a = v.decision_a AND w.decision_b = v.decision_b) AS claims FROM (VALUES ('scenario_1', 'SUPPORT', 'CONTRADICT', 0.3::DOUBLE, 0.9::DOUBLE, CAST(0 AS BIGINT), true), ('scenario_2', 'CONTRADICT', 'SUPPORT', 0.9, 0.3, 0, true), ('scenario_3', 'ABSTAIN', 'ABSTAIN', 1.0, 1.0, 0, true), ('scenario_4', 'ABSTAIN', 'ABSTAIN', 0.0, 0.0, 3, true),
+  ('scenario_5a', 'SUPPORT', 'CONTRADICT', 0.2, 0.9, 0, true), ('scenario_5b', 'SUPPORT', 'SUPPORT', 0.9, 0.1, 0, true)) v(scenario, decision_a, decision_b, support, contradict, irrelevant, as_expected)"""
 )
 def grid_fixed_cases(t):
-    return grids.fixed_cases(t.spark)
+    """The fixed cases with the number of real claims that A and B decide likewise."""
+    return grids.with_claims(grids.fixed_cases(t.spark), wide(t), ["decision_a", "decision_b"])
 
 
 @query(
