@@ -2,47 +2,45 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The 97.5 % quantile of the normal distribution.
 Z = 1.959963984540054
+#: Halvings of an interval's bounds: to less than the last bit.
+STEPS = 60
+
+
+def binomial_tail(k: Column, n: Column, p: Column) -> Column:
+    """P(X <= k) for n trials of chance 0 < p < 1: terms by their logarithms, each from the one before."""
+    odds, first = F.ln(p) - F.log1p(-p), n * F.log1p(-p)
 
+    def add(a: Column, j: Column) -> Column:
+        term = F.when(j == 0, first).otherwise(a["term"] + F.ln((n - j + 1) / F.greatest(j, F.lit(1))) + odds)
+        return F.transform(F.array(term), lambda x: F.struct(x.alias("term"), (a["sum"] + F.exp(x)).alias("sum")))[0]
 
-def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) for n trials of chance p."""
-    if p <= 0:
-        return 1.0
-    if p >= 1:
-        return 1.0 if k >= n else 0.0
-    logs = (math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p) for j in range(k + 1))
-    return min(1.0, math.fsum(map(math.exp, logs)))
+    total = F.aggregate(F.sequence(F.lit(0).cast("long"), k.cast("long")), F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("sum")), add, lambda a: a["sum"])
+    return F.least(total, F.lit(1.0))
 
 
-def clopper_pearson(k: int | None, n: int | None, tail: float = 0.025) -> tuple[float, float] | None:
-    """Exact interval for k successes of n by bisection; None for n of 0 or null."""
-    if not n or k is None:
-        return None
+def interval(k: Column, n: Column, tail: float = 0.025) -> Column:
+    """struct(low, high), the exact (Clopper-Pearson) interval for k successes of n; null for n of 0 or null.
 
-    def cross(chance) -> float:
-        low, high = 0.0, 1.0
-        for _ in range(100):
-            mid = (low + high) / 2
-            low, high = (mid, high) if chance(mid) else (low, mid)
-        return (low + high) / 2
+    The bounds are found by halving: no quantile of the beta distribution is
+    built in.  The work is about k steps for each of STEPS halvings.
+    """
 
-    low = 0.0 if k == 0 else cross(lambda p: 1 - binomial_tail(k - 1, n, p) < tail)
-    high = 1.0 if k == n else cross(lambda p: binomial_tail(k, n, p) > tail)
-    return low, high
+    def cross(chance) -> Column:
+        def halve(b: Column, _: Column) -> Column:
+            mid = (b["low"] + b["high"]) / 2
+            return F.transform(F.array(F.struct(mid.alias("mid"), chance(mid).alias("up"))), lambda m: F.struct(F.when(m["up"], m["mid"]).otherwise(b["low"]).alias("low"), F.when(m["up"], b["high"]).otherwise(m["mid"]).alias("high")))[0]
 
+        return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high")), halve, lambda b: (b["low"] + b["high"]) / 2)
 
-def interval(k: Column, n: Column, tail: float = 0.025) -> Column:
-    """clopper_pearson as struct(low, high); for few rows, as no quantile of the beta distribution is built in."""
-    kind = T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
-    return F.udf(lambda a, b: clopper_pearson(a, b, tail), kind, useArrow=True)(k, n)
+    trials = n.cast("double")
+    low = F.when(k == 0, 0.0).otherwise(cross(lambda p: 1 - binomial_tail(k - 1, trials, p) < tail))
+    high = F.when(k == n, 1.0).otherwise(cross(lambda p: binomial_tail(k, trials, p) > tail))
+    return F.when(k.isNotNull() & (n > 0), F.struct(low.alias("low"), high.alias("high")))
 
 
 def bonferroni_difference(first: Column, second: Column) -> Column:

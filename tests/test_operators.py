@@ -1,6 +1,7 @@
 """Answers, evaluation, intervals, state, text, sampling and stances against worked values."""
 
 import json
+import math
 import random
 import re
 
@@ -81,15 +82,36 @@ def test_rank_metrics(spark):
     assert (got.question_count, got.evaluated, got.mrr, got.hit) == (3, 2, pytest.approx(1 / 6), 0)
 
 
+def plain_interval(k, n, tail=0.025):
+    """Bounds by halving, each chance summed from its terms."""
+    terms = lambda m, p: min(1.0, math.fsum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(m + 1)))
+
+    def cross(chance):
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if chance(mid) else (low, mid)
+        return (low + high) / 2
+
+    return (0.0 if k == 0 else cross(lambda p: 1 - terms(k - 1, p) < tail)), (1.0 if k == n else cross(lambda p: terms(k, p) > tail))
+
+
 def test_intervals(spark):
-    low, high = intervals.clopper_pearson(0, 20)
-    assert low == 0 and high == pytest.approx(0.16843347098308534)
-    assert intervals.clopper_pearson(20, 20)[0] == pytest.approx(0.8315665290169146)
-    assert intervals.clopper_pearson(1, 1) == (pytest.approx(0.025), 1.0) and intervals.clopper_pearson(0, 0) is None
+    cases = [(k, n) for n in (1, 2, 5, 20, 90) for k in sorted({0, 1, n // 3, n // 2, n - 1, n}) if 0 <= k <= n] + [(0, 0), (None, 5), (3, None)]
+    got = spark.createDataFrame(cases, "k long, n long").select("k", "n", intervals.interval(F.col("k"), F.col("n")).alias("a"), intervals.interval(F.col("k"), F.col("n"), 0.0125).alias("b")).collect()
+    for r in got:
+        if not r.n or r.k is None:
+            assert r.a is None and r.b is None
+        else:
+            assert tuple(r.a) == pytest.approx(plain_interval(r.k, r.n), abs=1e-9) and tuple(r.b) == pytest.approx(plain_interval(r.k, r.n, 0.0125), abs=1e-9)
+    of = {(r.k, r.n): r for r in got}
+    assert of[0, 20].a.high == pytest.approx(0.16843347098308534) and of[20, 20].a.low == pytest.approx(0.8315665290169146) and tuple(of[1, 1].a) == (pytest.approx(0.025), 1.0)
+    big = spark.sql("SELECT 30L AS k, 4000L AS n").select(intervals.interval(F.col("k"), F.col("n")).alias("i")).first().i
+    assert big.low == pytest.approx(0.005066, abs=2e-6) and big.high == pytest.approx(0.010688, abs=2e-6)
     got = spark.range(1).select(intervals.newcombe_paired(*[F.lit(float(x)) for x in (4, 3, 0, 13)]).alias("i")).first().i
     assert (got.low, got.high, got.difference) == (pytest.approx(-0.03714213705333805), pytest.approx(0.33130249931992706), pytest.approx(0.15))
-    first, second = intervals.clopper_pearson(1, 20, 0.0125), intervals.clopper_pearson(5, 20, 0.0125)
-    assert (second[0] - first[1], second[1] - first[0]) == (pytest.approx(-0.20661428711733376), pytest.approx(0.5219944465456091))
+    apart = spark.sql("SELECT 1L AS a, 5L AS b, 20L AS n").select(intervals.bonferroni_difference(intervals.interval(F.col("a"), F.col("n"), 0.0125), intervals.interval(F.col("b"), F.col("n"), 0.0125)).alias("d")).first().d
+    assert (apart.low, apart.high) == (pytest.approx(-0.20661428711733376), pytest.approx(0.5219944465456091))
 
 
 def test_grids(spark):
