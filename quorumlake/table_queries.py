@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quorumlake.functions import columns as C
 from quorumlake.functions import frozen
 from quorumlake.functions.columns import STANCES
-from quorumlake.operators import audit, evaluate, inputs, ranges, searching, uncertainty
+from quorumlake.operators import audit, evaluate, inputs, ranges, sampling, searching, uncertainty
 from quorumlake.plans.projection import SEEDS
 from quorumlake.queries import F1_SQL, query
 from quorumlake.record_queries import fresh, n
@@ -427,3 +427,29 @@ def scored_results(t):
     mapping = F.create_map(*[F.lit(x) for kv in zip("012", STANCES) for x in kv])
     got = t.part.select("p_partkey", C.scored_result(logits, off, mapping).alias("x")).select("p_partkey", "x.*")
     return got.select("p_partkey", F.round("p_s", 6).alias("p_s"), "label", "is_tied", "error")
+
+
+# --- samples ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH RECURSIVE r AS (SELECT doc_id, lang, source, row_number() OVER (ORDER BY n_chars, doc_id) AS place FROM documents), g AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS doc_id, CAST([] AS VARCHAR[]) AS langs, CAST([] AS VARCHAR[]) AS pairs
+  UNION ALL SELECT n + 1, f.place, f.doc_id, list_append(langs, f.lang), list_append(pairs, f.pair) FROM (
+    SELECT g.n, g.langs, g.pairs, min({'place': r.place, 'doc_id': r.doc_id, 'lang': coalesce(r.lang, ''), 'pair': coalesce(r.lang, '') || '/' || coalesce(r.source, '')}) AS f FROM g JOIN r
+    ON r.place > g.place AND g.n < 60 AND len(list_filter(g.langs, lambda x: x = coalesce(r.lang, ''))) < 25 AND len(list_filter(g.pairs, lambda x: x = coalesce(r.lang, '') || '/' || coalesce(r.source, ''))) < 5 GROUP BY ALL))
+SELECT doc_id, CAST(n AS INTEGER) AS position FROM g WHERE n > 0""",
+    views=False,
+)
+def greedy_sample(t):
+    """Sixty of the shortest documents, at most 25 of a language and five of a language and source."""
+    caps, keys = {"lang": 25, "pair": 5}, {"lang": ("lang",), "pair": ("lang", "source")}
+    return sampling.greedy_sample(t.documents.select("doc_id", "lang", "source", "n_chars"), ["n_chars", "doc_id"], caps, keys, 60, ahead=64).select("doc_id", "position")
+
+
+@query()
+def structural_sample(t):
+    """Thirty blind pairs of ten questions; the generator's draws are beyond SQL."""
+    docs = t.evidence().groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_rank", "doc_id"))), lambda x: x["doc_id"]).alias("docs"))
+    pools = docs.select(F.col("question_id").alias("question"), F.array(*map(F.lit, "ABCDE")).alias("labels"), "docs")
+    return sampling.structural_sample(pools)

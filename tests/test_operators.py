@@ -142,6 +142,26 @@ def test_state(spark):
     assert [r.revision for r in state.broken_links(chain).collect()] == [3]
 
 
+def test_samples_of_any_size(spark):
+    """The same rows as the rules applied to lists on one machine."""
+    r = random.Random(6)
+    rows = [{"id": i, "score": r.randint(0, 40), "a": r.choice("xyz"), "b": r.choice([None, "p", "q"])} for i in range(400)]
+    caps, keys = {"a": 9, "both": 4, "none": 50}, {"a": ("a",), "both": ("a", "b"), "none": ()}
+    df = spark.createDataFrame([(x["id"], x["score"], x["a"], x["b"], "more") for x in rows], "id int, score int, a string, b string, other string").repartition(3)
+    placed = sorted(rows, key=lambda x: (x["score"], x["id"]))
+    for total, ahead in ((1, 4), (20, 3), (20, 500), (1000, 7)):
+        want = [x["id"] for x in sampling.greedy(placed, caps, keys, total)]
+        got = sampling.greedy_sample(df, ["score", "id"], caps, keys, total, ahead).orderBy("position").collect()
+        assert [x.id for x in got] == want and [x.position for x in got] == list(range(1, len(want) + 1)) and all(x.other == "more" for x in got)
+    assert sampling.greedy_sample(df.limit(0), ["score", "id"], caps, keys, 5).count() == 0
+    pools = [(f"q{k:03d}", list("ABCDE"), [f"d{k}-{j}" for j in range(r.randint(0, 6))]) for k in range(80)]
+    frame = spark.createDataFrame(pools, "question string, labels array<string>, docs array<string>").repartition(3)
+    for seed in (1, 42):
+        assert [tuple(x) for x in sampling.structural_sample(frame, seed).orderBy("pair_id").collect()] == sampling.structural_pairs(pools, seed)
+    with pytest.raises(ValueError):
+        sampling.structural_sample(frame.limit(3))
+
+
 def test_text(spark):
     one = lambda c, v, kind="string": spark.createDataFrame([(v,)], f"v {kind}").select(c(F.col("v"))).first()[0]
     assert one(X.evidence_type, ["Review", " Randomized  Controlled Trial", "editorial"], "array<string>") == "randomized_controlled_trial"
