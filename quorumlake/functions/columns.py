@@ -108,6 +108,11 @@ def _plogp(p: Column) -> Column:
 
 def entropy_sum(*p: Column) -> Column:
     """-sum p ln p, largest p first so that permuted distributions agree to the last bit."""
+    if len(p) == 3:
+        # Missing ones add nothing, as 0 does; three are put in order without an array.
+        a, b, c = [F.coalesce(x.cast("double"), F.lit(0.0)) for x in p]
+        middle = F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))
+        return -(_plogp(F.greatest(a, b, c)) + _plogp(middle) + _plogp(F.least(a, b, c)))
     ordered = F.array_sort(F.array(*p), lambda x, y: F.when(x > y, -1).when(x < y, 1).otherwise(0))
     return -F.aggregate(ordered, F.lit(0.0), lambda a, x: a + _plogp(x))
 
@@ -150,6 +155,16 @@ def decide(score: Column, tolerance: float = 0.0) -> Column:
     return F.when(score > tolerance, "SUPPORT").when(score < -tolerance, "CONTRADICT").otherwise("ABSTAIN")
 
 
+def bound(value: Column, then) -> Column:
+    """then(value), with value made once however often then names it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def round12(c: Column) -> Column:
+    """c to twelve digits as products and quotients of doubles give it; F.round goes by the decimal digits that are printed, which differs at halves."""
+    return F.round(c * 1e12, 0) / 1e12
+
+
 def fsum(values: Column) -> Column:
     """Sum of an array of doubles in its order with Neumaier's compensation; 0 for an empty one."""
     start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))

@@ -22,7 +22,12 @@ def seed_stability(pairs: DataFrame, stances, methods: tuple[str, ...] = ("C", "
     same array of pairs, so nothing is copied or joined for the seeds.
     """
     value = F.struct("quality", "n_s", "n_c", "n_i", stances.alias("stances"))
-    grouped = pairs.groupBy(*CLAIM).agg(ordered_values([F.col(x) for x in order], value).alias("v")).withColumn("total", fsum(F.transform("v", lambda x: x["quality"])))
+    return claim_stability(pairs.groupBy(*CLAIM).agg(ordered_values([F.col(x) for x in order], value).alias("v")), methods)
+
+
+def claim_stability(claims: DataFrame, methods: tuple[str, ...] = ("C", "D")) -> DataFrame:
+    """seed_stability of rows that have a claim's pairs as an ordered array v each, with quality, n_s, n_c, n_i and stances."""
+    grouped = claims.withColumn("total", fsum(F.transform("v", lambda x: x["quality"])))
 
     def score(method: str, gone: Column | None) -> Column:
         def one(x: Column) -> Column:

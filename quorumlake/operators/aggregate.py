@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.functions.columns import TIE, argmax3, decide, entropy_clamped, fsum, ordered_values, ratio
+from quorumlake.functions.columns import TIE, argmax3, bound, decide, entropy_clamped, fsum, ordered_values, ratio
 
 CLAIM = ["question_id", "idx"]
 METHODS = ("A", "B", "C", "D")
@@ -23,9 +23,53 @@ def quality_conditions(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_c", F.explode(both)).withColumns({"condition": F.col("_c.condition"), "quality": F.col("_c.q")}).drop("_c")
 
 
-def _scaled(weights: str, total: Column) -> Column:
-    """Sum of (w / total) * d over the group's rows: scaled first, so tiny weights do not vanish; null for a total of 0."""
-    return F.when(total != 0, fsum(F.transform(weights, lambda x: x["w"] / total * x["d"])))
+def without_quality(v: Column) -> Column:
+    """quality_conditions for arrays: the pairs of a claim with quality 1 for all."""
+    return F.transform(v, lambda x: x.withField("quality", F.lit(1.0)))
+
+
+def votes(v: Column) -> Column:
+    """A claim's ordered pairs, an array with doc_id, quality, n_s, n_c and n_i, as scored makes them of rows; in steps, so that none is made twice."""
+    total = lambda x: x["n_s"] + x["n_c"] + x["n_i"]
+    shares = F.transform(v, lambda x: F.struct(x["doc_id"].alias("doc_id"), x["quality"].alias("q"), *[ratio(x[f"n_{k}"], total(x)).alias(f"p_{k}") for k in "sci"]))
+    p = lambda x: (x["p_s"], x["p_c"], x["p_i"])
+    kept = lambda x, *names: [x[n].alias(n) for n in names]
+    told = F.transform(shares, lambda x: F.struct(*kept(x, "doc_id", "q", "p_s", "p_c"), (x["p_s"] - x["p_c"]).alias("d"), argmax3(*p(x)).alias("label"), entropy_clamped(*p(x)).alias("h")))
+    return F.transform(told, lambda x: F.struct(*kept(x, "doc_id", "q", "p_s", "p_c", "d", "label", "h"), (x["q"] * (1 - x["h"])).alias("w")))
+
+
+def _counts(v: Column) -> dict[str, Column]:
+    n = lambda f: F.size(F.filter(v, f)).cast("long")
+    return {
+        "irrelevant": n(lambda x: x["label"] == "IRRELEVANT"), "unresolved": n(lambda x: x["label"].isNull()), "max_quality": F.array_max(F.transform(v, lambda x: x["q"])),
+        "unresolved_weighted": n(lambda x: x["label"].isNull() & (x["q"] > 0)) > 0,
+    }
+
+
+def _sums(v: Column) -> dict[str, Column]:
+    n = lambda s: F.size(F.filter(v, lambda x: x["label"] == s)).cast("long")
+    hard = lambda s: fsum(F.transform(F.filter(v, lambda x: x["label"] == s), lambda x: x["q"]))
+    return {
+        "a_support": n("SUPPORT"), "a_contradict": n("CONTRADICT"), "evidence": F.size(v).cast("long"), "b_support": hard("SUPPORT"), "b_contradict": hard("CONTRADICT"),
+        "q_total": fsum(F.transform(v, lambda x: x["q"])), "w_total": fsum(F.transform(v, lambda x: x["w"])),
+    }
+
+
+def _scores(v: Column, of) -> dict[str, Column]:
+    """Scores from what _sums gave, under names that of resolves.  Weights are scaled first, so tiny ones do not vanish; null for a total of 0."""
+    scaled = lambda w, total: F.when(total != 0, fsum(F.transform(v, lambda x: x[w] / total * x["d"])))
+    gap = of("b_support") - of("b_contradict")
+    return {
+        "score_a": ratio(of("a_support") - of("a_contradict"), of("evidence")), "score_b": F.when(of("q_total") != 0, gap / of("q_total")),
+        "score_c": scaled("q", of("q_total")), "score_d": scaled("w", of("w_total")),
+    }
+
+
+def _decisions(of) -> dict[str, Column]:
+    return {
+        "decision_a": decide(of("a_support") - of("a_contradict")), "decision_b": decide(of("b_support") - of("b_contradict"), TIE),
+        "decision_c": decide(of("score_c")), "decision_d": decide(of("score_d")),
+    }
 
 
 def claims(rows: DataFrame, keys: list[str] = CLAIM) -> DataFrame:
@@ -38,31 +82,27 @@ def claims(rows: DataFrame, keys: list[str] = CLAIM) -> DataFrame:
     1 - entropy; their score is null where all weights are 0.  Rows without a
     label count as unresolved and take no part in A and B.
     """
-    n = lambda s: F.count_if(F.col("label") == s)
-    order = [F.col("doc_rank"), F.col("doc_id")]
-    array = lambda v: ordered_values(order, v)
     q = F.col("quality")
-    grouped = rows.groupBy(*keys).agg(
-        n("SUPPORT").alias("a_support"), n("CONTRADICT").alias("a_contradict"), n("IRRELEVANT").alias("irrelevant"), F.count_if(F.col("label").isNull()).alias("unresolved"),
-        F.count(F.lit(1)).alias("evidence"), F.max("quality").alias("max_quality"), F.bool_or(F.col("label").isNull() & (q > 0)).alias("unresolved_weighted"),
-        array(F.struct(q.alias("q"), (q * (1 - F.col("h"))).alias("w"), "d", "label", "p_s", "p_c", "h", "doc_id")).alias("v"),
-    )
-    part = lambda f: F.transform("v", f)
-    votes = lambda s: fsum(F.transform(F.filter("v", lambda x: x["label"] == s), lambda x: x["q"]))
-    sums = grouped.withColumns({
-        "b_support": votes("SUPPORT"), "b_contradict": votes("CONTRADICT"), "q_total": fsum(part(lambda x: x["q"])), "w_total": fsum(part(lambda x: x["w"])),
-        "_q": part(lambda x: F.struct(x["q"].alias("w"), x["d"].alias("d"))), "_w": part(lambda x: F.struct(x["w"].alias("w"), x["d"].alias("d"))),
-    })
-    counts = F.col("a_support") - F.col("a_contradict")
-    gap = F.col("b_support") - F.col("b_contradict")
-    scores = sums.withColumns({
-        "score_a": ratio(counts, F.col("evidence")), "score_b": F.when(F.col("q_total") != 0, gap / F.col("q_total")),
-        "score_c": _scaled("_q", F.col("q_total")), "score_d": _scaled("_w", F.col("w_total")),
-        "decision_a": decide(counts), "decision_b": decide(gap, TIE),
+    vote = F.struct(q.alias("q"), (q * (1 - F.col("h"))).alias("w"), "d", "label", "p_s", "p_c", "h", "doc_id")
+    return decided(rows.groupBy(*keys).agg(ordered_values([F.col("doc_rank"), F.col("doc_id")], vote).alias("v")))
+
+
+def decided(grouped: DataFrame) -> DataFrame:
+    """claims of rows that have a claim's votes as an ordered array v each (see votes): nothing is grouped for it."""
+    v = F.col("v")
+    part = lambda f: F.transform(v, f)
+    scores = grouped.withColumns(_counts(v) | _sums(v)).withColumns(_scores(v, F.col))
+    return scores.withColumns(_decisions(F.col) | {
         "diagnostics": part(lambda x: F.struct(x["doc_id"].alias("doc_id"), x["q"].alias("quality"), x["d"].alias("direction"), x["h"].alias("entropy"), x["w"].alias("weight"))),
         "soft_support": fsum(part(lambda x: x["w"] * x["p_s"])), "soft_contradict": fsum(part(lambda x: x["w"] * x["p_c"])),
-    })
-    return scores.withColumns({"decision_c": decide(F.col("score_c")), "decision_d": decide(F.col("score_d"))}).drop("_q", "_w", "v")
+    }).drop("v")
+
+
+def verdict(v: Column) -> Column:
+    """struct of the four scores and decisions of a claim's votes, for claims that are elements of an array themselves."""
+    named = lambda d: [c.alias(k) for k, c in d.items()]
+    scored_ = lambda v, s: bound(F.struct(s["a_support"].alias("a_support"), s["a_contradict"].alias("a_contradict"), s["b_support"].alias("b_support"), s["b_contradict"].alias("b_contradict"), *named(_scores(v, s.__getitem__))), lambda x: F.struct(*[x[f"score_{m.lower()}"].alias(f"score_{m.lower()}") for m in METHODS], *named(_decisions(x.__getitem__))))
+    return bound(v, lambda v: bound(F.struct(*named(_sums(v))), lambda s: scored_(v, s)))
 
 
 def by_method(wide: DataFrame, keys: list[str] = CLAIM) -> DataFrame:
