@@ -49,3 +49,15 @@ def test_negative_keys(spark):
         pairs, direct = of(option_pairs, i), of(option_stances, i)
         assert pairs[2] == direct[2]
         assert all(s + c <= 10 for s, c in pairs)
+
+
+def test_halves_at_twelve_digits(spark):
+    """Twelve digits as DuckDB's round gives them; F.round goes by printed digits, and such halves made two equal scores differ in one engine only."""
+    import duckdb
+
+    from quorumlake.functions import columns as C
+
+    xs = [(k * 0.0001234567 + 0.1) for k in range(20000)] + [(2 * k + 1) / 2e12 + 0.3 for k in range(20000)] + [-(2 * k + 1) / 2e12 - 0.7 for k in range(20000)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", C.round12(F.col("x")).alias("r"), F.round("x", 12).alias("printed")).collect()
+    want = dict(zip(xs, (r[0] for r in duckdb.sql(f"SELECT round(unnest({xs}::DOUBLE[]), 12)").fetchall())))
+    assert all(want[g.x] == g.r for g in got) and any(want[g.x] != g.printed for g in got)
