@@ -45,28 +45,37 @@ class RunReports(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         c, out = self._counts(), []
         events = pd.concat(list(rows)).sort_values(["at", "kind", "item"], na_position="first")
+        # Each call of the state is a round trip: a run without any is not asked, and items that begin and end here are only written once.
+        asked = {name: state.exists() for name, state in (("open", self.open), ("ended", self.ended))}
+        begun, ends = {}, {}
         for e in events.itertuples():
             if e.kind == "PLAN":
                 c["planned"] = max(c["planned"], int(e.planned))
             elif e.kind == "START":
-                if not self.open.containsKey((e.item,)) and not self.ended.containsKey((e.item,)):
-                    due = int(e.at.timestamp() * 1000) + self.patience
-                    self.open.updateValue((e.item,), (due,))
-                    self.handle.registerTimer(due)
+                if e.item not in begun and e.item not in ends and not self._in("open", e.item, asked) and not self._in("ended", e.item, asked):
+                    begun[e.item] = int(e.at.timestamp() * 1000) + self.patience
             elif e.kind in ("OK", "FAIL"):
-                was = self.ended.getValue((e.item,))[0] if self.ended.containsKey((e.item,)) else None
+                was = ends.get(e.item) or (self.ended.getValue((e.item,))[0] if self._in("ended", e.item, asked) else None)
                 if was in ("OK", "FAIL"):
                     continue
                 if was == "STALLED":
                     c["stalled"] -= 1
                 c["ok" if e.kind == "OK" else "failed"] += 1
-                self.ended.updateValue((e.item,), (e.kind,))
-                if self.open.containsKey((e.item,)):
+                ends[e.item] = e.kind
+                if begun.pop(e.item, None) is None and self._in("open", e.item, asked):
                     self.open.removeKey((e.item,))
                 if e.kind == "FAIL":
                     out.append(("FAILED", e.item, e.error))
+        for item, how in ends.items():
+            self.ended.updateValue((item,), (how,))
+        for item, due in begun.items():
+            self.open.updateValue((item,), (due,))
+            self.handle.registerTimer(due)
         yield self._report(key[0], c, out)
 
+    def _in(self, name: str, item: str, asked: dict) -> bool:
+        return asked[name] and getattr(self, name).containsKey((item,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         c, now = self._counts(), expiredTimerInfo.getExpiryTimeInMs()
         late = sorted(item[0] for item, due in list(self.open.iterator()) if due[0] <= now)
