@@ -388,6 +388,10 @@ def run_reports(t):
 # --- verified loaders ------------------------------------------------------------------------------------------------
 
 
+#: Rows of a file that only a whole task can read.
+FILE_ROWS = 500_000
+
+
 @query("SELECT count(*) AS pairs, CAST(sum(n_s) AS BIGINT) AS n_support, CAST(sum(n_i) AS BIGINT) AS n_irrelevant, round(sum(p_s), 2) AS p_support, count(*) FILTER (n_s = 10 OR n_c = 10 OR n_i = 10) AS certain FROM q_dist")
 def uncertainty_file(t):
     """Uncertainties of all pairs written as CSV and loaded with every check."""
@@ -395,7 +399,8 @@ def uncertainty_file(t):
     names = {"n_s": "n_support", "n_c": "n_contradict", "n_i": "n_irrelevant", "p_s": "p_support", "p_c": "p_contradict", "p_i": "p_irrelevant"}
     rows = d.withColumnsRenamed(names).select("question_id", "option", "doc_id", F.concat_ws("|", "question_id", "option", "doc_id").alias("pair_id"), F.lit("True").alias("evaluation_included"), *names.values(), "u_3", "u_directional", "relevance", "directional_score")
     at = fresh(t, "uncertainty")
-    rows.write.option("header", True).csv(at)
+    # Lines may go on inside quotes, so a file is read whole by one task: files are kept small.
+    rows.write.option("header", True).option("maxRecordsPerFile", FILE_ROWS).csv(at)
     got = loaders.uncertainty_table(t.spark, at, ["question_id", "option", "doc_id"])
     certain = F.greatest("n_support", "n_contradict", "n_irrelevant") == 10
     return got.agg(n().alias("pairs"), F.sum("n_support").alias("n_support"), F.sum("n_irrelevant").alias("n_irrelevant"), F.round(F.sum("p_support"), 2).alias("p_support"), F.count_if(certain & (F.col("u_3") == 0)).alias("certain"))
