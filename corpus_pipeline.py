@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.llm.common import fresh_path
 from quorumlake.llm.decontam import decontaminate
-from quorumlake.llm.fertility import fit_bands, quality_rules
+from quorumlake.llm.fertility import quality_rules
 from quorumlake.llm.mixture import mix
 from quorumlake.llm.neardup import near_duplicates
 from quorumlake.llm.queries import vocabulary
@@ -29,11 +29,10 @@ def with_verdict(docs: DataFrame, verdicts: DataFrame, *columns: str) -> DataFra
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, by bands fitted on a bounded sample of labelled good ones."""
-    path = vocabulary("piece_bpe_32k.model")
-    bands = fit_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), path)
+    """Documents that the quality rules keep, by bands fitted on all labelled good ones."""
     docs = keyed(docs)
-    verdicts = quality_rules(docs, path, id_col="_key", bands=bands)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    verdicts = quality_rules(docs, vocabulary("piece_bpe_32k.model"), id_col="_key", labels=labels, match_col="doc_id")
     return with_verdict(docs, verdicts.filter("kept")).select(COLUMNS)
 
 

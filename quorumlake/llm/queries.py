@@ -80,10 +80,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quorumlake.llm.fertility import fit_bands, quality_rules
+    from quorumlake.llm.fertility import quality_rules
 
-    docs, path = table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")
-    found = quality_rules(docs, path, bands=fit_bands(docs, table(spark, sf_dir, "labels"), path))
+    found = quality_rules(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), labels=table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "tokens_per_word", "byte_share", "token_entropy")
 
 
