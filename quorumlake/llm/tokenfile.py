@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import kept_in_worker, pieces, texts_of
+from quorumlake.llm.common import kept_in_worker, pieces
 from quorumlake.llm.tokens import WhiteSpaceWords
 
 #: Row groups small enough to skip, pages of few rows so that page indexes narrow a read to some documents.
@@ -22,14 +22,12 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = kept_in_worker(("words", path), lambda: WhiteSpaceWords(path))
-        end, start = end_id.to_bytes(4, "little"), 0
+        start = 0
         for whole in batches:
             for batch in pieces(whole, 4 << 20):
-                packed = [coder.packed(x.decode()) + end for x in texts_of(batch)]
-                n = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-                offsets = np.concatenate([[0], np.cumsum(n)])
-                tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(start + offsets[:-1]), pa.array(n), tokens], ["id", "local_start", "n_tokens", "tokens"])
+                tokens = coder.lists(batch.column("text").cast(pa.string()), end_id)
+                offsets = tokens.offsets.to_numpy().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(start + offsets[:-1]), pa.array(np.diff(offsets)), tokens], ["id", "local_start", "n_tokens", "tokens"])
                 start += int(offsets[-1])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -9,16 +9,51 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 CACHE_ENTRIES = 1_500_000
-#: Words and parts of words whose ids are kept: about 200 bytes each in every worker.
-WORD_ENTRIES = 400_000
+#: Parts of words, and words of other characters, whose ids are kept: about 200 bytes each in every worker.
+PART_ENTRIES, WORD_ENTRIES = 400_000, 100_000
 LONGEST_CACHED = 200
 
 
+class Recent:
+    """Ids of strings, in two halves: a full one replaces the older, of which only what is asked for again stays."""
+
+    def __init__(self, entries: int):
+        self.most = entries // 2
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def all(self, keys: list[str], make: Callable[[str], bytes]) -> list[bytes]:
+        """The ids of each key, made where they are not kept."""
+        got = list(map(self.new.get, keys))
+        for i, g in enumerate(got):
+            if g is None:
+                key = keys[i]
+                got[i] = g = self.old[key] if key in self.old else make(key)
+                if len(key) <= LONGEST_CACHED:
+                    if len(self.new) >= self.most:
+                        self.old, self.new = self.new, {}
+                    self.new[key] = g
+        return got
+
+
+def runs(pool: np.ndarray, n: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """pool holds runs of n[0], n[1], ... values: those numbered in which, one after another, and where each of them ends."""
+    sizes = n[which]
+    ends = np.cumsum(sizes)
+    places = np.repeat(((np.cumsum(n) - n)[which] - (ends - sizes)).astype(np.int32), sizes)
+    places += np.arange(len(places), dtype=np.int32)
+    return pool[places], ends
+
+
 class SpacePieces:
     """A sentencepiece BPE model cut before every run of spaces.
 
@@ -142,15 +177,15 @@ class AnyJson:
 class WhiteSpaceWords:
     """A tokenizers-library BPE vocabulary whose pre-tokenizer drops white space.
 
-    Such a pre-tokenizer ends a token at all white space, so each word is encoded
-    on its own.  Texts with characters that Python and the library may class
-    differently, or with special strings, go to the library whole.
+    Such a pre-tokenizer ends a token at all white space, so texts are cut at
+    ASCII white space and each different word of many texts is encoded once.
+    Words with characters that Python and the library may class differently
+    (other white space too), or with special strings, go to the library.
     """
 
-    #: Python's str.split() also splits at these; the library does not.
-    ODD = re.compile("[\x1c-\x1f]")
     #: Letters whose class and case agree everywhere, then marks: two parts and no further look.
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+    LETTERS, MARKS = "".join(map(chr, (*range(65, 91), *range(97, 123), *range(192, 215), *range(216, 247), *range(248, 256)))), ".,;:!?"
+    PLAIN = f"^[{LETTERS}]+[{MARKS}]*$"
     #: A fixed value: the pattern that the vocabulary file states.
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     EASY = re.compile(r"[!-~¡-¬®-ž]+")
@@ -173,50 +208,59 @@ class WhiteSpaceWords:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
         self.alphabet = {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts, self.words = Recent(PART_ENTRIES), Recent(WORD_ENTRIES)
 
     def _pack(self, ids: list[int]) -> bytes:
         return array("I", ids).tobytes()
 
     def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            mapped = part if part.isascii() else "".join(map(self.alphabet.__getitem__, part.encode()))
-            got = self._pack([t.id for t in self.bpe.tokenize(mapped)])
-            if len(part) <= LONGEST_CACHED:
-                self.parts[part] = got
-        return got
+        mapped = part if part.isascii() else "".join(map(self.alphabet.__getitem__, part.encode()))
+        return self._pack([t.id for t in self.bpe.tokenize(mapped)])
 
     def _word(self, word: str) -> bytes:
-        if m := self.PLAIN.fullmatch(word):
-            letters, marks = m.groups()
-            return self._part(letters.lower()) + (self._part(marks) if marks else b"")
-        if self.EASY.fullmatch(word) and not any(s in word for s in self.special):
-            return b"".join(map(self._part, self.PARTS.findall(word.lower())))
+        if self.quick and self.EASY.fullmatch(word) and not any(s in word for s in self.special):
+            return b"".join(self.parts.all(self.PARTS.findall(word.lower()), self._part))
         return self._pack(self.whole.encode(word, add_special_tokens=False).ids)
 
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words, one after another, and how many each has."""
+        plain = pc.match_substring_regex(words, self.PLAIN) if self.quick else pa.array(np.zeros(len(words), bool))
+        two, other = words.filter(plain), words.filter(pc.invert(plain)).to_pylist()
+        letters = pc.utf8_lower(pc.utf8_rtrim(two, self.MARKS)).dictionary_encode()
+        marks = pc.utf8_ltrim(two, self.LETTERS).dictionary_encode()
+        known = [b"", *self.parts.all(letters.dictionary.to_pylist(), self._part)]
+        after_letters = len(known)
+        known += self.parts.all(marks.dictionary.to_pylist(), self._part)
+        after_marks = len(known)
+        known += self.words.all(other, self._word)
+        # Each word is two of the known; other words are one and the empty one.
+        which = np.zeros((len(words), 2), np.int64)
+        plain = plain.to_numpy(zero_copy_only=False)
+        which[plain, 0] = 1 + letters.indices.to_numpy()
+        which[plain, 1] = after_letters + marks.indices.to_numpy()
+        which[~plain, 0] = after_marks + np.arange(len(other))
+        n = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        pool, _ = runs(np.frombuffer(b"".join(known), "<u4").astype(np.int32), n, which.ravel())
+        return pool, n[which].sum(1)
+
+    def lists(self, texts: pa.Array, end_id: int) -> pa.ListArray:
+        """The ids of each text and then end_id; null is empty."""
+        words = pc.fill_null(texts, "")
+        stops = np.arange(1, len(words) + 1)
+        if self.quick:
+            split = pc.ascii_split_whitespace(words)
+            words, stops = split.flatten(), np.cumsum(split.value_lengths().to_numpy())
+        coded = words.dictionary_encode()
+        pool, n = self._words(coded.dictionary)
+        # After each text's words comes one word more: its end.
+        which = np.insert(coded.indices.to_numpy(), stops, len(n))
+        tokens, ends = runs(np.append(pool, np.int32(end_id)), np.append(n, 1), which)
+        offsets = np.concatenate([[0], ends[stops + np.arange(len(stops))]])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens))
+
     def packed(self, text: str) -> bytes:
         """The ids of the text as little-endian unsigned 32-bit integers."""
-        if not self.quick or self.ODD.search(text):
-            return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
-        words, known = text.split(), self.words
-        got = list(map(known.get, words))
-        if None in got:
-            if len(known) > WORD_ENTRIES:
-                known.clear()
-            if len(self.parts) > WORD_ENTRIES // 2:
-                self.parts.clear()
-            for i, g in enumerate(got):
-                if g is None:
-                    w = words[i]
-                    g = known.get(w)
-                    if g is None:
-                        g = self._word(w)
-                        if len(w) <= LONGEST_CACHED:
-                            known[w] = g
-                    got[i] = g
-        return b"".join(got)
+        return self.lists(pa.array([text], pa.string()), 0).values.to_numpy()[:-1].astype("<u4").tobytes()
 
 
 def load(path: str):

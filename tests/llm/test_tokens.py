@@ -1,11 +1,14 @@
 """Token counts, cached encoders and overlap resynchronisation against the libraries themselves."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
+from quorumlake.llm import tokens
 from quorumlake.llm.tokcount import count_resynchronised, token_counts
 from quorumlake.llm.tokens import SpacePieces, WhiteSpaceWords, load
 
@@ -75,6 +78,30 @@ def test_frequent_letters_without_spaces():
     assert count_resynchronised(coder, solid, 500, 50) == coder.count(solid)
 
 
+def test_words_of_many_texts_equal_the_library():
+    """All characters below U+3000 inside, before and after words, and texts cut together: null, empty, blank, repeated."""
+    coder = WhiteSpaceWords(P.path("word_bpe_49k.json"))
+    some = [f"Word{c}Étude{c} {c}it's, {c}" for c in map(chr, range(1, 0x3000))]
+    some += [*texts(400, 10), None, "", " \n ", "same", "same", "H\u0331 h\u0331", "<|ENDOFTEXT|> <|endoftext|>, ok", "\x1c a\x1fb", "×÷ À×ß÷ÿ.", "Abc;:!?,., .abc"]
+    got = coder.lists(pa.array(some), 7).to_pylist()
+    assert got == [coder.whole.encode(t or "", add_special_tokens=False).ids + [7] for t in some]
+
+
+def test_frequent_words_stay_known_while_rare_ones_pass(monkeypatch):
+    for name in ("WORD_ENTRIES", "PART_ENTRIES"):
+        monkeypatch.setattr(tokens, name, 200, raising=False)
+    coder, asked = WhiteSpaceWords(P.path("word_bpe_49k.json")), []
+    model = coder.bpe
+    coder.bpe = SimpleNamespace(tokenize=lambda part: asked.append(part) or model.tokenize(part))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for i in range(60):
+        rare = " ".join(f"rare{letters[i % 26]}{letters[i // 26]}{x}{y}" for x in letters[:5] for y in letters[:8])
+        t = f"Frequent words, {rare} frequent"
+        assert np.frombuffer(coder.packed(t), "<u4").tolist() == coder.whole.encode(t, add_special_tokens=False).ids
+    assert asked.count("frequent") == asked.count("words") == 1
+    assert len(asked) < 60 * 40 + 10
+
+
 def test_other_vocabularies_go_to_the_library_whole():
     coder = WhiteSpaceWords(P.path("byte_bpe_50k.json"))
     assert not coder.quick
