@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import uuid
@@ -48,14 +50,22 @@ def kept_in_worker(key: tuple, make: Callable):
     """An object that a Python worker keeps from task to task; it keeps one at a time, as workers outlive stages."""
     store = sys.__dict__.setdefault("_quorumlake_worker", {})
     if key not in store:
-        store.clear()
+        forget_in_worker()
         store[key] = make()
     return store[key]
 
 
 def forget_in_worker() -> None:
-    """Drop what earlier stages left in this worker: the stage that begins needs the memory."""
-    sys.__dict__.setdefault("_quorumlake_worker", {}).clear()
+    """Drop what earlier stages left in this worker and give its pages back: the stage that begins needs the memory."""
+    store = sys.__dict__.setdefault("_quorumlake_worker", {})
+    if store:
+        store.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        # glibc keeps freed memory otherwise; other C libraries have no such call.
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

@@ -57,7 +57,6 @@ BLANK = " \t\n\x0b\x0c\r"
 OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars_per_token double, tokens_per_word double, byte_share double, token_entropy double, base_failed boolean"
 #: What bands are fitted on and texts are judged by besides.
 BESIDES = "n_tokens long, bits double, script string"
-BAND = "struct<cpt: double, cpt_spread: double, tpw: double, tpw_spread: double, share: double, entropy: double, bits: double, script: string>"
 
 
 def base_rules(text: str, raw: bytes) -> tuple[int, int, int, int, int]:
@@ -79,11 +78,11 @@ def base_rules(text: str, raw: bytes) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def fertility(ids: list[int], n_chars: int, n_words: int, low: int, high: int) -> tuple[float, float, float, float]:
+def fertility(ids: np.ndarray, n_chars: int, n_words: int, low: int, high: int) -> tuple[float, float, float, float]:
     """Characters per token, tokens per word, share of byte-fallback tokens of non-ASCII bytes, token entropy in bits."""
-    if not ids:
+    if not len(ids):
         return 0.0, 0.0, 0.0, 0.0
-    a = np.array(ids)
+    a = np.asarray(ids)
     # The vocabulary's byte tokens are consecutive; those under 0x80 only stand for controls such as the line feed.
     share = float(((a >= low) & (a <= high)).mean())
     p = np.unique(a, return_counts=True)[1] / len(a)
@@ -106,14 +105,14 @@ def script_of(text: str) -> str:
     return "latin" if 2 * sum(map(len, LATIN.findall(text))) > sum(map(len, LETTERS.findall(text))) else ""
 
 
-def window_entropy(ids: list[int]) -> float:
+def window_entropy(ids: np.ndarray) -> float:
     """Mean token entropy in bits of windows of WINDOW tokens spread evenly over the text, the whole text if it is shorter."""
     n = len(ids)
     if not n:
         return 0.0
     w = min(n, WINDOW)
     starts = np.linspace(0, n - w, -(-n // w)).astype(np.int64)
-    rows = np.sort(np.array(ids, np.int32)[starts[:, None] + np.arange(w)], axis=1)
+    rows = np.sort(np.asarray(ids, np.int32)[starts[:, None] + np.arange(w)], axis=1)
     first = np.ones(rows.shape, bool)
     np.not_equal(rows[:, 1:], rows[:, :-1], out=first[:, 1:])
     c = np.diff(np.flatnonzero(first), append=rows.size)
@@ -127,15 +126,13 @@ def measure(docs: DataFrame, path: str, *, id_col: str, match_col: str, text_col
         coder = kept_in_worker(("coder", path), lambda: load(path))
         low, high = byte_range(coder)
         for whole in batches:
-            for batch in pieces(whole, 4 << 20):
+            for batch in pieces(whole, 1 << 20):
                 raw = texts_of(batch)
                 texts = [x.decode() for x in raw]
-                coder.learn(texts)
                 rows = []
-                for t, b in zip(texts, raw):
+                for t, b, ids in zip(texts, raw, coder.arrays(texts)):
                     base = base_rules(t, b)
                     n, repeated = base[0], base[4]
-                    ids = coder.ids(t)
                     failed = n < least_words or 100 * repeated > 50 * n
                     besides = (0.0, "") if failed else (window_entropy(ids), script_of(t))
                     rows.append((*base, *fertility(ids, len(t), n, low, high), failed, len(ids), *besides))
@@ -223,9 +220,10 @@ def acceptable(measured: DataFrame, bands: dict[str, Band]) -> DataFrame:
     windows' floor only, else the fixed limits of any script.
     """
     spark = measured.sparkSession
-    # One row for each language, and one row.
-    named = spark.createDataFrame([(k, tuple(b)) for k, b in bands.items()], f"_of string, own {BAND}")
-    latin = spark.createDataFrame([([tuple(b) for b in bands.values() if b.script == "latin"],)], f"near array<{BAND}>")
+    # One row for each language, and one row; Arrow tables need no Python workers of their own on the executors.
+    band = pa.struct([(k, pa.string() if k == "script" else pa.float64()) for k in Band._fields])
+    named = spark.createDataFrame(pa.table({"_of": pa.array(list(bands), pa.string()), "own": pa.array([b._asdict() for b in bands.values()], band)}))
+    latin = spark.createDataFrame(pa.table({"near": pa.array([[b._asdict() for b in bands.values() if b.script == "latin"]], pa.list_(band))}))
     rows = measured.join(F.broadcast(named), F.col("lang") == F.col("_of"), "left").crossJoin(F.broadcast(latin))
     # Few windows vary more, and a short one has fewer bits.
     long = F.lit(float(WINDOW)) / F.greatest(F.col("n_tokens"), F.lit(1))

@@ -18,8 +18,9 @@ import pyarrow.compute as pc
 import regex
 
 CACHE_ENTRIES = 1_500_000
-#: Parts of words, and words of other characters, whose ids are kept: about 200 bytes each in every worker.
-PART_ENTRIES, WORD_ENTRIES = 400_000, 100_000
+#: Parts of words, words of other characters, and words with the spaces before them whose ids are kept: about 200
+#: bytes each in every worker.
+PART_ENTRIES, WORD_ENTRIES, UNIT_ENTRIES = 400_000, 100_000, 400_000
 LONGEST_CACHED = 200
 
 
@@ -44,6 +45,23 @@ class Recent:
                     self.new[key] = g
         return got
 
+    def many(self, keys: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The ids of each key; those that are not kept are made in one call."""
+        got, old = list(map(self.new.get, keys)), self.old
+        absent = [i for i, g in enumerate(got) if g is None]
+        unknown = [i for i in absent if keys[i] not in old]
+        for i, g in zip(unknown, make([keys[i] for i in unknown])):
+            got[i] = g
+        for i in absent:
+            key = keys[i]
+            if got[i] is None:
+                got[i] = old[key]
+            if len(key) <= LONGEST_CACHED:
+                if len(self.new) >= self.most:
+                    self.old, self.new = self.new, {}
+                self.new[key] = got[i]
+        return got
+
 
 def runs(pool: np.ndarray, n: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """pool holds runs of n[0], n[1], ... values: those numbered in which, one after another, and where each of them ends."""
@@ -74,7 +92,7 @@ class SpacePieces:
         self.pairs = {x[i : i + 2] for x in names for i in range(len(x) - 1)}
         self.byte = {i for i in range(len(names)) if self.model.is_byte(i)}
         self.space = self.model.piece_to_id("▁")
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Recent(UNIT_ENTRIES)
         self.counts: dict[str, int] = {}
 
     def units(self, text: str) -> list[str]:
@@ -119,20 +137,22 @@ class SpacePieces:
         """Whether the vocabulary proves that a token ends between the two characters."""
         return (before + after).replace(" ", "▁") not in self.pairs
 
+    def _pack(self, units: list[str]) -> list[bytes]:
+        return [array("I", ids if u else [self.space]).tobytes() for u, ids in zip(units, self.model.encode(units, num_threads=1))]
+
     def learn(self, texts: list[str]) -> None:
-        """Make the ids of all units of texts known in one call of the library."""
-        known = self.known
-        if len(known) > CACHE_ENTRIES // 2:
-            known.clear()
-        new = [u for u in {u for t in texts for u in self.units(t) if u not in known} if u and len(u) <= LONGEST_CACHED]
-        known.update(zip(new, map(tuple, self.model.encode(new, num_threads=1))))
+        """Make the ids of the units of texts known."""
+        self.arrays(texts)
+
+    def arrays(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; new units of all of them are encoded in one call."""
+        split = [self.units(t) for t in texts]
+        keys = list({u for units in split for u in units})
+        of = dict(zip(keys, self.known.many(keys, self._pack)))
+        return [np.frombuffer(b"".join(map(of.__getitem__, units)), "<u4") for units in split]
 
     def ids(self, text: str) -> list[int]:
-        known, out, units = self.known, [], self.units(text)
-        for u in units:
-            got = known.get(u)
-            out.extend(got if got is not None else self._encode(u))
-        return out
+        return self.arrays([text])[0].tolist()
 
 
 class AnyJson:
@@ -170,8 +190,8 @@ class AnyJson:
     def count_all(self, texts: list[str]) -> list[int]:
         return list(map(self.count, texts))
 
-    def learn(self, texts: list[str]) -> None:
-        """Nothing to prepare."""
+    def arrays(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(self.ids(t), np.uint32) for t in texts]
 
 
 class WhiteSpaceWords:

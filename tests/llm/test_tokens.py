@@ -1,6 +1,8 @@
 """Token counts, cached encoders and overlap resynchronisation against the libraries themselves."""
 
 import random
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import numpy as np
@@ -138,3 +140,49 @@ def test_many_texts_of_long_characters(name):
         some = r.sample(units, r.randint(1, 6))
         t = "".join(r.choice(some) for _ in range(r.randint(0, 60)))
         assert count_resynchronised(coder, t, r.choice([4, 8, 16, 33]), r.choice([1, 2, 4, 7])) == coder.count(t)
+
+
+def test_ids_kept_in_a_worker_are_bounded_and_given_back(monkeypatch):
+    r = random.Random(8)
+    monkeypatch.setattr(tokens, "UNIT_ENTRIES", 400)
+    coder = SpacePieces(P.path("piece_bpe_32k.model"))
+    # Each batch has more different units than are kept.
+    for seed in range(4):
+        many = [*texts(200, 20 + seed), *(" ".join(without_spaces(r, r.randint(1, 9)) for _ in range(300)) for _ in range(5))]
+        assert [x.tolist() for x in coder.arrays(many)] == [coder.model.encode(t) for t in many]
+        assert len(coder.known.new) <= 200 and len(coder.known.old) <= 200
+    assert all(isinstance(x, bytes) for x in coder.known.new.values())
+
+
+GIVEN_BACK = """
+import re
+from pathlib import Path
+from quorumlake.llm.common import forget_in_worker, kept_in_worker
+
+def mb():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+def make():
+    import ctypes
+    c = ctypes.CDLL(None)
+    c.malloc.restype = ctypes.c_void_p
+    made = [c.malloc(60_000) for _ in range(3000)]
+    last = c.malloc(70_000)
+    for p in made:
+        ctypes.memset(p, 1, 60_000)
+        c.free(ctypes.c_void_p(p))
+    return last
+
+forget_in_worker()
+before = mb()
+kept_in_worker(("x",), make)
+held = mb()
+forget_in_worker()
+print(held - before > 150, mb() - before < 50)
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_forgotten_memory_goes_back_to_the_system():
+    done = subprocess.run([sys.executable, "-c", GIVEN_BACK], capture_output=True, text=True, check=True)
+    assert done.stdout.split() == ["True", "True"]
