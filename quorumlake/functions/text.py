@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quorumlake.functions.columns import bound
+
 #: Publication types by study design, strongest first; exact labels only.
 DESIGNS = [
     ("meta_analysis", ["meta-analysis", "network meta-analysis"]),
@@ -145,5 +147,5 @@ def premise(title: Column, abstract: Column) -> Column:
 
 def query_terms(terms: Column) -> Column:
     """A boolean search of all terms that leaves out books and what has no abstract; null without terms."""
-    joined = F.concat_ws(" AND ", F.transform(terms, lambda t: F.concat(F.lit("("), t, F.lit(")"))))
-    return F.when(F.size(terms) > 0, F.concat(F.lit("(("), joined, F.lit(') NOT "pubmed books"[sb]) AND hasabstract')))
+    joined = lambda ts: F.concat_ws(" AND ", F.transform(ts, lambda t: F.concat(F.lit("("), t, F.lit(")"))))
+    return bound(terms, lambda ts: F.when(F.size(ts) > 0, F.concat(F.lit("(("), joined(ts), F.lit(') NOT "pubmed books"[sb]) AND hasabstract'))))

@@ -36,6 +36,27 @@ def test_concepts(spark):
     assert one == ["diabetes mellitus"] and len(eight) == 8
 
 
+def test_concepts_search_once(spark, monkeypatch):
+    """A text is put in lower case once, not once for each rule and again for its query; rules left out for want of a literal match nothing."""
+    import random
+    import re
+
+    from quorumlake import queries as Q
+    from quorumlake.functions import concepts as K
+
+    plan = Q.QUERIES["concept_queries"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+    assert K.needles(r"st[ -](?:segment[ -])?elevation") == ["elevation"] and K.needles(r"hiv|blood in (?:the )?urine") == ["hiv", "blood in "]
+    assert K.needles(r"(?i)HIV") == K.needles(r"(?:a|b)") == K.needles(r"a*\d+") == [""] and K.needles(r"ab+c{0,2}x\(y") == ["ab"]
+    r = random.Random(4)
+    parts = [w for rule in RULES for w in re.sub(r"[^a-z -]+", " ", rule[1]).split()] + ["no", "denies", "5 kg", "and has", ";", "negative for"]
+    df = spark.createDataFrame([(k, " ".join(r.choices(parts, k=r.randint(1, 40)))) for k in range(400)], "k int, t string")
+    run = lambda: {x.k: x.c for x in df.select("k", K.concepts(F.col("t"), 8).alias("c")).collect()}
+    some = run()
+    monkeypatch.setattr(K, "needles", lambda pattern: [""])
+    assert some == run() and sum(map(len, some.values())) > 400
+
+
 def test_checks(spark):
     df = spark.createDataFrame([(9, 0, 1, 0.9, 0.0, 0.1, 0.29590327428938457, 1.0), (9, 0, 1, 0.8, 0.0, 0.2, 0.3, 1.0), (5, 5, 5, 0.5, 0.5, 0.0, 0.6, 0.0)], "n_s int, n_c int, n_i int, p_s double, p_c double, p_i double, u_3 double, directional_score double")
     assert [r[0] for r in df.select(validate.frequency_ok()).collect()] == [True, False, False]
