@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.functions.columns import STANCES, TIE, decide, entropy_clamped, fsum, ordered_values, ratio
+from quorumlake.functions.batches import stability
+from quorumlake.functions.columns import TIE, ordered_values
 from quorumlake.operators.aggregate import CLAIM
 
 
-def _without(score, method: str):
-    """A function of one place, as the array functions of Spark count parameters."""
-    return lambda seed: score(method, seed)
-
-
 def seed_stability(pairs: DataFrame, stances, methods: tuple[str, ...] = ("C", "D"), order: tuple[str, ...] = ("doc_rank", "doc_id")) -> DataFrame:
     """By method C and D: claims whose decision or score changes when any one seed is left out, and the largest change.
 
@@ -27,28 +23,7 @@ def seed_stability(pairs: DataFrame, stances, methods: tuple[str, ...] = ("C", "
 
 def claim_stability(claims: DataFrame, methods: tuple[str, ...] = ("C", "D")) -> DataFrame:
     """seed_stability of rows that have a claim's pairs as an ordered array v each, with quality, n_s, n_c, n_i and stances."""
-    grouped = claims.withColumn("total", fsum(F.transform("v", lambda x: x["quality"])))
-
-    def score(method: str, gone: Column | None) -> Column:
-        def one(x: Column) -> Column:
-            less = lambda s: F.when(F.get(x["stances"], gone) == s, 1).otherwise(0) if gone is not None else F.lit(0)
-            n = [x[f"n_{k}"] - less(s) for k, s in zip("sci", STANCES)]
-            p = [ratio(k, n[0] + n[1] + n[2]) for k in n]
-            w = x["quality"] * (1 - entropy_clamped(*p)) if method == "D" else x["quality"]
-            return F.struct(w.alias("w"), (p[0] - p[1]).alias("d"))
-
-        parts = lambda v, total: F.when(total != 0, fsum(F.transform(v, lambda x: x["w"] / total * x["d"])))
-        once = lambda value, body: F.transform(F.array(value), body)[0]
-        if method == "C":
-            # Weights of C do not depend on the samples: one total serves all seeds.
-            return parts(F.transform("v", one), F.col("total"))
-        return once(F.transform("v", one), lambda v: once(fsum(F.transform(v, lambda x: x["w"])), lambda total: parts(v, total)))
-
-    seeds = F.sequence(F.lit(0), F.size(F.get("v", F.lit(0))["stances"]) - 1)
-    both = grouped.withColumns({f"full_{m}": score(m, None) for m in methods} | {f"less_{m}": F.transform(seeds, _without(score, m)) for m in methods})
-    changed = lambda m: F.size(F.filter(f"less_{m}", lambda x: decide(x) != decide(F.col(f"full_{m}")))).cast("long")
-    delta = lambda m: F.array_max(F.transform(f"less_{m}", lambda x: F.abs(x - F.col(f"full_{m}"))))
-    per = both.select(F.explode(F.array(*[F.struct(F.lit(m).alias("method"), changed(m).alias("n"), delta(m).alias("delta")) for m in methods])).alias("x")).select("x.*")
+    per = claims.select(F.explode(stability(F.col("v"), methods)).alias("x")).select("x.*")
     return per.groupBy("method").agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.col("n") > 0).alias("unstable"), F.sum("n").alias("decision_changes"), F.count_if(F.col("delta") > TIE).alias("score_changes"), F.round(F.max("delta"), 6).alias("largest_delta"))
 
 
