@@ -59,6 +59,31 @@ def test_every_fault_is_named(spark, change, fault, n):
     assert e.value.counts[fault] == n and fault in str(e.value) and "|" in e.value.where[fault]
 
 
+def test_sources_meet_where_they_are(spark):
+    """Sources that are dealt by question are not dealt anew, and no vector of a question is gathered."""
+    from quorumlake import table_queries as T
+    from quorumlake.plans.projection import Tables
+
+    placed, faults = inputs.matched_pairs(*T.five_sources(Tables(spark, "/root/testdata/sf0.001")), [1])
+    plan = placed.select(*[c.alias(k) for k, c in faults.items()])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 4 and "Exchange hashpartitioning(question_id" not in plan
+    assert "collect_list" not in plan and "to_json" not in plan
+
+
+def test_keys_that_are_null(spark):
+    """Rows without a whole key meet nothing, on either side."""
+    def change(s):
+        s["samples"] += [[1, 0, None, seed, "SUPPORT"] for seed in SEEDS]
+        s["counts"].append([1, 0, None, 4, 0, 0])
+        s["evidence"].append([1, None, 3, "trial", 0.5, "text"])
+        s["texts"].append([1, None, "text"])
+
+    with pytest.raises(inputs.InputFault) as e:
+        load(spark, sources(change))
+    # Both rows of the pair (a missing count is undecided on being repeated), and all of a question whose options differ by them.
+    assert e.value.counts == {"samples_missing": 1, "counts_missing": 1, "pair_repeated": 1, "evidence_missing": 2, "options_differ": 8}
+
+
 def test_inputs_that_agree(spark):
     pairs, counters = load(spark, sources())
     assert counters == {"rows": 12, "samples": 48} and pairs.count() == 12 and pairs.columns[-1] == "quality"
