@@ -60,3 +60,29 @@ def test_stability(spark):
             if m == "C":
                 # Exact signs, up to sums that plain Python rounds otherwise.
                 assert not pairs and n is None or pairs and abs(n - sum(decided(x) != decided(full) for x in less)) <= sum(x is not None and abs(x) < 1e-15 for x in [*less, full]) * len(less)
+
+
+def test_answers(spark):
+    """Answers by batches against those of the array functions, for pools of any size, and no question without its row."""
+    from quorumlake.functions.columns import bound, round12
+    from quorumlake.operators import aggregate, answer
+
+    for name in ("answer_select", "question_accuracy"):
+        assert "aggregate(" not in plan(Q.QUERIES[name](spark, SF))
+    r = random.Random(2)
+
+    def row(k):
+        n = r.choice([1, 2, 3, 7])
+        count = lambda: (lambda s: 16 * s + r.randint(0, 10 - s))(r.randint(0, 10))
+        few = [count() for _ in range(2)]
+        return k, [r.choice([0.0, 0.1111111111, 0.5, 1.0]) for _ in range(n)], [[r.choice(few) if r.random() < 0.5 else count() for _ in range(n)] for _ in range(5)]
+
+    df = spark.createDataFrame([*map(row, range(500)), (500, None, None)], "k int, q array<double>, n array<array<int>>")
+    pair = lambda q, n: F.struct(F.lit("x").alias("doc_id"), q.alias("quality"), F.shiftright(n, 4).alias("n_s"), n.bitwiseAND(15).alias("n_c"), (10 - F.shiftright(n, 4) - n.bitwiseAND(15)).alias("n_i"))
+    made = F.transform("n", lambda n, i: F.struct(i.alias("idx"), aggregate.verdict(aggregate.votes(F.zip_with("q", n, pair))).alias("x")))
+    of = lambda m: F.transform("made", lambda o: F.struct(o["idx"].alias("idx"), round12(o["x"][f"score_{m}"]).alias("score"), o["x"][f"decision_{m}"].alias("decision")))
+    named = lambda m: lambda a: F.struct(F.lit(m.upper()).alias("method"), a["state"], a["reason"], a["answer"], a["ranking"])
+    want = df.filter("k < 500").withColumn("made", made).select("k", F.array(*[bound(answer.chosen(of(m)), named(m)) for m in "abcd"]).alias("a"))
+    rows = lambda x: {y.k: y.a and [tuple(z) for z in y.a] for y in x.collect()}
+    got = rows(df.select("k", batches.answers(F.col("q"), F.col("n"), 10).alias("a")))
+    assert got.pop(500) is None and got == rows(want)
